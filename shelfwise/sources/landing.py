@@ -19,17 +19,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """JSON records below ``folder``, one ``source=<key>`` subfolder per source.
+    """JSON lines below ``folder``, one ``source=<key>`` subfolder per source.
 
     Records that cannot be read keep their text in ``_corrupt_record``, so one bad source neither
-    stops the others nor loses its own good records.
+    stops the others nor loses its own good records. The lines are parsed as a column: the JSON
+    reader refuses queries that only look at the bad records.
     """
-    return (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(folder)
+    record = F.from_json(
+        "value", f"{schema}, {CORRUPT} STRING",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
+    return spark.read.text(folder).select("source", record.alias("r")).select("source", "r.*")
 
 
 def good_records(landed: DataFrame) -> DataFrame:

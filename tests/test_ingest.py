@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfwise.operators import ingest
+from shelfwise.sources import landing, schemas, sinks
+
+STAMP = datetime(2025, 1, 1)
+PRODUCT = {
+    "id": 1, "title": "Kilo AA", "url": "https://one/kilo", "tags": ["a", "b"],
+    "published_at": "2024-05-06T07:08:09Z", "created_at": "never",
+    "options": [{"name": "Size", "values": ["250g", "1kg"]}, {"values": "x"}],
+    "images": [{"src": "1.jpg"}, {}],
+}
+
+
+@pytest.fixture
+def landed(spark, tmp_path):
+    one, two = tmp_path / "source=one", tmp_path / "source=two"
+    one.mkdir(), two.mkdir()
+    plain = {"id": 2, "title": "Plain", "url": "https://one/plain", "tags": "x,y", "options": "no"}
+    (one / "p.json").write_text(
+        "\n".join([json.dumps(PRODUCT), json.dumps(plain), "{broken"]) + "\n"
+    )
+    (two / "p.json").write_text("not json at all\n")
+    return landing.read_landing(spark, str(tmp_path), schemas.PRODUCT_RAW)
+
+
+def test_bad_records_are_kept_apart_and_reported(landed):
+    report = {r.source: (r.n_rows, r.n_bad) for r in landing.load_report(landed).collect()}
+    assert report == {"one": (3, 1), "two": (1, 1)}
+    assert landing.good_records(landed).count() == 2
+    assert landing.bad_records(landed).count() == 2
+
+
+def test_products_options_and_images(landed):
+    records = landing.good_records(landed).withColumn("roaster_id", F.lit(1).cast("bigint"))
+    rows = {r.source_id: r for r in ingest.product_rows(records, STAMP).collect()}
+    assert (rows[1].tags, rows[2].tags) == ("a,b", "x,y")
+    assert rows[1].handle == "" and rows[1].created_at is None
+    assert rows[1].published_at == datetime(2024, 5, 6, 7, 8, 9)
+    options = {(r.product_id, r.name, r["values"]) for r in ingest.option_rows(records).collect()}
+    assert options == {(1, "Size", "250g,1kg"), (1, "", "x")}
+    images = [(r.product_id, r.position, r.src) for r in ingest.image_rows(records).collect()]
+    assert sorted(images) == [(1, 1, "1.jpg"), (1, 2, "")]
+
+
+def test_loading_twice_changes_nothing(landed):
+    records = landing.good_records(landed).withColumn("roaster_id", F.lit(1).cast("bigint"))
+    first = ingest.product_rows(ingest.newest_records(records, "url"), STAMP)
+    doubled = ingest.newest_records(records.unionByName(records), "url")
+    second = ingest.product_rows(doubled, STAMP)
+    merged = sinks.replace_by_key(first, second, "id")
+    assert sorted(map(str, merged.collect())) == sorted(map(str, first.collect()))
+
+
+def test_variant_coercion(spark):
+    columns = ("parent_id", *schemas.VARIANT_TEXT_COLUMNS)
+    values = {
+        "parent_id": 1, "title": "v", "available": "true", "grams": "23.9", "price": None,
+        "position": "many", "requires_shipping": "0", "compare_at_price": "", "weight": "0.25",
+    }
+    variants = spark.createDataFrame([[values.get(c) for c in columns]], schemas.VARIANT_RAW)
+    products = spark.createDataFrame([(1, 77), (2, 78)], "source_id BIGINT, id BIGINT")
+    row = ingest.variant_rows(variants, products, STAMP).first()
+    assert (row.product_id, row.available, row.grams, row.price) == (77, 1, 23, 0.0)
+    assert (row.position, row.requires_shipping, row.taxable) == (0, 0, 1)
+    assert row.compare_at_price is None and row.weight == 0.25
+    assert (row.option3, row.vendor, row.inventory_quantity) == ("", "", 0)
+
+
+def test_display_names(spark):
+    registry = spark.createDataFrame(
+        [("k", "blue_kettle", "Blue Kettle Roastery", "https://b")], schemas.REGISTRY
+    )
+    sources = spark.createDataFrame([("blue_kettle",), ("grey_cup",)], "name STRING")
+    rows = {r.name: r.description for r in ingest.display_names(sources, registry).collect()}
+    assert rows == {"blue_kettle": "Blue Kettle Roastery", "grey_cup": "Grey_Cup"}
+    assert [tuple(r) for r in landing.source_urls(registry).collect()] == [("k", "https://b")]
+
+
+def test_upsert_takes_over_the_description_only(spark):
+    shape = "id BIGINT, name STRING, description STRING, url STRING"
+    old = spark.createDataFrame([(1, "one", "One", "u1"), (2, "two", "Two", "u2")], shape)
+    new = spark.createDataFrame([(9, "uno", "Uno", "u1"), (3, "three", "Three", "u3")], shape)
+    merged = sinks.upsert_roasters(old, new)
+    rows = {r.url: (r.id, r.name, r.description) for r in merged.collect()}
+    assert rows == {
+        "u1": (1, "one", "Uno"), "u2": (2, "two", "Two"), "u3": (3, "three", "Three"),
+    }
+    twice = sinks.upsert_roasters(merged, new)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, merged.collect()))
+
+
+def test_replace_audit_union_and_orphans(spark):
+    old = spark.createDataFrame(
+        [(1, "a", STAMP, STAMP), (2, "b", STAMP, STAMP)],
+        "id INT, v STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
+    )
+    later = datetime(2025, 6, 1)
+    new = spark.createDataFrame([(2, "B"), (3, "c")], "id INT, v STRING")
+    rows = {
+        r.id: (r.v, r.created_at, r.updated_at)
+        for r in sinks.replace_by_key(old, sinks.with_audit(new, old, "id", later), "id").collect()
+    }
+    assert rows == {1: ("a", STAMP, STAMP), 2: ("B", STAMP, later), 3: ("c", later, later)}
+    wider = sinks.union_schemas(new, old)
+    assert set(wider.columns) == {"id", "v", "created_at", "updated_at"} and wider.count() == 4
+    assert [r.id for r in sinks.without_children_of(new, old, "id").collect()] == [3]
+
+
+def test_orders_are_appended_by_month(spark, golden, tmp_path):
+    folder = str(tmp_path / "orders")
+    sinks.append_orders(golden.orders, folder)
+    sinks.append_orders(golden.orders.filter("id = 1"), folder)
+    back = spark.read.parquet(folder)
+    assert back.count() == 6
+    assert back.filter("order_month = DATE '2025-01-01'").count() == 2
+
+
+def test_snapshot_is_never_overwritten(spark, golden, tmp_path):
+    folder = str(tmp_path / "details")
+    sinks.write_snapshot(golden.details, folder)
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_snapshot(golden.details, folder)
+
+
+def test_constraints(golden, spark):
+    bad = golden.orders.withColumn("quantity", F.when(F.col("id") > 2, F.col("quantity")))
+    rows = ingest.null_violations(bad, ["quantity", "price_paid"], "orders").collect()
+    assert {r.rule: r.violations for r in rows} == {
+        "orders.quantity is null": 2, "orders.price_paid is null": 0,
+    }
+    doubled = golden.details.unionByName(golden.details)
+    count = ingest.duplicate_violations(doubled, ["product_id"], "details").first().violations
+    assert count == golden.details.count()
+    lost = ingest.orphan_violations(bad, "product_id", golden.products, "id", "orders").first()
+    assert lost.violations == 1
+
+
+def test_load_counts(golden):
+    rows = ingest.load_counts(golden.products, golden.variants).collect()
+    assert {r.roaster_id: (r.n_products, r.n_variants) for r in rows} == {1: (24, 25), 2: (1, 1)}
+
+
+def test_registry_is_read_with_its_declared_type(spark, tmp_path):
+    path = tmp_path / "registry.json"
+    path.write_text(json.dumps([{"key": "k", "name": "n", "description": "d", "url": "u"}]))
+    assert landing.read_registry(spark, str(path)).first().asDict() == {
+        "key": "k", "name": "n", "description": "d", "url": "u",
+    }
