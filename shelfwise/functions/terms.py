@@ -65,8 +65,7 @@ def found_values(found, dictionary: list[Term], kind: str, role: str | None = No
     entries = [e for e in dictionary if e.kind == kind and (role is None or e.role == role)]
     if not entries:
         return F.array().cast("array<string>")
-    known = F.create_map(
-        *[F.lit(part) for pair in {e.term: e.value for e in entries}.items() for part in pair]
-    )
-    hits = F.filter(F.transform(found, lambda term: known[term]), lambda value: value.isNotNull())
+    values = {entry.term: entry.value for entry in entries}
+    known = F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
+    hits = F.transform(F.array_intersect(found, F.lit(sorted(values))), lambda term: known[term])
     return F.array_sort(F.array_distinct(hits))

@@ -65,9 +65,10 @@ def whole_beans(
 ) -> DataFrame:
     """One row per product line and seller: the smallest sellable package.
 
-    The variant filter runs before any shuffle. The rank keeps one row per group on the map side
-    already, so a title that holds a third of all variants sends one row per task, and details are
-    joined to the survivors only.
+    The variant filter runs before any shuffle. Packages are ranked per seller key first, which
+    keeps one row per group on the map side already, so a title or a seller that holds a third of
+    all variants sends few rows on. Only the survivors meet the seller's name, on which the rank is
+    defined, and the details.
     """
     package = variants.filter(rules.sellable()).select(
         "product_id", F.col("id").alias("variant_id"), "parent_title", "price", "grams",
@@ -77,13 +78,14 @@ def whole_beans(
         F.col("id").alias("product_id"), "roaster_id", F.col("url").alias("product_url")
     )
     seller = roasters.select(F.col("id").alias("roaster_id"), F.col("name").alias("roaster_name"))
-    by_size = Window.partitionBy("parent_title", "roaster_name").orderBy(
-        F.asc_nulls_first("grams"), "variant_id"
-    )
+    per_key = _smallest_first("parent_title", "roaster_id")
+    per_name = _smallest_first("parent_title", "roaster_name")
     smallest = (
         package.join(listing, "product_id")
+        .withColumn("rank", per_key)
+        .filter("rank = 1")
         .join(seller, "roaster_id")
-        .withColumn("rank", F.row_number().over(by_size))
+        .withColumn("rank", per_name)
         .filter("rank = 1")
     )
     return (
@@ -93,6 +95,11 @@ def whole_beans(
     )
 
 
+def _smallest_first(*group: str) -> Column:
+    by_size = Window.partitionBy(*group).orderBy(F.asc_nulls_first("grams"), "variant_id")
+    return F.row_number().over(by_size)
+
+
 def available_options(beans: DataFrame, orders: DataFrame) -> DataFrame:
     """Single-origin rows whose variant nobody in ``orders`` has bought.
 

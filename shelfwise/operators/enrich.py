@@ -126,16 +126,24 @@ def assemble_documents(products: DataFrame, pages: DataFrame, fragment: str = "d
 
 def altitude(text: Column) -> Column:
     """Altitude in metres without a unit, ``low-high`` or one number; null when there is none."""
-    unit = r"(masl|metres|meters|m|feet|ft)\b"
-    pattern = r"(?i)(?:(\d[\d,]*)\s*(?:masl|m|ft)?\s*(?:-|–|to)\s*)?(\d[\d,]*)\s*" + unit
+    pattern = (
+        r"(?i)(?:(\d[\d,]*)\s*(?:masl|m|ft)?\s*(?:-|–|to)\s*)?(\d[\d,]*)\s*"
+        r"(masl|metres|meters|m|feet|ft)\b"
+    )
+
+    def normalised(span: Column) -> Column:
+        feet = F.lower(span).rlike("f(ee)?t$")
+
+        def metres(group: int) -> Column:
+            digits = F.replace(F.regexp_extract(span, pattern, group), F.lit(","), F.lit(""))
+            number = digits.try_cast("int")
+            return F.when(feet, F.round(number * FEET_TO_METRES).cast("int")).otherwise(number)
 
-    def metres(group: int) -> Column:
-        digits = F.replace(F.regexp_extract(text, pattern, group), F.lit(","), F.lit(""))
-        number = digits.try_cast("int")
-        feet = F.lower(F.regexp_extract(text, pattern, 3)).isin("ft", "feet")
-        return F.when(feet, F.round(number * FEET_TO_METRES).cast("int")).otherwise(number)
+        return blank_to_null(F.concat_ws("-", metres(1), metres(2)))
 
-    return blank_to_null(F.concat_ws("-", metres(1), metres(2)))
+    # The array of one element makes the search through the whole text run once per row.
+    span = F.array(F.regexp_substr(text, F.lit(pattern)))
+    return F.transform(span, lambda s: F.when(s.isNotNull(), normalised(s)))[0]
 
 
 def highest_metres(altitude_text: Column) -> Column:

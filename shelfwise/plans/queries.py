@@ -13,7 +13,7 @@ from shelfwise.functions.terms import Term
 from shelfwise.operators import catalog, enrich, ingest, orders, recommend, resolve, spend
 from shelfwise.plans import store as model
 from shelfwise.plans.store import Store
-from shelfwise.session import tune
+from shelfwise.session import cut_lineage, tune
 from shelfwise.sources import landing, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,18 +255,26 @@ def _with_notes_key(frame: DataFrame) -> DataFrame:
     return frame.withColumn("notes_key", recommend.notes_key(notes))
 
 
-def _recommendation(s: Store) -> DataFrame:
-    history = _with_notes_key(s.history())
+def _recommendation(s: Store, beans: DataFrame) -> DataFrame:
+    """History is read by three aggregations and the catalog by two joins, so both are kept."""
+    history = cut_lineage(
+        _with_notes_key(s.history(beans)).select(
+            "user_id", "product_id", "order_date", "price", *recommend.FEATURES
+        )
+    )
     summary = spend.spending_summary(history, s.users(), model.AS_OF)
     budgets = spend.with_budget(summary, model.MONTHLY_BUDGET)
-    return recommend.recommend_from_history(
-        budgets, history, _with_notes_key(s.single_origins())
-    )
+    options = _with_notes_key(s.single_origins(beans))
+    return recommend.recommend_from_history(budgets, history, options)
+
+
+def _kept_beans(s: Store) -> DataFrame:
+    return cut_lineage(s.beans())
 
 
 @query
 def recommendation(s: Store) -> DataFrame:
-    return _recommendation(s)
+    return _recommendation(s, _kept_beans(s))
 
 
 @query
@@ -277,9 +285,10 @@ def candidate_counts(s: Store) -> DataFrame:
 @query
 def recommended_orders(s: Store) -> DataFrame:
     """The offers picked, written back: text, its first line, the order it means."""
-    options = s.single_origins()
+    beans = _kept_beans(s)
+    options = s.single_origins(beans)
     shown = options.select("product_id", "variant_id", "parent_title", "roaster_name")
-    picked = _recommendation(s).select("user_id", "product_id", "variant_id")
+    picked = _recommendation(s, beans).select("user_id", "product_id", "variant_id")
     texts = picked.join(shown, ["product_id", "variant_id"]).select(
         F.col("user_id").alias("request_id"),
         F.concat(
@@ -349,25 +358,29 @@ def unresolved_order_keys(s: Store) -> DataFrame:
 
 
 def _labelled_beans(s: Store) -> DataFrame:
-    return s.beans().withColumn("label", F.concat_ws(" ", "parent_title", "roaster_name"))
+    """The catalog by label; kept, because requests are made from it and looked up in it."""
+    rows = s.beans().withColumn("label", F.concat_ws(" ", "parent_title", "roaster_name"))
+    return cut_lineage(rows.select("product_id", "variant_id", "price", "roaster_name", "label"))
 
 
-def _fragments(s: Store) -> DataFrame:
-    """What customers type: part names, full labels of everything on sale, words, and labels
-    turned round, which name nothing."""
-    names = s.table("part").select(F.upper("p_name").alias("fragment"))
-    words = s.table("part").select(F.explode(F.split("p_name", " ")).alias("fragment"))
-    parts = s.table("part").select(F.substr("p_name", F.lit(1), F.lit(3)).alias("fragment"))
-    labels = _labelled_beans(s).select(F.col("label").alias("fragment"))
-    wild = _labelled_beans(s).select(F.replace("label", F.lit(" "), F.lit("%")).alias("fragment"))
-    turned = s.table("part").select(F.concat_ws(" ", F.reverse(F.split("p_name", " "))))
-    every = names.union(words).union(parts).union(labels).union(wild).union(turned)
-    return every.distinct()
+def _fragments(s: Store, beans: DataFrame) -> DataFrame:
+    """What customers type: part names, full labels of everything on sale, words, and names
+    turned round, which mean nothing."""
+    part = s.table("part").select("p_name").distinct()
+    words = F.split("p_name", " ")
+    typed = F.array(
+        F.upper("p_name"), F.substr("p_name", F.lit(1), F.lit(3)),
+        F.concat_ws(" ", F.reverse(words)),
+    )
+    names = part.select(F.explode(F.concat(words, typed)).alias("fragment"))
+    labels = F.array(F.col("label"), F.replace("label", F.lit(" "), F.lit("%")))
+    return names.union(beans.select(F.explode(labels))).distinct()
 
 
 @query
 def resolve_names(s: Store) -> DataFrame:
-    return resolve.resolve_names(_fragments(s), _labelled_beans(s), "label")
+    beans = _labelled_beans(s)
+    return resolve.resolve_names(_fragments(s, beans), beans, "label")
 
 
 @query
@@ -380,7 +393,8 @@ def match_fragments(s: Store) -> DataFrame:
 
 @query
 def bulk_order_by_name(s: Store) -> DataFrame:
-    resolved = resolve.resolve_names(_fragments(s), _labelled_beans(s), "label")
+    beans = _labelled_beans(s)
+    resolved = resolve.resolve_names(_fragments(s, beans), beans, "label")
     requests, _ = resolve.order_requests_by_name(resolved)
     dated = requests.withColumn("order_date", F.lit(model.LOAD_TS))
     placed, _ = orders.order_snapshot(
@@ -395,7 +409,8 @@ def bulk_order_by_name(s: Store) -> DataFrame:
 
 @query
 def names_not_found(s: Store) -> DataFrame:
-    resolved = resolve.resolve_names(_fragments(s), _labelled_beans(s), "label")
+    beans = _labelled_beans(s)
+    resolved = resolve.resolve_names(_fragments(s, beans), beans, "label")
     return resolve.order_requests_by_name(resolved)[1]
 
 

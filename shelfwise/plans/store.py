@@ -180,12 +180,12 @@ class Store:
     def options(self, beans: DataFrame | None = None) -> DataFrame:
         return catalog.available_options(beans or self.beans(), self.known_orders())
 
-    def single_origins(self) -> DataFrame:
-        return self.beans().filter(F.col("coffee_type") == "Single Origin")
+    def single_origins(self, beans: DataFrame | None = None) -> DataFrame:
+        return (beans or self.beans()).filter(F.col("coffee_type") == "Single Origin")
 
-    def history(self) -> DataFrame:
+    def history(self, beans: DataFrame | None = None) -> DataFrame:
         lines = self.orders().filter(F.col("order_date") <= F.lit(AS_OF))
-        return spend.purchase_history(lines, self.beans(), self.roasters())
+        return spend.purchase_history(lines, beans or self.beans(), self.roasters())
 
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"))

@@ -88,10 +88,10 @@ def test_fragment_matching_against_brute_force(spark):
     assert counts == {f: sum(1 for g, _ in expected if g == f) for f in fragments}
 
 
-@pytest.mark.parametrize("gram", [1, 2, 4])
-def test_gram_size_does_not_change_the_result(golden, spark, gram):
+@pytest.mark.parametrize("widths", [(1,), (2, 4), (1, 2, 3, 4, 5)])
+def test_gram_widths_do_not_change_the_result(golden, spark, widths):
     fragments = spark.createDataFrame([("kilo",), ("an",), ("s%d",)], "fragment STRING")
-    rows = resolve.resolve_names(fragments, golden.beans, gram=gram).collect()
+    rows = resolve.resolve_names(fragments, golden.beans, widths=widths).collect()
     counts = {r.fragment: r.n_matches for r in rows}
     assert counts == {"kilo": 2, "an": 4, "s%d": 3}
 
