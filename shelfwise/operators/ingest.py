@@ -44,8 +44,13 @@ def display_names(sources: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+def identified(records: DataFrame) -> DataFrame:
+    """Add the product's stable id: sellers may use the same source ids, not the same links."""
+    return records.withColumn("product_id", stable_id("roaster_id", "url"))
+
+
 def product_rows(records: DataFrame, load_ts: datetime) -> DataFrame:
-    """Product table rows from landing records that carry their roaster_id."""
+    """Product table rows from identified landing records, with their source_id."""
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(EMPTY)).alias(name)
@@ -54,20 +59,20 @@ def product_rows(records: DataFrame, load_ts: datetime) -> DataFrame:
         return F.col(name).try_cast("timestamp").alias(name)
 
     return records.select(
-        stable_id("roaster_id", "url").alias("id"),
+        F.col("product_id").alias("id"),
         F.col("id").alias("source_id"),
         "roaster_id", "title", text("handle"), text("body_html"),
         when("published_at"), when("created_at"), when("updated_at"),
         text("vendor"), text("product_type"), joined_list(F.col("tags")).alias("tags"), "url",
-        F.lit(None).cast("string").alias("parent_title"),
         F.lit(load_ts).alias("last_updated"),
     )
 
 
 def option_rows(records: DataFrame) -> DataFrame:
     """One row per element of ``options``; records without a list give none."""
-    options = F.explode(F.from_json("options", OPTION_LIST)).alias("option")
-    return records.select(F.col("id").alias("product_id"), options).select(
+    options = F.posexplode(F.from_json("options", OPTION_LIST)).alias("at", "option")
+    return records.select("product_id", options).select(
+        stable_id("product_id", "at").alias("id"),
         "product_id",
         F.coalesce("option.name", F.lit(EMPTY)).alias("name"),
         joined_list(F.col("option.values")).alias("values"),
@@ -77,7 +82,8 @@ def option_rows(records: DataFrame) -> DataFrame:
 def image_rows(records: DataFrame) -> DataFrame:
     """One row per element of ``images``, positions counted from 1."""
     images = F.posexplode(F.from_json("images", IMAGE_LIST)).alias("at", "image")
-    return records.select(F.col("id").alias("product_id"), images).select(
+    return records.select("product_id", images).select(
+        stable_id("product_id", "at").alias("id"),
         "product_id",
         (F.col("at") + 1).alias("position"),
         F.coalesce("image.src", F.lit(EMPTY)).alias("src"),
@@ -97,7 +103,7 @@ def coerce_variants(variants: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit(EMPTY)).alias(name)
 
     return variants.select(
-        "parent_id", "title",
+        "roaster_id", "parent_id", "title",
         _integer("available", 0),
         F.col("compare_at_price").try_cast("double").alias("compare_at_price"),
         text("featured_image"),
@@ -118,9 +124,12 @@ def coerce_variants(variants: DataFrame) -> DataFrame:
 
 
 def variant_rows(variants: DataFrame, products: DataFrame, load_ts: datetime) -> DataFrame:
-    """Variant table rows: coerced landing variants attached to their product."""
-    parents = products.select(F.col("source_id").alias("parent_id"), F.col("id").alias("product_id"))
-    attached = coerce_variants(variants).join(parents, "parent_id").drop("parent_id")
+    """Variant table rows: coerced landing variants attached to the product of their seller."""
+    parents = products.select(
+        "roaster_id", F.col("source_id").alias("parent_id"), F.col("id").alias("product_id")
+    )
+    keys = ["roaster_id", "parent_id"]
+    attached = coerce_variants(variants).join(parents, keys).drop(*keys)
     return attached.select(
         stable_id("product_id", "title", "option1", "option2", "option3", "position").alias("id"),
         "*",

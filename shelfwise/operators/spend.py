@@ -47,6 +47,12 @@ def monthly_spend(history: DataFrame) -> DataFrame:
     )
 
 
+def spend_in_month(history: DataFrame, month: date) -> DataFrame:
+    """Spend per buyer in the calendar month of one day."""
+    wanted = F.trunc(F.lit(month), "month")
+    return monthly_spend(history.filter(month_of("order_date") == wanted)).drop("month")
+
+
 def spending_summary(history: DataFrame, users: DataFrame, as_of: date) -> DataFrame:
     """Spend of the current and the last month and the mean of the three months before this one.
 

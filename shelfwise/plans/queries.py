@@ -284,7 +284,7 @@ def candidate_counts(s: Store) -> DataFrame:
 
 @query
 def recommended_orders(s: Store) -> DataFrame:
-    """The offers picked, written back: text, its first line, the order it means."""
+    """The offers picked, written back: text, its first line, the order it means, its snapshot."""
     beans = _kept_beans(s)
     options = s.single_origins(beans)
     shown = options.select("product_id", "variant_id", "parent_title", "roaster_name")
@@ -297,10 +297,13 @@ def recommended_orders(s: Store) -> DataFrame:
             "parent_title", F.lit("\n\nA change from recent purchases."),
         ).alias("text"),
     )
-    resolved, _ = resolve.resolve_order_strings(texts, options)
-    return resolved.select(
-        F.col("request_id").alias("user_id"), "product_id", "variant_id", "parent_title",
-        "quantity", "price_paid", "matched_by",
+    placed, _ = orders.place_order_strings(
+        texts, options, s.products(), s.variants(), s.roasters(), s.details(), model.LOAD_TS
+    )
+    return placed.select(
+        F.col("request_id").alias("user_id"), "product_id", "variant_id", "product_title",
+        "quantity", "price_paid", "matched_by", "roaster_name", "product_url", "option1",
+        "origin_country", "processing_method",
     )
 
 
@@ -431,6 +434,7 @@ def _product_records(s: Store) -> DataFrame:
     no_images = F.col("p_type") == "PROMO"
     return s.table("part").select(
         F.col("p_partkey").alias("id"),
+        F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("title"),
         F.lit(None).cast("string").alias("handle"),
         F.col("p_brand").alias("body_html"),
@@ -461,12 +465,12 @@ def product_rows(s: Store) -> DataFrame:
 
 @query
 def flatten_options(s: Store) -> DataFrame:
-    return ingest.option_rows(_product_records(s))
+    return ingest.option_rows(_product_records(s)).drop("id")
 
 
 @query
 def flatten_images(s: Store) -> DataFrame:
-    return ingest.image_rows(_product_records(s))
+    return ingest.image_rows(_product_records(s)).drop("id")
 
 
 @query
@@ -486,6 +490,7 @@ def _variant_records(s: Store) -> DataFrame:
     missing = F.lit(None).cast("string")
     flag = F.col("l_returnflag")
     return s.table("lineitem").select(
+        F.lit(1).cast("bigint").alias("roaster_id"),
         F.col("l_partkey").alias("parent_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("title"),
         F.when(flag == "R", "1").when(flag == "A", "yes").alias("available"),
@@ -509,9 +514,8 @@ def _variant_records(s: Store) -> DataFrame:
 def variant_coercion(s: Store) -> DataFrame:
     products = ingest.product_rows(_product_records(s), model.LOAD_TS)
     rows = ingest.variant_rows(_variant_records(s), products, model.LOAD_TS)
-    parents = products.select(F.col("id").alias("product_id"), "source_id")
-    return rows.join(parents, "product_id").select(
-        "source_id", "title", "available", "compare_at_price", "grams", "option1", "option2",
+    return rows.select(
+        F.col("product_id").alias("source_id"), "title", "available", "compare_at_price", "grams", "option1", "option2",
         "option3", "position", "price", "requires_shipping", "taxable", "weight",
         "inventory_quantity",
     )

@@ -282,8 +282,10 @@ picked AS (SELECT * FROM step3 QUALIFY 1 = row_number() OVER (
   PARTITION BY user_id ORDER BY n_notes_key, price, product_id, variant_id))"""
 TWINS["recommendation"] = _with("SELECT * FROM picked", _PICKED)
 TWINS["recommended_orders"] = _with("""
-SELECT user_id, product_id, variant_id, parent_title, 1 AS quantity, b.price AS price_paid,
-       'ids' AS matched_by FROM picked JOIN beans b USING (product_id, variant_id)""", _PICKED)
+SELECT user_id, product_id, variant_id, b.parent_title AS product_title, 1 AS quantity,
+       b.price AS price_paid, 'ids' AS matched_by, b.roaster_name, b.product_url, b.option1,
+       b.origin_country, b.processing_method
+FROM picked JOIN beans b USING (product_id, variant_id)""", _PICKED)
 
 TWINS["candidate_counts"] = _with("""
 SELECT c_custkey AS user_id, count(DISTINCT b.product_id) AS n_ordered,

@@ -53,5 +53,14 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY).json(path, multiLine=True)
 
 
+def registry_rows(spark: SparkSession, sources: dict[str, dict[str, str]]) -> DataFrame:
+    """The configured sources from a mapping of key to name, description and url."""
+    rows = [
+        (key, entry["name"], entry.get("description"), entry["url"])
+        for key, entry in sources.items()
+    ]
+    return spark.createDataFrame(rows, REGISTRY)
+
+
 def source_urls(registry: DataFrame) -> DataFrame:
     return registry.select("key", "url")

@@ -30,6 +30,11 @@ def landed(spark, tmp_path):
     return landing.read_landing(spark, str(tmp_path), schemas.PRODUCT_RAW)
 
 
+def identified(landed):
+    good = landing.good_records(landed).withColumn("roaster_id", F.lit(1).cast("bigint"))
+    return ingest.identified(good)
+
+
 def test_bad_records_are_kept_apart_and_reported(landed):
     report = {r.source: (r.n_rows, r.n_bad) for r in landing.load_report(landed).collect()}
     assert report == {"one": (3, 1), "two": (1, 1)}
@@ -38,19 +43,20 @@ def test_bad_records_are_kept_apart_and_reported(landed):
 
 
 def test_products_options_and_images(landed):
-    records = landing.good_records(landed).withColumn("roaster_id", F.lit(1).cast("bigint"))
+    records = identified(landed)
     rows = {r.source_id: r for r in ingest.product_rows(records, STAMP).collect()}
     assert (rows[1].tags, rows[2].tags) == ("a,b", "x,y")
     assert rows[1].handle == "" and rows[1].created_at is None
     assert rows[1].published_at == datetime(2024, 5, 6, 7, 8, 9)
+    kilo = rows[1].id
     options = {(r.product_id, r.name, r["values"]) for r in ingest.option_rows(records).collect()}
-    assert options == {(1, "Size", "250g,1kg"), (1, "", "x")}
+    assert options == {(kilo, "Size", "250g,1kg"), (kilo, "", "x")}
     images = [(r.product_id, r.position, r.src) for r in ingest.image_rows(records).collect()]
-    assert sorted(images) == [(1, 1, "1.jpg"), (1, 2, "")]
+    assert sorted(images) == [(kilo, 1, "1.jpg"), (kilo, 2, "")]
 
 
 def test_loading_twice_changes_nothing(landed):
-    records = landing.good_records(landed).withColumn("roaster_id", F.lit(1).cast("bigint"))
+    records = identified(landed)
     first = ingest.product_rows(ingest.newest_records(records, "url"), STAMP)
     doubled = ingest.newest_records(records.unionByName(records), "url")
     second = ingest.product_rows(doubled, STAMP)
@@ -64,8 +70,12 @@ def test_variant_coercion(spark):
         "parent_id": 1, "title": "v", "available": "true", "grams": "23.9", "price": None,
         "position": "many", "requires_shipping": "0", "compare_at_price": "", "weight": "0.25",
     }
-    variants = spark.createDataFrame([[values.get(c) for c in columns]], schemas.VARIANT_RAW)
-    products = spark.createDataFrame([(1, 77), (2, 78)], "source_id BIGINT, id BIGINT")
+    variants = spark.createDataFrame(
+        [[values.get(c) for c in columns]], schemas.VARIANT_RAW
+    ).withColumn("roaster_id", F.lit(5).cast("bigint"))
+    products = spark.createDataFrame(
+        [(5, 1, 77), (5, 2, 78), (6, 1, 79)], "roaster_id BIGINT, source_id BIGINT, id BIGINT"
+    )
     row = ingest.variant_rows(variants, products, STAMP).first()
     assert (row.product_id, row.available, row.grams, row.price) == (77, 1, 23, 0.0)
     assert (row.position, row.requires_shipping, row.taxable) == (0, 0, 1)
@@ -81,6 +91,8 @@ def test_display_names(spark):
     rows = {r.name: r.description for r in ingest.display_names(sources, registry).collect()}
     assert rows == {"blue_kettle": "Blue Kettle Roastery", "grey_cup": "Grey_Cup"}
     assert [tuple(r) for r in landing.source_urls(registry).collect()] == [("k", "https://b")]
+    mapping = {"k": {"name": "blue_kettle", "description": "Blue", "url": "https://b"}}
+    assert landing.registry_rows(spark, mapping).first().description == "Blue"
 
 
 def test_upsert_takes_over_the_description_only(spark):
