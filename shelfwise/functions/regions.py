@@ -29,43 +29,40 @@ def region_text(html: Column, fragment: str = "desc") -> Column:
     void = frozenset(VOID_TAGS)
 
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import re
         from html import unescape
         from html.entities import html5
         from html.parser import HTMLParser
 
+        # A class may be written with character references; such pages are parsed to be sure.
+        encoded = re.compile(r"class\s*=[^<]*&", re.IGNORECASE)
+
         class Regions(HTMLParser):
             def __init__(self):
                 super().__init__(convert_charrefs=False)
-                self.open = []  # (tag, text pieces of the region or None)
-                self.found = []  # text pieces per region, in page order
+                self.open = []  # tags, from the outermost to the innermost
+                self.inside = []  # (depth, text pieces) of the regions that are open
+                self.found = []  # text pieces of every region, in page order
                 self.run = []  # text since the last tag
 
             def flush(self):
-                if not self.run:
+                text, self.run = "".join(self.run), []
+                if not text or not self.inside or self.open[-1] in ("script", "style"):
                     return
-                text = "".join(self.run)
-                self.run = []
-                tags = [tag for tag, _ in self.open]
-                if not text.strip(" \t\n\r\f\v") and "pre" not in tags and "textarea" not in tags:
+                if text.isspace() and not {"pre", "textarea"}.intersection(self.open):
                     text = "\n" if "\n" in text else " "
-                if "script" in tags or "style" in tags:
-                    return
-                for _, pieces in self.open:
-                    if pieces is not None:
-                        pieces.append(text)
+                for _, pieces in self.inside:
+                    pieces.append(text)
 
             def handle_starttag(self, tag, attrs):
                 self.flush()
                 if tag in void:
                     return
+                self.open.append(tag)
                 classes = " ".join((dict(attrs).get("class") or "").split()).lower()
-                pieces = None
-                inside = {name for name, _ in self.open}
-                if tag == "div" and wanted in classes and not inside & {"script", "style"}:
-                    pieces = []
-                    if classes:
-                        self.found.append(pieces)
-                self.open.append((tag, pieces))
+                if tag == "div" and classes and wanted in classes:
+                    self.inside.append((len(self.open), []))
+                    self.found.append(self.inside[-1][1])
 
             def handle_startendtag(self, tag, attrs):
                 self.handle_starttag(tag, attrs)
@@ -73,10 +70,12 @@ def region_text(html: Column, fragment: str = "desc") -> Column:
 
             def handle_endtag(self, tag):
                 self.flush()
-                for depth in range(len(self.open) - 1, -1, -1):
-                    if self.open[depth][0] == tag:
-                        del self.open[depth:]
-                        return
+                if tag not in self.open:
+                    return
+                while self.open.pop() != tag:
+                    pass
+                while self.inside and self.inside[-1][0] > len(self.open):
+                    self.inside.pop()
 
             def handle_comment(self, data):
                 self.flush()
@@ -84,17 +83,21 @@ def region_text(html: Column, fragment: str = "desc") -> Column:
             def handle_decl(self, decl):
                 self.flush()
 
+            def text(self, piece):
+                if self.inside:
+                    self.run.append(piece)
+
             def handle_data(self, data):
-                self.run.append(data)
+                self.text(data)
 
             def handle_entityref(self, name):
-                self.run.append(html5.get(name + ";", "&" + name))
+                self.text(html5.get(name + ";", "&" + name))
 
             def handle_charref(self, name):
-                self.run.append(unescape(f"&#{name};"))
+                self.text(unescape(f"&#{name};"))
 
         def lines_of(page):
-            if not page:
+            if not page or (wanted not in page.lower() and not encoded.search(page)):
                 return ""
             parser = Regions()
             parser.feed(page)

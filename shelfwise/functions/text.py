@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +39,8 @@ def first_line(column) -> Column:
 
 def contains_any(column, terms) -> Column:
     """True where the text holds one of the fragments, in any case; null for null text."""
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.lower(column).contains(term.lower())
-    return F.when(column.isNotNull(), found)
+    text = F.lower(column)
+    return reduce(or_, (text.contains(term.lower()) for term in terms))
 
 
 def csv_to_array(column) -> Column:

@@ -94,9 +94,12 @@ def product_by_url(urls: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def page_texts(pages: DataFrame, fragment: str = "desc") -> DataFrame:
-    """Description text per url; of several pages with one url the first."""
-    first = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
-    return first.select("url", region_text(F.col("html"), fragment).alias("page_text"))
+    """Description text per url; of several pages with one url the first.
+
+    The text is taken out before anything is shuffled: it is a small part of the page.
+    """
+    texts = pages.select("url", "page_id", region_text(F.col("html"), fragment).alias("text"))
+    return texts.groupBy("url").agg(F.min_by("text", "page_id").alias("page_text"))
 
 
 def assembled_text(title: Column, description: Column, page: Column, tags: Column) -> Column:

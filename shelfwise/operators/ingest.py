@@ -27,8 +27,10 @@ def joined_list(column) -> Column:
 
 
 def newest_records(records: DataFrame, *key: str) -> DataFrame:
-    """One record per key, the one updated last."""
-    newest = Window.partitionBy(*key).orderBy(F.desc_nulls_last("updated_at"), F.desc("id"))
+    """One record per key, the one updated last; its content settles ties the same way each run."""
+    newest = Window.partitionBy(*key).orderBy(
+        F.desc_nulls_last("updated_at"), F.xxhash64(*records.columns)
+    )
     return (
         records.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
     )

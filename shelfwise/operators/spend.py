@@ -15,7 +15,10 @@ BUDGET_FLEXIBILITY = 0.2
 
 
 def purchase_history(orders: DataFrame, beans: DataFrame, roasters: DataFrame) -> DataFrame:
-    """Order lines whose product is still sellable, with its catalog attributes."""
+    """Order lines whose product is still sellable, with its catalog attributes.
+
+    The catalog meets the sellers first, so that the lines, the large side, are shuffled once.
+    """
     names = roasters.select(
         F.col("id").alias("roaster_id"), F.col("description").alias("roaster_name")
     )
@@ -27,7 +30,7 @@ def purchase_history(orders: DataFrame, beans: DataFrame, roasters: DataFrame) -
         "id", "user_id", "product_id", "variant_id", "order_date",
         F.col("price_paid").alias("price"),
     )
-    return lines.join(catalog, "product_id").join(names, "roaster_id")
+    return lines.join(catalog.join(names, "roaster_id"), "product_id")
 
 
 def full_history(orders: DataFrame) -> DataFrame:

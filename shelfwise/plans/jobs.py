@@ -106,7 +106,7 @@ def load_catalog(
         return kept.unionByName(conform(rows, table))
 
     fresh_ids = fresh.select(F.col("id").alias("product_id"))
-    packages = ingest.variant_rows(variants, fresh, load_ts).dropDuplicates(["id"])
+    packages = ingest.newest_records(ingest.variant_rows(variants, fresh, load_ts), "id")
     write_tables(
         target,
         roasters=sellers,
@@ -146,7 +146,8 @@ def enrich_catalog(
     else:
         todo = ids.select("product_id").distinct()
     chosen = products.join(todo.withColumnRenamed("product_id", "id"), "id", "left_semi")
-    texts = enrich.assemble_documents(chosen, pages)
+    wanted = pages.join(chosen.select("url").distinct(), "url", "left_semi")
+    texts = enrich.assemble_documents(chosen, wanted)
     names = now.table("roasters").select(
         F.col("id").alias("roaster_id"), F.col("description").alias("roaster_name")
     )

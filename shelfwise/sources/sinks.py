@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 
 def append_orders(orders: DataFrame, folder: str) -> None:
-    """Append order rows, one folder per month, so that spend queries read few of them."""
-    orders.withColumn("order_month", F.trunc("order_date", "month")).write.mode(
-        "append"
-    ).partitionBy("order_month").parquet(folder)
+    """Append order rows, one folder per month, so that spend queries read few of them.
+
+    Rows are rebalanced by month: few files for a small month, several tasks for a large one.
+    """
+    dated = orders.withColumn("order_month", F.trunc("order_date", "month"))
+    dated.hint("rebalance", "order_month").write.mode("append").partitionBy(
+        "order_month"
+    ).parquet(folder)
 
 
 def write_snapshot(table: DataFrame, folder: str) -> None:
