@@ -52,32 +52,40 @@ def monthly_spend(history: DataFrame) -> DataFrame:
 
 def spend_in_month(history: DataFrame, month: date) -> DataFrame:
     """Spend per buyer in the calendar month of one day."""
-    wanted = F.trunc(F.lit(month), "month")
-    return monthly_spend(history.filter(month_of("order_date") == wanted)).drop("month")
+    start, end = _month_start(month, 0), _month_start(month, -1)
+    bought = F.col("order_date")
+    return monthly_spend(
+        history.filter((bought >= F.lit(start)) & (bought < F.lit(end)))
+    ).drop("month")
+
+
+def _month_start(day: date, back: int) -> date:
+    """First day of the month ``back`` months before that of ``day``."""
+    months = day.year * 12 + day.month - 1 - back
+    return date(months // 12, months % 12 + 1, 1)
 
 
 def spending_summary(history: DataFrame, users: DataFrame, as_of: date) -> DataFrame:
     """Spend of the current and the last month and the mean of the three months before this one.
 
-    One conditional aggregation over the four months concerned; buyers without orders get zeros.
+    One conditional aggregation. The four months are literal bounds on the date, so they reach the
+    scan of the orders. Buyers without orders get zeros.
     """
-    this_month = F.trunc(F.lit(as_of), "month")
-    bought = month_of("order_date")
 
-    def spent(first_back: int, last_back: int) -> Column:
-        within = bought.between(
-            F.add_months(this_month, -first_back), F.add_months(this_month, -last_back)
+    def within(first_back: int, last_back: int) -> Column:
+        bought = F.col("order_date")
+        return (bought >= F.lit(_month_start(as_of, first_back))) & (
+            bought < F.lit(_month_start(as_of, last_back - 1))
         )
-        return F.coalesce(F.sum(F.when(within, as_money(F.col("price")))), F.lit(0))
 
-    recent = history.filter(
-        (F.col("order_date").cast("date") >= F.add_months(this_month, -3))
-        & (F.col("order_date").cast("date") < F.add_months(this_month, 1))
-    )
-    sums = recent.groupBy("user_id").agg(
-        spent(0, 0).cast("double").alias("current_month"),
-        spent(1, 1).cast("double").alias("last_month"),
-        (spent(3, 1).cast("double") / 3).alias("three_month_average"),
+    def spent(first_back: int, last_back: int) -> Column:
+        total = F.sum(F.when(within(first_back, last_back), as_money(F.col("price"))))
+        return F.coalesce(total, F.lit(0)).cast("double")
+
+    sums = history.filter(within(3, 0)).groupBy("user_id").agg(
+        spent(0, 0).alias("current_month"),
+        spent(1, 1).alias("last_month"),
+        (spent(3, 1) / 3).alias("three_month_average"),
     )
     amounts = ("current_month", "last_month", "three_month_average")
     return users.select("user_id").join(sums, "user_id", "left").na.fill(0.0, amounts)

@@ -31,6 +31,12 @@ def query(build: Callable[[Store], DataFrame]) -> Callable[[Store], DataFrame]:
     return build
 
 
+
+
+def _day(name: str = "order_date"):
+    return F.col(name).cast("date").alias(name)
+
+
 # ---------------------------------------------------------------- catalog
 
 
@@ -94,7 +100,7 @@ def order_history_view(s: Store) -> DataFrame:
     view = orders.order_history_view(s.orders(), s.beans(), s.roasters())
     return orders.newest_first(
         view.select(
-            "id", "user_id", "product_id", "variant_id", "order_date", "quantity", "price_paid",
+            "id", "user_id", "product_id", "variant_id", _day(), "quantity", "price_paid",
             "roaster_display_name", "parent_title", "current_processing_method",
             "current_origin_country", "current_origin_region",
         )
@@ -115,7 +121,7 @@ def _carried_variants(s: Store) -> DataFrame:
 @query
 def order_status(s: Store) -> DataFrame:
     marked = orders.order_status(s.orders(), _carried_variants(s))
-    return marked.select("id", "user_id", "order_date", "price_paid", "product_status")
+    return marked.select("id", "user_id", _day(), "price_paid", "product_status")
 
 
 @query
@@ -127,12 +133,13 @@ def orders_still_carried(s: Store) -> DataFrame:
 @query
 def orders_by_status(s: Store) -> DataFrame:
     marked = orders.order_status(s.orders(), _carried_variants(s))
-    return orders.orders_by_status(marked).select("bucket", "id", "order_date", "price_paid")
+    return orders.orders_by_status(marked).select("bucket", "id", _day(), "price_paid")
 
 
 @query
 def status_totals(s: Store) -> DataFrame:
-    return orders.status_totals(orders.order_status(s.orders(), _carried_variants(s)))
+    totals = orders.status_totals(orders.order_status(s.orders(), _carried_variants(s)))
+    return totals.withColumn("newest", _day("newest"))
 
 
 def _urgent_ids(s: Store) -> DataFrame:
@@ -147,7 +154,7 @@ def _urgent_ids(s: Store) -> DataFrame:
 def orders_by_id(s: Store) -> DataFrame:
     view = orders.order_history_view(s.orders(), s.beans(), s.roasters())
     return orders.orders_by_id(view, _urgent_ids(s)).select(
-        "id", "user_id", "order_date", "price_paid", "parent_title", "roaster_display_name"
+        "id", "user_id", _day(), "price_paid", "parent_title", "roaster_display_name"
     )
 
 
@@ -219,7 +226,7 @@ def spending_summary(s: Store) -> DataFrame:
 def recent_orders(s: Store) -> DataFrame:
     recent = spend.recent_orders(s.history())
     return recent.select(
-        "user_id", "position", "id", "order_date", "roaster_name", "parent_title", "price"
+        "user_id", "position", "id", _day(), "roaster_name", "parent_title", "price"
     )
 
 
@@ -234,12 +241,13 @@ def spending_report(s: Store) -> DataFrame:
 
 @query
 def feature_distribution(s: Store) -> DataFrame:
-    return spend.feature_distribution(s.history())
+    return spend.feature_distribution(s.history()).withColumn("last_order", _day("last_order"))
 
 
 @query
 def top_features(s: Store) -> DataFrame:
-    return spend.top_features(spend.feature_distribution(s.history()))
+    top = spend.top_features(spend.feature_distribution(s.history()))
+    return top.withColumn("last_order", _day("last_order"))
 
 
 @query
@@ -331,7 +339,7 @@ def display_labels(s: Store) -> DataFrame:
 # ---------------------------------------------------------------- resolving
 
 
-def _order_strings(s: Store) -> DataFrame:
+def _order_strings(beans: DataFrame) -> DataFrame:
     """Four order strings per option: by ids, by title behind an unknown key, by title, malformed."""
     pid, vid = F.col("product_id").cast("string"), F.col("variant_id").cast("string")
     name = F.concat("roaster_name", F.lit(" - "), "parent_title")
@@ -341,7 +349,7 @@ def _order_strings(s: Store) -> DataFrame:
         F.col("parent_title"),
         F.concat(F.lit("[x,"), vid, F.lit("] "), "parent_title"),
     )
-    return s.beans().select(
+    return beans.select(
         F.posexplode(forms).alias("form", "text"), pid.alias("pid"), vid.alias("vid")
     ).select(
         F.concat_ws("/", "pid", "vid", F.col("form").cast("string")).alias("request_id"), "text"
@@ -350,14 +358,14 @@ def _order_strings(s: Store) -> DataFrame:
 
 @query
 def resolve_order_keys(s: Store) -> DataFrame:
-    resolved, _ = resolve.resolve_order_strings(_order_strings(s), s.options())
-    return resolved
+    beans = _kept_beans(s)
+    return resolve.resolve_order_strings(_order_strings(beans), s.options(beans))[0]
 
 
 @query
 def unresolved_order_keys(s: Store) -> DataFrame:
-    _, rejects = resolve.resolve_order_strings(_order_strings(s), s.options())
-    return rejects
+    beans = _kept_beans(s)
+    return resolve.resolve_order_strings(_order_strings(beans), s.options(beans))[1]
 
 
 def _labelled_beans(s: Store) -> DataFrame:

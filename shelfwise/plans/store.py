@@ -104,16 +104,17 @@ class Store:
         )
 
     def variants(self) -> DataFrame:
-        packages = (
-            self.table("lineitem")
-            .groupBy("l_partkey", "l_suppkey", "l_linenumber")
-            .agg(
-                F.min("l_extendedprice").alias("price"),
-                F.max((F.col("l_linestatus") == "O").cast("int")).alias("available"),
-            )
-        )
+        """The part is joined before the grouping: filters on its columns then reach its scan and
+        keep order lines of other parts out of the grouping."""
         parts = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
-        return packages.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        lines = self.table("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        packages = lines.groupBy(
+            "l_partkey", "l_suppkey", "l_linenumber", "p_name", "p_brand", "p_type"
+        ).agg(
+            F.min("l_extendedprice").alias("price"),
+            F.max((F.col("l_linestatus") == "O").cast("int")).alias("available"),
+        )
+        return packages.select(
             variant_key().alias("id"),
             product_key().alias("product_id"),
             F.col("p_name").alias("parent_title"),
@@ -169,7 +170,7 @@ class Store:
             F.col("o_custkey").alias("user_id"),
             product_key().alias("product_id"),
             variant_key().alias("variant_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
+            F.col("o_orderdate").alias("order_date"),
             F.col("l_quantity").cast("int").alias("quantity"),
             F.col("l_extendedprice").alias("price_paid"),
         )
@@ -178,14 +179,17 @@ class Store:
         return self.orders().filter(F.col("order_date") < F.lit(KNOWN_BEFORE))
 
     def options(self, beans: DataFrame | None = None) -> DataFrame:
-        return catalog.available_options(beans or self.beans(), self.known_orders())
+        beans = self.beans() if beans is None else beans
+        return catalog.available_options(beans, self.known_orders())
 
     def single_origins(self, beans: DataFrame | None = None) -> DataFrame:
-        return (beans or self.beans()).filter(F.col("coffee_type") == "Single Origin")
+        beans = self.beans() if beans is None else beans
+        return beans.filter(F.col("coffee_type") == "Single Origin")
 
     def history(self, beans: DataFrame | None = None) -> DataFrame:
+        beans = self.beans() if beans is None else beans
         lines = self.orders().filter(F.col("order_date") <= F.lit(AS_OF))
-        return spend.purchase_history(lines, beans or self.beans(), self.roasters())
+        return spend.purchase_history(lines, beans, self.roasters())
 
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"))
