@@ -28,13 +28,18 @@ def title_case(column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
+def strip(column) -> Column:
+    """Without white space of any kind at both ends; ``trim`` takes spaces only."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+
+
 def safe_title(column) -> Column:
     """Letters, digits, space, ``-`` and ``_`` only, trimmed."""
     return F.trim(F.regexp_replace(column, r"[^\p{L}\p{N} _-]", ""))
 
 
 def first_line(column) -> Column:
-    return F.trim(F.split(column, "\n")[0])
+    return strip(F.split(column, "\n")[0])
 
 
 def contains_any(column, terms) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import contains_any
+from shelfwise.session import cut_lineage
 
 DETAIL_COLUMNS = (
     "origin_country", "origin_region", "processing_method", "roast_level", "varietals", "altitude",
@@ -56,19 +57,18 @@ def adjusted_resting_days() -> Column:
     return F.col("resting_period_days") * 2
 
 
-def whole_beans(
+def smallest_packages(
     variants: DataFrame,
     products: DataFrame,
     roasters: DataFrame,
-    details: DataFrame,
     rules: SellableRules = SellableRules(),
 ) -> DataFrame:
-    """One row per product line and seller: the smallest sellable package.
+    """One row per product line and seller: the smallest sellable package, without attributes.
 
     The variant filter runs before any shuffle. Packages are ranked per seller key first, which
     keeps one row per group on the map side already, so a title or a seller that holds a third of
     all variants sends few rows on. Only the survivors meet the seller's name, on which the rank is
-    defined, and the details.
+    defined.
     """
     package = variants.filter(rules.sellable()).select(
         "product_id", F.col("id").alias("variant_id"), "parent_title", "price", "grams",
@@ -78,18 +78,27 @@ def whole_beans(
         F.col("id").alias("product_id"), "roaster_id", F.col("url").alias("product_url")
     )
     seller = roasters.select(F.col("id").alias("roaster_id"), F.col("name").alias("roaster_name"))
-    per_key = _smallest_first("parent_title", "roaster_id")
-    per_name = _smallest_first("parent_title", "roaster_name")
-    smallest = (
+    return (
         package.join(listing, "product_id")
-        .withColumn("rank", per_key)
+        .withColumn("rank", _smallest_first("parent_title", "roaster_id"))
         .filter("rank = 1")
         .join(seller, "roaster_id")
-        .withColumn("rank", per_name)
+        .withColumn("rank", _smallest_first("parent_title", "roaster_name"))
         .filter("rank = 1")
     )
+
+
+def whole_beans(
+    variants: DataFrame,
+    products: DataFrame,
+    roasters: DataFrame,
+    details: DataFrame,
+    rules: SellableRules = SellableRules(),
+) -> DataFrame:
+    """The sellable catalog: the smallest packages with the attributes of their product."""
     return (
-        smallest.join(details.select("product_id", *DETAIL_COLUMNS), "product_id", "left")
+        smallest_packages(variants, products, roasters, rules)
+        .join(details.select("product_id", *DETAIL_COLUMNS), "product_id", "left")
         .withColumn("coffee_type", rules.coffee_type())
         .withColumn("adjusted_resting_period_days", adjusted_resting_days())
     )
@@ -141,8 +150,14 @@ def options_by_roaster(options: DataFrame) -> DataFrame:
     """The options listed per seller in title order, one row each.
 
     ``starts_group`` marks the rows that a heading goes above. It comes from a pre-aggregated
-    minimum per seller, not from a window: one seller may hold a third of the catalog.
+    minimum per seller, not from a window: one seller may hold a third of the catalog. The options
+    are kept, because the minimum, the join and the sort would each derive them again.
     """
+    options = cut_lineage(
+        options.select(
+            "roaster_name", "product_id", "variant_id", "parent_title", "origin_country", "price"
+        )
+    )
     position = F.struct("parent_title", "product_id", "variant_id")
     groups = options.groupBy("roaster_name").agg(
         F.min(position).alias("first_row"), F.count("*").alias("n_options")

@@ -96,9 +96,11 @@ def product_by_url(urls: DataFrame, products: DataFrame) -> DataFrame:
 def page_texts(pages: DataFrame, fragment: str = "desc") -> DataFrame:
     """Description text per url; of several pages with one url the first.
 
-    The text is taken out before anything is shuffled: it is a small part of the page.
+    The text is taken out before anything is shuffled: it is a small part of the page. An empty
+    page has no text, a page without a description an empty one.
     """
-    texts = pages.select("url", "page_id", region_text(F.col("html"), fragment).alias("text"))
+    text = F.when(present(F.col("html")), region_text(F.col("html"), fragment))
+    texts = pages.select("url", "page_id", text.alias("text"))
     return texts.groupBy("url").agg(F.min_by("text", "page_id").alias("page_text"))
 
 

@@ -33,6 +33,14 @@ def purchase_history(orders: DataFrame, beans: DataFrame, roasters: DataFrame) -
     return lines.join(catalog.join(names, "roaster_id"), "product_id")
 
 
+def sellable_lines(orders: DataFrame, packages: DataFrame) -> DataFrame:
+    """Order lines whose product is still sellable, without attributes: enough to sum spend."""
+    lines = orders.select(
+        "id", "user_id", "product_id", "order_date", F.col("price_paid").alias("price")
+    )
+    return lines.join(packages.select("product_id"), "product_id")
+
+
 def full_history(orders: DataFrame) -> DataFrame:
     """All order lines as they were written, also those whose product has vanished since."""
     renamed = {"price_paid": "price", "product_title": "parent_title", "product_url": "url"}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfwise.functions.terms import Term
-from shelfwise.operators import catalog, enrich, ingest, orders, recommend, spend
+from shelfwise.operators import catalog, enrich, ingest, orders, recommend, resolve, spend
 from shelfwise.operators.catalog import SellableRules
 from shelfwise.session import cut_lineage, tune
 from shelfwise.sources import landing, sinks
@@ -204,6 +204,48 @@ def advise_buyers(
     return report, picked.join(lines, ["product_id", "variant_id"])
 
 
+def _append(placed: DataFrame, orders_folder: str, as_of: datetime) -> None:
+    rows = placed.withColumns(
+        {
+            "id": ingest.stable_id("user_id", "request_id", F.lit(as_of)),
+            "created_at": F.lit(as_of),
+            "updated_at": F.lit(as_of),
+        }
+    )
+    sinks.append_orders(conform(rows, "order_history"), orders_folder)
+
+
+def add_orders(
+    spark: SparkSession, current: str, requests: DataFrame, orders_folder: str, as_of: datetime
+) -> DataFrame:
+    """Append order requests by ids (request_id, user_id, product_id, variant_id, quantity,
+    price_paid, order_date, notes); returns the rejects with their reason."""
+    now = Snapshot(tune(spark), current)
+    placed, rejects = orders.order_snapshot(
+        requests, now.table("products"), now.table("variants"), now.table("roasters"),
+        now.table("product_extended_details"), as_of,
+    )
+    _append(placed, orders_folder, as_of)
+    return rejects
+
+
+def add_orders_by_name(
+    spark: SparkSession,
+    current: str,
+    requests: DataFrame,
+    orders_folder: str,
+    as_of: datetime,
+    rules: SellableRules = SellableRules(),
+) -> DataFrame:
+    """Append an order at the catalog price for each name (request_id, user_id, fragment,
+    order_date) that means one product; returns the names that mean none or several."""
+    now = Snapshot(tune(spark), current)
+    resolved = resolve.resolve_names(requests, now.beans(rules))
+    found, missing = resolve.order_requests_by_name(resolved)
+    add_orders(spark, current, found, orders_folder, as_of)
+    return missing
+
+
 def place_orders(
     spark: SparkSession,
     current: str,
@@ -223,12 +265,5 @@ def place_orders(
         requests, options, now.table("products"), now.table("variants"), now.table("roasters"),
         now.table("product_extended_details"), as_of,
     )
-    rows = placed.withColumns(
-        {
-            "id": ingest.stable_id("user_id", "request_id", F.lit(as_of)),
-            "created_at": F.lit(as_of),
-            "updated_at": F.lit(as_of),
-        }
-    )
-    sinks.append_orders(conform(rows, "order_history"), orders_folder)
+    _append(placed, orders_folder, as_of)
     return rejects

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as t
@@ -31,9 +31,7 @@ def query(build: Callable[[Store], DataFrame]) -> Callable[[Store], DataFrame]:
     return build
 
 
-
-
-def _day(name: str = "order_date"):
+def _day(name: str = "order_date") -> Column:
     return F.col(name).cast("date").alias(name)
 
 
@@ -205,7 +203,7 @@ def order_rejects(s: Store) -> DataFrame:
 
 @query
 def monthly_spend(s: Store) -> DataFrame:
-    return spend.monthly_spend(s.history())
+    return spend.monthly_spend(s.sellable_lines())
 
 
 @query
@@ -216,7 +214,7 @@ def monthly_spend_all(s: Store) -> DataFrame:
 
 @query
 def spending_summary(s: Store) -> DataFrame:
-    summary = spend.spending_summary(s.history(), s.users(), model.AS_OF)
+    summary = spend.spending_summary(s.sellable_lines(), s.users(), model.AS_OF)
     return spend.with_budget(summary, model.MONTHLY_BUDGET).withColumn(
         "three_month_average", F.round("three_month_average", 4)
     )
@@ -252,7 +250,7 @@ def top_features(s: Store) -> DataFrame:
 
 @query
 def ordered_products(s: Store) -> DataFrame:
-    return s.history().select("user_id", "product_id").distinct()
+    return s.sellable_lines().select("user_id", "product_id").distinct()
 
 
 # ---------------------------------------------------------------- recommendation
@@ -287,7 +285,7 @@ def recommendation(s: Store) -> DataFrame:
 
 @query
 def candidate_counts(s: Store) -> DataFrame:
-    return recommend.candidate_counts(s.users(), s.history(), s.single_origins())
+    return recommend.candidate_counts(s.users(), s.past_orders(), s.single_origins())
 
 
 @query

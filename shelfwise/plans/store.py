@@ -158,6 +158,11 @@ class Store:
             self.variants(), self.products(), self.roasters(), self.details(), RULES
         )
 
+    def packages(self) -> DataFrame:
+        return catalog.smallest_packages(
+            self.variants(), self.products(), self.roasters(), RULES
+        )
+
     def orders(self) -> DataFrame:
         lines = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -188,8 +193,13 @@ class Store:
 
     def history(self, beans: DataFrame | None = None) -> DataFrame:
         beans = self.beans() if beans is None else beans
-        lines = self.orders().filter(F.col("order_date") <= F.lit(AS_OF))
-        return spend.purchase_history(lines, beans, self.roasters())
+        return spend.purchase_history(self.past_orders(), beans, self.roasters())
+
+    def past_orders(self) -> DataFrame:
+        return self.orders().filter(F.col("order_date") <= F.lit(AS_OF))
+
+    def sellable_lines(self) -> DataFrame:
+        return spend.sellable_lines(self.past_orders(), self.packages())
 
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"))

@@ -172,7 +172,7 @@ SELECT l.id, user_id, order_date, price_paid, parent_title, roaster_name AS roas
 FROM lines l JOIN beans USING (product_id) WHERE o_orderpriority = '1-URGENT'""")
 
 TWINS["missing_order_ids"] = _with("""
-SELECT id FROM lines WHERE o_orderpriority = '1-URGENT'
+SELECT DISTINCT id FROM lines WHERE o_orderpriority = '1-URGENT'
   AND product_id NOT IN (SELECT product_id FROM beans)""")
 
 _REQUESTS = f"""

@@ -116,7 +116,8 @@ def test_documents_leave_absent_sections_out(spark):
         "id INT, title STRING, parent_title STRING, body_html STRING, tags STRING, url STRING",
     )
     pages = spark.createDataFrame(
-        [("u1", 2, "<div class='desc'>later</div>"), ("u1", 1, "<div class='desc'>page</div>")],
+        [("u1", 2, "<div class='desc'>later</div>"), ("u1", 1, "<div class='desc'>page</div>"),
+         ("u2", 3, "")],
         "url STRING, page_id INT, html STRING",
     )
     texts = {r.product_id: r.text for r in enrich.assemble_documents(products, pages).collect()}
@@ -156,6 +157,7 @@ def test_text_helpers(spark):
     ]
     assert column(spark, [" a/b (c)_d-1! "], t.safe_title) == ["ab c_d-1"]
     assert column(spark, ["a,b", "", None], t.csv_to_array) == [["a", "b"], [], []]
+    assert column(spark, ["\t a b\u00a0\r\nc", ""], t.first_line) == ["a b", ""]
     assert column(spark, ["x - y - z", "xy"], t.name_after_dash) == ["y - z", None]
     days = column(
         spark, ["2025-03-13", "2025-03-13 10:20:30.123456", "2025-03-13 10:20:30", "soon"],

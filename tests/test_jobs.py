@@ -123,3 +123,28 @@ def test_from_landing_to_a_placed_order(spark, zone):
     # With a budget of 22 only the first buyer needs the ceiling: 2 are left, the offer costs 24.50.
     tight = jobs.advise_buyers(spark, enriched, placed, users, STAMP, budget=22.0)[1]
     assert {r.user_id: (r.tier, r.price) for r in tight.collect()} == {1: (1, 24.5), 2: (0, 20.0)}
+
+    # Orders by ids and by name go to the same table.
+    product_id = landing.read_table(spark, enriched, "products").filter("title = 'Guji'").first().id
+    variant_id = (
+        landing.read_table(spark, enriched, "variants").filter(f"product_id = {product_id}")
+        .first().id
+    )
+    by_ids = spark.createDataFrame(
+        [(3, 2, product_id, variant_id, 2, 200.0, datetime(2024, 11, 5), "gift"),
+         (4, 2, 1, variant_id, 1, 1.0, None, None)],
+        "request_id BIGINT, user_id BIGINT, product_id BIGINT, variant_id BIGINT, quantity INT, "
+        "price_paid DOUBLE, order_date TIMESTAMP, notes STRING",
+    )
+    rejects = jobs.add_orders(spark, enriched, by_ids, orders_folder, STAMP)
+    assert [(r.request_id, r.reason) for r in rejects.collect()] == [(4, "product not found")]
+    by_name = spark.createDataFrame(
+        [(5, 2, "HUILA", datetime(2024, 12, 24)), (6, 2, "u", None), (7, 2, "xyz", None)],
+        "request_id BIGINT, user_id BIGINT, fragment STRING, order_date TIMESTAMP",
+    )
+    missing = jobs.add_orders_by_name(spark, enriched, by_name, orders_folder, STAMP)
+    assert {r.request_id: r.state for r in missing.collect()} == {6: "ambiguous", 7: "none"}
+    back = spark.read.parquet(orders_folder)
+    rows = {r.product_title: r for r in back.collect()}
+    assert set(rows) == {"Nyeri AA", "Guji", "Huila"} and rows["Guji"].notes == "gift"
+    assert (rows["Huila"].price_paid, rows["Huila"].order_date) == (24.5, datetime(2024, 12, 24))

@@ -54,3 +54,29 @@ def test_query_equals_twin(spark, duck, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+SETTINGS = [
+    {"spark.sql.shuffle.partitions": "1"},
+    {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"},
+]
+
+
+@pytest.mark.parametrize("settings", SETTINGS)
+@pytest.mark.parametrize(
+    "name",
+    ["whole_beans", "top_features", "spending_summary", "recommendation", "resolve_names",
+     "resolve_order_keys", "options_by_roaster"],
+)
+def test_result_does_not_depend_on_the_plan(spark, duck, name, settings):
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = queries()[name](spark, FOLDER)
+        cursor = duck.execute(oracle_sql()[name])
+        columns = [d[0] for d in cursor.description]
+        assert rows(df.columns, df.collect()) == rows(columns, cursor.fetchall())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
