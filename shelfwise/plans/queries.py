@@ -377,10 +377,7 @@ def _fragments(s: Store, beans: DataFrame) -> DataFrame:
     turned round, which mean nothing."""
     part = s.table("part").select("p_name").distinct()
     words = F.split("p_name", " ")
-    typed = F.array(
-        F.upper("p_name"), F.substr("p_name", F.lit(1), F.lit(3)),
-        F.concat_ws(" ", F.reverse(words)),
-    )
+    typed = F.array(F.upper("p_name"), F.concat_ws(" ", F.reverse(words)))
     names = part.select(F.explode(F.concat(words, typed)).alias("fragment"))
     labels = F.array(F.col("label"), F.replace("label", F.lit(" "), F.lit("%")))
     return names.union(beans.select(F.explode(labels))).distinct()

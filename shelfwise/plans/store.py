@@ -135,6 +135,7 @@ class Store:
             F.slice(words, 1, 1).alias("fruits"), F.slice(words, 2, 1).alias("sweets"),
             none.alias("florals"), none.alias("spices"), none.alias("others"),
         )
+        # The size stands for the three-valued flag: true, false or unknown.
         group = F.col("p_size") % 3
         missing = F.lit(None).cast("string")
         return self.listings().join(sellers, F.col("l_suppkey") == F.col("id")).select(

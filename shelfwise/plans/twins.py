@@ -361,7 +361,6 @@ labelled AS (SELECT *, parent_title || ' ' || roaster_name AS label FROM beans),
 fragments AS (
   SELECT upper(p_name) AS fragment FROM part
   UNION SELECT unnest(string_split(p_name, ' ')) FROM part
-  UNION SELECT substr(p_name, 1, 3) FROM part
   UNION SELECT label FROM labelled
   UNION SELECT replace(label, ' ', '%') FROM labelled
   UNION SELECT split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) FROM part

@@ -65,7 +65,9 @@ def like(fragment: str, name: str) -> bool:
     return re.search(pattern, name.lower(), re.S) is not None
 
 
-def test_fragment_matching_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_up_to", [0, resolve.BROADCAST_CHARACTERS])
+def test_fragment_matching_against_brute_force(spark, monkeypatch, broadcast_up_to):
+    monkeypatch.setattr(resolve, "BROADCAST_CHARACTERS", broadcast_up_to)
     names = ["ab", "abc", "ABCD", "b_d", "a%c", "xaby", "d\\e", "", "été", "aa aa"]
     fragments = [
         "a", "AB", "abc", "abcd", "b", "_", "__", "%", "a%c", "a_c", "bcd", "b%d", "\\", "d\\e",
