@@ -68,4 +68,4 @@ def found_values(found, dictionary: list[Term], kind: str, role: str | None = No
     values = {entry.term: entry.value for entry in entries}
     known = F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
     hits = F.transform(F.array_intersect(found, F.lit(sorted(values))), lambda term: known[term])
-    return F.array_sort(F.array_distinct(hits))
+    return F.sort_array(F.array_distinct(hits))

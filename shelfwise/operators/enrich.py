@@ -15,7 +15,7 @@ from shelfwise.functions.text import (
 from shelfwise.sources.schemas import NOTE_CATEGORIES, NOTES, PAYLOAD
 from shelfwise.sources.sinks import replace_by_key
 
-# Primary processes, roast classes, dense-bean limit and the varietals that rest longer.
+# Primary processes, roast classes, dense-bean limit, varietals that rest longer.
 PRIMARY_PROCESSES = ("Washed", "Natural", "Honey")
 DARK_ROASTS = ("Dark", "Espresso")
 LIGHT_ROASTS = ("Light", "Filter")
@@ -228,7 +228,7 @@ def extract_attributes(
         {
             "_countries": values("country"),
             "_regions": values("region"),
-            "_blend": F.size(values("blend")) > 0,
+            "_blend": F.array_contains(found, "blend"),
             "roast_level": _one(values("roast")),
             "processing_method": blank_to_null(process),
             "varietals": values("varietal"),

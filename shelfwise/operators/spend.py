@@ -137,7 +137,7 @@ def spending_report(summary: DataFrame, recent: DataFrame, count: int = 5) -> Da
     lines = (
         recent_order_lines(recent)
         .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("lines"))
         .select("user_id", F.array_join("lines.line", "\n").alias("recent_orders"))
     )
     return summary.join(lines, "user_id", "left").withColumn(

@@ -338,7 +338,7 @@ def display_labels(s: Store) -> DataFrame:
 
 
 def _order_strings(beans: DataFrame) -> DataFrame:
-    """Four order strings per option: by ids, by title behind an unknown key, by title, malformed."""
+    """Four order strings per offer: ids, a title behind an unknown key, a title, malformed."""
     pid, vid = F.col("product_id").cast("string"), F.col("variant_id").cast("string")
     name = F.concat("roaster_name", F.lit(" - "), "parent_title")
     forms = F.array(
@@ -518,8 +518,8 @@ def variant_coercion(s: Store) -> DataFrame:
     products = ingest.product_rows(_product_records(s), model.LOAD_TS)
     rows = ingest.variant_rows(_variant_records(s), products, model.LOAD_TS)
     return rows.select(
-        F.col("product_id").alias("source_id"), "title", "available", "compare_at_price", "grams", "option1", "option2",
-        "option3", "position", "price", "requires_shipping", "taxable", "weight",
+        F.col("product_id").alias("source_id"), "title", "available", "compare_at_price", "grams",
+        "option1", "option2", "option3", "position", "price", "requires_shipping", "taxable", "weight",
         "inventory_quantity",
     )
 

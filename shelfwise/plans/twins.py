@@ -22,7 +22,8 @@ products AS (
 variants AS (
   SELECT (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS variant_id,
          l_partkey * 1000000 + l_suppkey AS product_id, l_suppkey, l_linenumber * 50 AS grams,
-         min(l_extendedprice) AS price, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS available
+         min(l_extendedprice) AS price,
+         max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS available
   FROM lineitem GROUP BY l_partkey, l_suppkey, l_linenumber
 ),
 details AS (
@@ -92,10 +93,6 @@ def _with(body: str, *more: str) -> str:
     return "WITH " + ",\n".join([BASE, *more]) + "\n" + body
 
 
-def _plain(body: str) -> str:
-    return body
-
-
 TWINS: dict[str, str] = {}
 
 # ---------------------------------------------------------------- catalog
@@ -392,33 +389,33 @@ FROM (SELECT DISTINCT upper(p_name) AS fragment FROM part) JOIN labelled
 
 # ---------------------------------------------------------------- ingest
 
-TWINS["product_rows"] = _plain(f"""
+TWINS["product_rows"] = f"""
 SELECT p_partkey AS source_id, p_name AS title, '' AS handle, p_brand AS body_html,
        CASE WHEN p_brand = 'Brand#13' THEN '' ELSE p_brand END AS vendor, p_type AS product_type,
        replace(p_name, ' ', CASE WHEN p_type = 'SMALL' THEN ';' ELSE ',' END) AS tags,
        'https://parts/' || p_partkey AS url, DATE '2001-02-03' AS published_on,
        CAST(NULL AS DATE) AS created_on, DATE '{LOAD_TS:%Y-%m-%d}' AS loaded_on
-FROM part""")
+FROM part"""
 
-TWINS["flatten_options"] = _plain("""
+TWINS["flatten_options"] = """
 SELECT p_partkey AS product_id, 'Size' AS name, p_size || ',' || p_type AS values FROM part
-UNION ALL SELECT p_partkey, '', replace(p_name, ' ', ',') FROM part""")
+UNION ALL SELECT p_partkey, '', replace(p_name, ' ', ',') FROM part"""
 
-TWINS["flatten_images"] = _plain("""
+TWINS["flatten_images"] = """
 SELECT p_partkey AS product_id, CAST(i AS INTEGER) AS position,
        split_part(p_name, ' ', CAST(i AS INTEGER)) || '.jpg' AS src
-FROM part CROSS JOIN range(1, 3) r(i) WHERE p_type <> 'PROMO'""")
+FROM part CROSS JOIN range(1, 3) r(i) WHERE p_type <> 'PROMO'"""
 
-TWINS["first_images"] = _plain("""
+TWINS["first_images"] = """
 SELECT p_partkey AS product_id, split_part(p_name, ' ', 1) || '.jpg' AS image_url
-FROM part WHERE p_type <> 'PROMO'""")
+FROM part WHERE p_type <> 'PROMO'"""
 
 TWINS["flatten_tags"] = _with("""
 SELECT product_id, CAST(i AS INTEGER) AS position,
        split_part(p_name, ' ', CAST(i AS INTEGER) + 1) AS tag
 FROM products CROSS JOIN range(2) r(i)""")
 
-TWINS["variant_coercion"] = _plain("""
+TWINS["variant_coercion"] = """
 SELECT l_partkey AS source_id,
        l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS title,
        CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS available,
@@ -429,7 +426,7 @@ SELECT l_partkey AS source_id,
        CASE WHEN l_returnflag = 'A' THEN 0.0 ELSE l_extendedprice END::DOUBLE AS price,
        CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS requires_shipping, 1 AS taxable,
        l_discount AS weight, 0 AS inventory_quantity
-FROM lineitem JOIN part ON l_partkey = p_partkey""")
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 TWINS["load_counts"] = _with("""
 SELECT roaster_id, count(DISTINCT product_id) AS n_products, count(*) AS n_variants
@@ -448,17 +445,17 @@ UNION ALL SELECT n_nationkey + 1000000000, lower(n_name),
        upper(n_name[1]) || lower(substr(n_name, 2)), 'https://nation/' || lower(n_name) FROM nation
 """)
 
-TWINS["schema_union"] = _plain("""
+TWINS["schema_union"] = """
 SELECT s_name AS name, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS segment FROM supplier
-UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer""")
+UNION ALL SELECT c_name, NULL, c_mktsegment FROM customer"""
 
 TWINS["cascade_orphans"] = _with("""
 SELECT variant_id, product_id, price FROM variants JOIN products USING (product_id)
 WHERE p_brand <> 'Brand#13'""")
 
-TWINS["load_report"] = _plain("""
+TWINS["load_report"] = """
 SELECT event_type AS source, count(*) AS n_rows,
-       count(*) FILTER (event_type = 'click') AS n_bad FROM events GROUP BY 1""")
+       count(*) FILTER (event_type = 'click') AS n_bad FROM events GROUP BY 1"""
 
 TWINS["constraint_report"] = _with("""
 SELECT 'lineitem.l_quantity is null' AS rule, count(*) FILTER (l_quantity IS NULL) AS violations
@@ -480,12 +477,12 @@ UNION ALL SELECT 'orders.o_custkey has no parent', count(*) FROM orders
 UNION ALL SELECT 'events.user_id has no parent', count(*) FROM events
   WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)""")
 
-TWINS["order_dates"] = _plain("""
+TWINS["order_dates"] = """
 SELECT o_orderkey AS order_id,
        CASE WHEN o_orderpriority[1] IN ('1', '2') THEN CAST(o_orderdate AS DATE) END AS order_date,
        CASE o_orderpriority[1] WHEN '1' THEN '00:00:00' WHEN '2' THEN '10:20:30' END AS order_time,
        o_orderpriority[1] IN ('3', '4') AS rejected
-FROM orders""")
+FROM orders"""
 
 # ---------------------------------------------------------------- enrichment
 
@@ -518,7 +515,8 @@ facts AS (
                  WHEN 'new' THEN 'Filter' END AS roast_level,
          p_type = 'MEDIUM' AS honey, p_type = 'LARGE' OR w1 = 'large' AS natural_dried,
          p_type IN ('ECONOMY', 'STANDARD') AS washed,
-         concat_ws('; ', CASE WHEN honey THEN 'Honey' END, CASE WHEN natural_dried THEN 'Natural' END,
+         concat_ws('; ', CASE WHEN honey THEN 'Honey' END,
+           CASE WHEN natural_dried THEN 'Natural' END,
            CASE WHEN washed THEN 'Washed' END, CASE WHEN p_type = 'PROMO' THEN 'Anaerobic' END,
            CASE WHEN p_type = 'SMALL' OR w1 = 'small' THEN 'Thermal Shock' END)
          AS processing_method,
@@ -534,11 +532,13 @@ facts AS (
   FROM said
 ),
 rests AS (
-  SELECT *, CASE WHEN honey OR natural_dried THEN 10 WHEN washed THEN 7 END + CASE WHEN roast_level IN ('Dark', 'Espresso') THEN -3
+  SELECT *, CASE WHEN honey OR natural_dried THEN 10 WHEN washed THEN 7 END
+         + CASE WHEN roast_level IN ('Dark', 'Espresso') THEN -3
                     WHEN roast_level IN ('Light', 'Filter') THEN 2 ELSE 0 END
          + CASE WHEN varietals IN ('SL28', 'Batian') THEN 1 ELSE 0 END
          + CASE WHEN dense THEN 1 ELSE 0 END AS low,
-         CASE WHEN honey OR natural_dried THEN 14 WHEN washed THEN 10 END + CASE WHEN roast_level IN ('Dark', 'Espresso') THEN -2
+         CASE WHEN honey OR natural_dried THEN 14 WHEN washed THEN 10 END
+         + CASE WHEN roast_level IN ('Dark', 'Espresso') THEN -2
                     WHEN roast_level IN ('Light', 'Filter') THEN 3 ELSE 0 END
          + CASE WHEN varietals IN ('SL28', 'Batian') THEN 2 ELSE 0 END
          + CASE WHEN dense THEN 2 ELSE 0 END AS high
@@ -565,7 +565,7 @@ SELECT product_id, CASE WHEN chosen THEN roast_level ELSE 'stored' END AS roast_
          + (notes <> '')::INT) / 9.0::DOUBLE, 4) ELSE 0.5 END AS extraction_confidence
 FROM (SELECT *, p_brand IN ('Brand#7', 'Brand#9') AS chosen FROM facts)""", _TEXTS)
 
-TWINS["resting_period"] = _plain("""
+TWINS["resting_period"] = """
 SELECT p_partkey AS product_id, low AS low_days, high AS high_days,
        CAST(floor((low + high) / 2.0) AS INTEGER) AS days
 FROM (
@@ -582,9 +582,9 @@ FROM (
            WHEN 'new' THEN 3 ELSE 0 END AS roast_high,
       CASE WHEN split_part(p_name, ' ', 2) IN ('anvil', 'gear') THEN 1 ELSE 0 END AS long_low,
       CASE WHEN p_size * 50 > 1600 THEN 1 ELSE 0 END AS dense_low
-    FROM part))""")
+    FROM part))"""
 
-TWINS["document_attributes"] = _plain(r"""
+TWINS["document_attributes"] = r"""
 WITH words AS (
   SELECT doc_id, w, i FROM (
     SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
@@ -615,9 +615,9 @@ SELECT d.doc_id,
   coalesce(string_agg(value, ',' ORDER BY value) FILTER (kind = 'varietal'), '') AS varietals,
   min(value) FILTER (kind = 'roast') AS roast_level,
   coalesce(string_agg(value, chr(10) ORDER BY kind) FILTER (kind LIKE 'note%'), '') AS notes
-FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id""")
+FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id"""
 
-TWINS["parse_event_props"] = _plain("""
+TWINS["parse_event_props"] = """
 SELECT event_id,
        CASE event_type WHEN 'signup' THEN 'empty' WHEN 'error' THEN 'failed' ELSE 'ok' END
        AS status,
@@ -626,29 +626,29 @@ SELECT event_id,
        CASE WHEN event_type = 'purchase' THEN 'A, B' END AS varietals,
        CASE WHEN event_type = 'click' THEN 'x, f' || k END AS farm,
        CASE WHEN event_type = 'click' THEN 0.25 ELSE 0.0 END::DOUBLE AS extraction_confidence
-FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
+FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)"""
 
-TWINS["event_props"] = _plain("""
+TWINS["event_props"] = """
 SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events
-""")
+"""
 
 TWINS["notes_long"] = _with("""
 SELECT product_id, 'fruits' AS category, fruit AS note FROM beans
 UNION ALL SELECT product_id, 'sweets', sweet FROM beans""")
 
 _REGION = r"""(?is)<div[^>]*class="[^"]*ad[^"]*"[^>]*>(.*?)</div>"""
-TWINS["page_region_text"] = _plain(f"""
-SELECT page_id, regexp_extract(html, '{_REGION}', 1) AS region_text FROM pages""")
-TWINS["pages_without_region"] = _plain("SELECT page_id, '' AS region_text FROM pages")
+TWINS["page_region_text"] = f"""
+SELECT page_id, regexp_extract(html, '{_REGION}', 1) AS region_text FROM pages"""
+TWINS["pages_without_region"] = "SELECT page_id, '' AS region_text FROM pages"
 
-TWINS["assemble_documents"] = _plain(f"""
+TWINS["assemble_documents"] = f"""
 SELECT doc_id AS product_id, concat_ws(chr(10) || chr(10),
          '[title]' || chr(10) || source || ' ' || lang,
          '[description]' || chr(10) || nullif(text, ''),
          '[page]' || chr(10) || regexp_extract(html, '{_REGION}', 1),
          CASE WHEN lang <> 'de' THEN '[tags]' || chr(10) || lang || ', ' || source END) AS text
-FROM documents LEFT JOIN pages ON page_id = doc_id""")
+FROM documents LEFT JOIN pages ON page_id = doc_id"""
 
-TWINS["product_by_url"] = _plain("""
+TWINS["product_by_url"] = """
 SELECT '/part/' || p_partkey AS url, min(l_partkey * 1000000 + l_suppkey) AS product_id
-FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""")
+FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"""

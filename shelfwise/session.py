@@ -13,7 +13,7 @@ RUNTIME_CONF = {
     # others; adaptive execution then splits that partition, even where it costs another shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # The only rows that travel to Python are web pages; a batch of the default 10,000 would not fit.
+    # The only rows that travel to Python are web pages; the default of 10,000 is too many of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.session.timeZone": "UTC",
 }

@@ -73,8 +73,8 @@ def test_from_landing_to_a_placed_order(spark, zone):
         ("products", "one"): (3, 0), ("products", "two"): (2, 1),
         ("variants", "one"): (4, 0), ("variants", "two"): (1, 0),
     }
-    roasters = {r.name: r.description for r in landing.read_table(spark, first, "roasters").collect()}
-    assert roasters == {"first_cup": "First Cup", "second_cup": "Second_Cup"}
+    sellers = landing.read_table(spark, first, "roasters").collect()
+    assert {r.name: r.description for r in sellers} == {"first_cup": "First Cup", "second_cup": "Second_Cup"}
 
     # The same files again change nothing.
     jobs.load_catalog(spark, str(zone / "landing"), registry, first, second, STAMP)

@@ -40,7 +40,8 @@ def test_title_needs_the_default_form(golden, spark):
     options = catalog.available_options(golden.beans, golden.no_orders).replace(
         "Whole Bean", "Beans", ["option2"]
     )
-    requests = spark.createDataFrame([(1, "Kilo AA"), (2, "[2,2] x")], "request_id INT, text STRING")
+    texts = [(1, "Kilo AA"), (2, "[2,2] x")]
+    requests = spark.createDataFrame(texts, "request_id INT, text STRING")
     resolved, _ = resolve.resolve_order_strings(requests, options)
     assert [r.request_id for r in resolved.collect()] == [2]
 
