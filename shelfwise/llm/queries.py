@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, language, packing, simhash, urls, wavelet
+from shelfwise.llm import chat, language, packing, quality, simhash, urls, vectors, wavelet
 from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 QUERIES = {}
@@ -96,3 +96,17 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     log = chat.turn_events(turns.unionByName(own))
     return chat.digests(staged(chat.rendered(chat.messages(log)), "chats"))
+
+
+@registered
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the documents is held out of the training."""
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    scored = quality.scored(docs, labels.select("doc_id", "quality"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@registered
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(prepare(spark), sf_dir, "embeddings"), 0.98)
