@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, language, packing, quality, simhash, urls, vectors, wavelet
+from shelfwise.llm import chat, language, leaks, packing, quality, simhash, urls, vectors, wavelet
 from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 QUERIES = {}
@@ -110,3 +110,8 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(prepare(spark), sf_dir, "embeddings"), 0.98)
+
+
+@registered
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
