@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, language, leaks, packing, quality, simhash, urls, vectors, wavelet
+from shelfwise.llm import chat, language, leaks, packing, personal, quality, simhash, urls, vectors, wavelet
 from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 QUERIES = {}
@@ -115,3 +116,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = personal.find(docs, personal.default_model())
+    counts = [
+        F.regexp_count("base_spans", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in personal.KINDS
+    ]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@registered
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
