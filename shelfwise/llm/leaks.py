@@ -190,6 +190,8 @@ def seeded_windows(docs: DataFrame, seeds: DataFrame, reach: int, bits: int = FI
                     places.append(at)
                     found.append(grams[at])
                 place, seed = np.concatenate(places), np.concatenate(found)
+                if not len(place):
+                    continue
                 order = np.argsort(place, kind="stable")
                 place, seed = place[order], seed[order]
                 doc = np.searchsorted(ends, place, side="right")
