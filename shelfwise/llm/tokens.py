@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -10,10 +11,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 400_000  # pieces kept per worker; above that the memory is emptied
+HELD = 800_000  # pieces kept per worker; above that the memory is emptied
 # A blank before one of these starts a new pre-token in either vocabulary.
 _CUT = re.compile("(?= [!-~À-ɏ])")
-_UNSURE = re.compile("\0| (?![!-~À-ɏ])")
+_UNSURE = re.compile(" (?![!-~À-ɏ])")
 
 
 class _Numbers(dict):
@@ -32,7 +33,7 @@ class _Numbers(dict):
 def pieces_of(text: str) -> list[str]:
     """Pieces of a text that a tokenizer encodes independently: each starts at a blank before a
     printable character, so no pre-token crosses a border."""
-    if _UNSURE.search(text):
+    if "\0" in text or _UNSURE.search(text):
         return _CUT.split(text)
     return text.replace(" ", "\0 ").split("\0")
 
@@ -56,7 +57,7 @@ class PieceEncoder:
             return
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for part in ids for i in part), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         while self._used + len(flat) > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         self._pool[self._used : self._used + len(flat)] = flat
