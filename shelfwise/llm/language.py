@@ -174,6 +174,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         weights = totals.join(discounts, "lang").withColumn(
             "backoff", F.least(F.lit(1.0), F.col("d") * F.col("kinds") / F.col("total"))
         )
+        weights = staged(weights, "weights")
         own = tables[order].withColumn("context", context).join(weights, ["lang", "context"])
         own = own.withColumn("p", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total"))
         if below is None:
