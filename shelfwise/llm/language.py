@@ -87,11 +87,30 @@ def gram_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     real = before[starts + sizes] - before[starts]
     letters = np.concatenate([[0], np.cumsum(symbols > BLANK)])
     has_letter = letters[starts + sizes] > letters[starts]
-    symbols = symbols[kept].astype(np.uint64)
-    grams = symbols.copy()
+    symbols = symbols[kept]
+    return _grams(symbols)[symbols != START], real, has_letter
+
+
+def _grams(symbols: np.ndarray) -> np.ndarray:
+    wide = symbols.astype(np.uint64)
+    grams = wide.copy()
     for back in range(1, ORDER):
-        grams[back:] |= symbols[:-back] << np.uint64(CHARACTERS * back)
-    return grams[symbols != START], real, has_letter
+        grams[back:] |= wide[:-back] << np.uint64(CHARACTERS * back)
+    return grams
+
+
+def long_gram_stream(text: str) -> Iterator[tuple[np.ndarray, bool]]:
+    """The n-grams of a text longer than a chunk, in parts, and whether a part has a letter."""
+    before = np.full(ORDER - 1, START, np.uint16)
+    for at in range(0, len(text), CHUNK):
+        codes = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "replace"), np.uint32)
+        symbols = np.concatenate([before, _alphabet()[codes]])
+        kept = np.ones(len(symbols), bool)
+        kept[1:] = (symbols[1:] != BLANK) | (symbols[:-1] > BLANK)
+        kept[: ORDER - 1] = True
+        symbols = symbols[kept]
+        yield _grams(symbols)[ORDER - 1 :], bool((symbols[ORDER - 1 :] > BLANK).any())
+        before = symbols[-(ORDER - 1) :]
 
 
 def _slots(grams: np.ndarray, order: int, bits: int) -> np.ndarray:
@@ -112,9 +131,14 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 for a, b in chunks(map(len, own), CHUNK):
-                    counted = np.unique(gram_stream(own[a:b])[0], return_counts=True)
-                    held.setdefault(lang, []).append(counted)
-                    size += len(counted[0])
+                    if len(own[a]) > CHUNK:
+                        parts = (grams for grams, _ in long_gram_stream(own[a]))
+                    else:
+                        parts = (gram_stream(own[a:b])[0],)
+                    for grams in parts:
+                        counted = np.unique(grams, return_counts=True)
+                        held.setdefault(lang, []).append(counted)
+                        size += len(counted[0])
             if size > 1 << 21:
                 held = {lang: [_merged(parts)] for lang, parts in held.items()}
                 size = sum(len(parts[0][0]) for parts in held.values())
@@ -290,21 +314,18 @@ def entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.nd
     """Nats per character of each text in each language (infinite without a letter), and lengths."""
     totals = np.zeros((len(texts), len(model.languages)))
     lengths, lettered = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-    # A text longer than a chunk is scored in pieces that overlap by the context.
-    pieces = [
-        (i, t[max(0, at - ORDER + 1) : at + CHUNK], at > 0)
-        for i, t in enumerate(texts) for at in range(0, max(len(t), 1), CHUNK)
-    ]
-    for a, b in chunks((len(p[1]) for p in pieces), CHUNK):
-        grams, real, letters = gram_stream([p[1] for p in pieces[a:b]])
+    for a, b in chunks(map(len, texts), CHUNK):
+        if len(texts[a]) > CHUNK:
+            for grams, letter in long_gram_stream(texts[a]):
+                totals[a] += log_p(model, grams).sum(axis=0, dtype=np.float64)
+                lengths[a] += len(grams)
+                lettered[a] |= letter
+            continue
+        grams, lengths[a:b], lettered[a:b] = gram_stream(texts[a:b])
         scores = log_p(model, grams).astype(np.float64)
-        ends = np.cumsum(real)
         sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0)])
-        for (i, _, more), start, end, letter in zip(pieces[a:b], ends - real, ends, letters, strict=True):
-            start = min(end, start + ORDER - 1) if more else start
-            totals[i] += sums[end] - sums[start]
-            lengths[i] += end - start
-            lettered[i] |= letter
+        ends = np.cumsum(lengths[a:b])
+        totals[a:b] = sums[ends] - sums[ends - lengths[a:b]]
     return np.where(lettered[:, None], -totals / np.maximum(lengths, 1)[:, None], np.inf), lengths
 
 

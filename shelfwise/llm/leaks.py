@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
 Texts are words of letters and digits, lower-cased, read whole. A seed is a run of ``WIDTH`` words of
-a test item (all words of a shorter item). Of each item the half of its seeds that the fewest
-documents hold are its rare ones; a document that holds one is aligned with the item around it. The
+a test item (all words of a shorter item). A seed is rare if it is in at most ``COMMON`` times as
+many documents as the median seed of its item, so at least half of an item's seeds are rare, however
+often the item leaked; a document that holds a rare one is aligned with the item around it. The
 score is the best local alignment of the item's words, as a share of aligning all of them, so edited
 and paraphrased copies score below 1.
 
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import chunks, prepare, staged
 
 WIDTH = 4
+COMMON = 4
 FILTER_BITS = 24  # the seeds' filter is 2 ** FILTER_BITS flags, whatever the benchmark's size
 CHUNK = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -285,13 +287,10 @@ def leaked(docs: DataFrame, items: DataFrame, least: float = 0.5, bits: int = FI
     windows = staged(windows, "windows")
     hits = windows.select("window", "doc_id", F.explode("seeds").alias("seed"))
     spread = hits.select("doc_id", "seed").distinct().groupBy("seed").agg(F.count("*").alias("documents"))
-    order = Window.partitionBy("item_id").orderBy("documents", "seed")
-    # Seeds that no document holds find nothing; the rare half is of those that some document holds.
-    ranked = (
-        seeds.join(spread, "seed").withColumn("place", F.row_number().over(order))
-        .withColumn("half", F.ceil(F.count("*").over(Window.partitionBy("item_id")) / 2))
-    )
-    rare = ranked.where("place <= half").select("seed", "item_id")
+    # Seeds that no document holds find nothing and do not count.
+    counted = seeds.join(spread, "seed").select("seed", "item_id", "documents")
+    middle = counted.groupBy("item_id").agg(F.percentile_approx("documents", 0.5, 10000).alias("middle"))
+    rare = counted.join(middle, "item_id").where(F.col("documents") <= COMMON * F.col("middle")).select("seed", "item_id")
     pairs = hits.select("window", "seed").join(rare, "seed").select("window", "item_id").distinct()
     held = pairs.join(windows.select("window", "doc_id", "first", "words"), "window")
     both = held.join(own.select("item_id", F.col("words").alias("item")), "item_id")

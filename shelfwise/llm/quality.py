@@ -135,7 +135,9 @@ def train(
     strength = _strength(F.col("figures"), weights)
     share = labelled.agg(F.avg(F.when(F.col("quality") == 0, 1.0).otherwise(0.0))).first()[0]
     at = labelled.agg(F.percentile_approx(strength, float(share), 10000)).first()[0]
-    return QualityModel(weights, math.log(cut / (1 - cut)) - at)
+    # The cut lies between the strength at the quantile and the next one.
+    above = labelled.where(strength > at).agg(F.min(strength)).first()[0]
+    return QualityModel(weights, math.log(cut / (1 - cut)) - (at + (at if above is None else above)) / 2)
 
 
 def _strength(figures: Column, weights: tuple[float, ...]) -> Column:

@@ -12,8 +12,8 @@ TWINS = {
         ), usable as (
             select vec_id, label, e, sqrt(list_dot_product(e, e)) as size from v
             where label is not null and e is not null
-              and len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0
-              and len(list_filter(e, x -> x <> 0)) > 0
+              and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+              and len(list_filter(e, lambda x: x <> 0)) > 0
         ), links as (
             select a.vec_id as a, b.vec_id as b from usable a join usable b
               on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)

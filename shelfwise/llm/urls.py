@@ -40,18 +40,26 @@ def path_of(url: Column) -> Column:
 def slots_of(host: Column, path: Column, slots: int = SLOTS) -> Column:
     """The different slots of the character n-grams of a host and of a path."""
 
-    def grams(text: Column, width: int) -> Column:
-        count = F.length(text) - (width - 1)
-        return F.when(
-            count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, F.lit(width)))
-        ).otherwise(F.array().cast("array<string>"))
+    def grams(text: Column, name: str) -> Column:
+        """All n-grams of a text, from its characters; these are an array, read once."""
+
+        def run(letters: Column, width: int):
+            return lambda i: F.concat(F.lit(name), *[letters[i + k] for k in range(width)])
+
+        def of(letters: Column) -> Column:
+            parts = []
+            for width in WIDTHS:
+                places = F.when(F.size(letters) >= width, F.sequence(F.lit(0), F.size(letters) - width))
+                parts.append(F.transform(F.coalesce(places, F.array().cast("array<int>")), run(letters, width)))
+            return F.concat(*parts)
+
+        return F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), of)[0]
 
     # A host is read between dots; digits of a path say nothing about other paths.
     marked = F.concat(F.lit("."), host, F.lit("."))
     plain = F.regexp_replace(path, "[0-9]+", "0")
-    parts = [F.transform(grams(marked, n), lambda g: F.concat(F.lit("h:"), g)) for n in WIDTHS]
-    parts += [F.transform(grams(plain, n), lambda g: F.concat(F.lit("p:"), g)) for n in WIDTHS]
-    return F.array_distinct(F.transform(F.concat(*parts), lambda g: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int")))
+    every = F.concat(grams(marked, "h:"), grams(plain, "p:"))
+    return F.array_distinct(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int")))
 
 
 def train(labelled: DataFrame, rounds: int = 30, rate: float = 4.0, ridge: float = 0.002, slots: int = SLOTS) -> UrlModel:
