@@ -208,8 +208,8 @@ def extract_attributes(
     """Attributes of each text by dictionary and rules; one narrow pass, no shuffle.
 
     Adds the columns of the attribute payload. A region implies its country. The text is a blend if
-    it says so or names several countries, and of single origin if it names one country, region,
-    farm or producer.
+    it says so or names several countries or regions, and of single origin if it names one region, a
+    farm or a producer; a country alone leaves that open.
     """
     body = F.col(text)
     seller = F.col(roaster_name) if roaster_name else None
@@ -238,9 +238,9 @@ def extract_attributes(
             "tasting_notes": notes,
         }
     )
-    several = F.col("_blend") | (F.size("_countries") > 1)
+    several = F.col("_blend") | (F.size("_countries") > 1) | (F.size("_regions") > 1)
     one = (
-        (F.size("_countries") == 1)
+        (F.size("_regions") == 1)
         | F.col("farm").isNotNull()
         | F.col("producer").isNotNull()
     )
@@ -352,6 +352,7 @@ def re_enrich(
     details: DataFrame,
     load_ts: datetime,
     dictionary: list[Term] = DICTIONARY,
+    roaster_name: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Read the chosen products again and replace their details.
 
@@ -359,7 +360,9 @@ def re_enrich(
     """
     wanted = ids.select("product_id").distinct()
     chosen = documents.join(wanted, "product_id", "left_semi")
-    fresh = detail_rows(extract_attributes(chosen, dictionary), load_ts)
+    fresh = detail_rows(
+        extract_attributes(chosen, dictionary, roaster_name=roaster_name), load_ts
+    )
     unknown = wanted.join(documents.select("product_id"), "product_id", "left_anti")
     return replace_by_key(details, fresh.select(*details.columns), "product_id"), unknown
 

@@ -126,19 +126,40 @@ def coerce_variants(variants: DataFrame) -> DataFrame:
 
 
 def variant_rows(variants: DataFrame, products: DataFrame, load_ts: datetime) -> DataFrame:
-    """Variant table rows: coerced landing variants attached to the product of their seller."""
+    """Variant table rows: coerced landing variants attached to the product of their seller.
+
+    The id covers every column: variants that differ in any of them are different ones.
+    """
     parents = products.select(
         "roaster_id", F.col("source_id").alias("parent_id"), F.col("id").alias("product_id")
     )
     keys = ["roaster_id", "parent_id"]
     attached = coerce_variants(variants).join(parents, keys).drop(*keys)
     return attached.select(
-        stable_id("product_id", "title", "option1", "option2", "option3", "position").alias("id"),
+        stable_id(*attached.columns).alias("id"),
         "*",
         F.lit(load_ts).alias("last_updated"),
     )
 
 
+def load_rejects(
+    landed: DataFrame, keys: DataFrame, kind: str, products: DataFrame | None = None
+) -> DataFrame:
+    """Good records that a load leaves out, by reason: their ``source`` is not registered, or no
+    product of the seller has their parent's id."""
+    known = landed.join(keys, "source", "left")
+    reason = F.when(F.col("roaster_id").isNull(), "source not registered")
+    if products is not None:
+        parents = products.select("roaster_id", F.col("source_id").alias("parent_id"))
+        known = known.join(
+            parents.distinct().withColumn("_parent", F.lit(True)), ["roaster_id", "parent_id"], "left"
+        )
+        reason = reason.when(F.col("_parent").isNull(), "no such product")
+    return known.select(
+        "source", F.lit(kind).alias("kind"), reason.alias("reason"), F.to_json(F.struct(*landed.columns)).alias("record")
+    ).filter("reason is not null")
+
+
 def load_counts(products: DataFrame, variants: DataFrame) -> DataFrame:
     """Products and variants per roaster. Variants are counted per product before the join."""
     per_product = variants.groupBy("product_id").agg(F.count("*").alias("n"))

@@ -73,11 +73,13 @@ def load_catalog(
     previous: str | None,
     target: str,
     load_ts: datetime,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Load ``products`` and ``variants`` of the landing zone over the previous snapshot.
 
     Products that come again replace themselves and their children; loading the same files twice
-    gives the same tables. Returns the report: records and bad records per source.
+    gives the same tables. Products are matched by seller and link, not by the id made of them;
+    variants that differ in any column all stay. Returns the report (records and bad records per
+    source) and the good records that were left out, with the reason.
     """
     old = Snapshot(tune(spark), previous)
     landed = {
@@ -106,23 +108,29 @@ def load_catalog(
         return kept.unionByName(conform(rows, table))
 
     fresh_ids = fresh.select(F.col("id").alias("product_id"))
-    packages = ingest.newest_records(ingest.variant_rows(variants, fresh, load_ts), "id")
+    packages = ingest.variant_rows(variants, fresh, load_ts).distinct()
+    rejects = ingest.load_rejects(landing.good_records(landed["products"]), keys, "products").unionByName(
+        ingest.load_rejects(landing.good_records(landed["variants"]), keys, "variants", fresh)
+    )
     write_tables(
         target,
         roasters=sellers,
-        products=sinks.replace_by_key(old.table("products"), conform(fresh, "products"), "id"),
+        products=sinks.replace_by_key(
+            old.table("products"), conform(fresh, "products"), "roaster_id", "url"
+        ),
         product_options=children("product_options", ingest.option_rows(records)),
         product_images=children("product_images", ingest.image_rows(records)),
         variants=children("variants", packages),
         product_extended_details=old.table("product_extended_details"),
     )
-    return landing.load_report(landed["products"].select("source", landing.CORRUPT)).withColumn(
+    report = landing.load_report(landed["products"].select("source", landing.CORRUPT)).withColumn(
         "kind", F.lit("products")
     ).unionByName(
         landing.load_report(landed["variants"].select("source", landing.CORRUPT)).withColumn(
             "kind", F.lit("variants")
         )
     )
+    return report, rejects
 
 
 def enrich_catalog(
@@ -238,12 +246,16 @@ def add_orders_by_name(
     rules: SellableRules = SellableRules(),
 ) -> DataFrame:
     """Append an order at the catalog price for each name (request_id, user_id, fragment,
-    order_date) that means one product; returns the names that mean none or several."""
+    order_date) that means one product; returns the names that mean none or several, and those
+    whose order was rejected with the ``reason``."""
     now = Snapshot(tune(spark), current)
     resolved = resolve.resolve_names(requests, now.beans(rules))
     found, missing = resolve.order_requests_by_name(resolved)
-    add_orders(spark, current, found, orders_folder, as_of)
-    return missing
+    rejects = add_orders(spark, current, found, orders_folder, as_of)
+    return missing.unionByName(
+        rejects.select(*[c for c in requests.columns if c in rejects.columns], "reason"),
+        allowMissingColumns=True,
+    )
 
 
 def place_orders(

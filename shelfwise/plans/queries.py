@@ -106,10 +106,10 @@ def order_history_view(s: Store) -> DataFrame:
 
 
 def _carried_variants(s: Store) -> DataFrame:
-    """Variants that were shipped in 1998 or later; others are no longer carried."""
+    """Variants with a line that was not sent back; others are no longer carried."""
     carried = (
         s.table("lineitem")
-        .filter(F.col("l_shipdate") >= "1998-01-01")
+        .filter(F.col("l_returnflag") != "R")
         .select(model.variant_key().alias("id"))
         .distinct()
     )
@@ -780,15 +780,15 @@ def document_attributes(s: Store) -> DataFrame:
 
 @query
 def re_enrich(s: Store) -> DataFrame:
-    """Listings of two brands read again and their stored details replaced."""
-    chosen = s.listings().filter(F.col("p_brand").isin("Brand#7", "Brand#9"))
+    """Listings of three brands read again and their stored details replaced."""
+    chosen = s.listings().filter(F.col("p_brand").isin("Brand#7", "Brand#8", "Brand#9"))
     ids = chosen.select(model.product_key().alias("product_id"))
     stored = enrich.detail_rows(
         _attributes(s).withColumn("confidence_score", F.lit(0.5)), model.LOAD_TS
     ).withColumn("roast_level", F.lit("stored"))
     replaced, _ = enrich.re_enrich(
-        ids, _listing_texts(s).select("product_id", "text"), stored, model.LOAD_TS,
-        model.DICTIONARY,
+        ids, _listing_texts(s), stored, model.LOAD_TS, model.DICTIONARY,
+        roaster_name="roaster_name",
     )
     return replaced.select(
         "product_id", "roast_level", "processing_method", "producer", "extraction_confidence"

@@ -25,8 +25,6 @@ RULES = SellableRules(
 )
 AS_OF = date(2001, 7, 15)
 LOAD_TS = datetime(2001, 7, 15)
-# Purchases before this day count as known when options are listed.
-KNOWN_BEFORE = date(1998, 1, 1)
 MONTHLY_BUDGET = 200000.0
 
 # Titles are two words; each word stands for a note, a varietal or a roast.
@@ -164,12 +162,15 @@ class Store:
             self.variants(), self.products(), self.roasters(), RULES
         )
 
-    def orders(self) -> DataFrame:
+    def orders(self, finished: bool = False) -> DataFrame:
         lines = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice",
         )
-        heads = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        heads = self.table("orders")
+        if finished:
+            heads = heads.filter(F.col("o_orderstatus") == "F")
+        heads = heads.select("o_orderkey", "o_custkey", "o_orderdate")
         return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             F.col("l_orderkey").alias("order_id"),
@@ -182,7 +183,8 @@ class Store:
         )
 
     def known_orders(self) -> DataFrame:
-        return self.orders().filter(F.col("order_date") < F.lit(KNOWN_BEFORE))
+        """Purchases that are done with: only these make a variant one that somebody has bought."""
+        return self.orders(finished=True)
 
     def options(self, beans: DataFrame | None = None) -> DataFrame:
         beans = self.beans() if beans is None else beans

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfwise.plans.store import AS_OF, KNOWN_BEFORE, LOAD_TS, MONTHLY_BUDGET
+from shelfwise.plans.store import AS_OF, LOAD_TS, MONTHLY_BUDGET
 
 BASE = f"""
 roasters AS (
@@ -57,14 +57,14 @@ lines AS (
          l_partkey * 1000000 + l_suppkey AS product_id,
          (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS variant_id,
          CAST(o_orderdate AS DATE) AS order_date, CAST(l_quantity AS INTEGER) AS quantity,
-         l_extendedprice AS price_paid, o_orderpriority
+         l_extendedprice AS price_paid, o_orderpriority, o_orderstatus
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ),
 options AS (
   SELECT * FROM beans b
   WHERE coffee_type = 'Single Origin' AND NOT EXISTS (
     SELECT 1 FROM lines l WHERE l.product_id = b.product_id AND l.variant_id = b.variant_id
-      AND l.order_date < DATE '{KNOWN_BEFORE}')
+      AND l.o_orderstatus = 'F')
 ),
 history AS (
   SELECT l.id, l.user_id, l.product_id, l.variant_id, l.order_date, l.price_paid AS price,
@@ -107,9 +107,9 @@ TWINS["available_options"] = _with("""
 SELECT product_id, variant_id, parent_title, roaster_name, price, origin_country,
        processing_method, product_url FROM options""")
 
-TWINS["candidate_options"] = _with(f"""
+TWINS["candidate_options"] = _with("""
 SELECT product_id, variant_id, parent_title, roaster_name, price FROM options
-WHERE product_id NOT IN (SELECT product_id FROM lines WHERE order_date < DATE '{KNOWN_BEFORE}')""")
+WHERE product_id NOT IN (SELECT product_id FROM lines WHERE o_orderstatus = 'F')""")
 
 TWINS["recommendation_options"] = _with("""
 SELECT product_id, variant_id, parent_title, roaster_name, processing_method, origin_country,
@@ -148,7 +148,7 @@ marked AS (
   FROM lines l LEFT JOIN (
     SELECT * FROM variants WHERE variant_id IN (
       SELECT (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber FROM lineitem
-      WHERE l_shipdate >= TIMESTAMP '1998-01-01')) v USING (variant_id)
+      WHERE l_returnflag <> 'R')) v USING (variant_id)
 )"""
 TWINS["order_status"] = _with(
     "SELECT id, user_id, order_date, price_paid, product_status FROM marked", _STATUS
@@ -545,10 +545,12 @@ rests AS (
   FROM facts
 )"""
 TWINS["extract_attributes"] = _with("""
-SELECT product_id, true AS is_single_origin, origin_country, roast_level, processing_method,
+SELECT product_id, CASE WHEN farm IS NOT NULL OR producer IS NOT NULL THEN true END AS is_single_origin,
+       origin_country, roast_level, processing_method,
        varietals, altitude, farm, producer, notes,
        CAST(floor((low + high) / 2.0) AS INTEGER) AS resting_period_days,
-       round((3 + (roast_level IS NOT NULL)::INT + (altitude IS NOT NULL)::INT
+       round((2 + (farm IS NOT NULL OR producer IS NOT NULL)::INT
+              + (roast_level IS NOT NULL)::INT + (altitude IS NOT NULL)::INT
               + (farm IS NOT NULL)::INT + (producer IS NOT NULL)::INT + (varietals <> '')::INT
               + (notes <> '')::INT) / 9.0::DOUBLE, 4) AS confidence_score
 FROM rests""", _TEXTS)
@@ -558,12 +560,13 @@ TWINS["grower_labels"] = _with(
 )
 TWINS["re_enrich"] = _with("""
 SELECT product_id, CASE WHEN chosen THEN roast_level ELSE 'stored' END AS roast_level,
-       processing_method, CASE WHEN chosen THEN named_producer ELSE producer END AS producer,
-       CASE WHEN chosen THEN round((3 + (roast_level IS NOT NULL)::INT
+       processing_method, producer,
+       CASE WHEN chosen THEN round((2 + (farm IS NOT NULL OR producer IS NOT NULL)::INT
+              + (roast_level IS NOT NULL)::INT
          + (altitude IS NOT NULL)::INT + (farm IS NOT NULL)::INT
-         + (named_producer IS NOT NULL)::INT + (varietals <> '')::INT
+         + (producer IS NOT NULL)::INT + (varietals <> '')::INT
          + (notes <> '')::INT) / 9.0::DOUBLE, 4) ELSE 0.5 END AS extraction_confidence
-FROM (SELECT *, p_brand IN ('Brand#7', 'Brand#9') AS chosen FROM facts)""", _TEXTS)
+FROM (SELECT *, p_brand IN ('Brand#7', 'Brand#8', 'Brand#9') AS chosen FROM facts)""", _TEXTS)
 
 TWINS["resting_period"] = """
 SELECT p_partkey AS product_id, low AS low_days, high AS high_days,
@@ -609,7 +612,7 @@ terms(kind, term, value) AS (VALUES
 hits AS (SELECT DISTINCT doc_id, kind, value FROM phrases JOIN terms ON phrase = term)
 SELECT d.doc_id,
   CASE WHEN count(*) FILTER (kind = 'blend') > 0 OR count(*) FILTER (kind = 'country') > 1
-       THEN false WHEN count(*) FILTER (kind = 'country') = 1 THEN true END AS is_single_origin,
+       THEN false END AS is_single_origin,
   min(value) FILTER (kind = 'country') AS origin_country,
   string_agg(value, '; ' ORDER BY kind, value) FILTER (kind LIKE 'process%') AS processing_method,
   coalesce(string_agg(value, ',' ORDER BY value) FILTER (kind = 'varietal'), '') AS varietals,

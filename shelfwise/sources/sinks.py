@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,18 @@ from pyspark.sql import functions as F
 def append_orders(orders: DataFrame, folder: str) -> None:
     """Append order rows, one folder per month, so that spend queries read few of them.
 
-    Rows are rebalanced by month: few files for a small month, several tasks for a large one.
+    Rows whose id its month already holds are not written again, so a batch can be repeated. Rows
+    are rebalanced by month: few files for a small month, several tasks for a large one.
     """
     dated = orders.withColumn("order_month", F.trunc("order_date", "month"))
+    try:
+        held = orders.sparkSession.read.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        months = F.col("order_month").cast("date").alias("order_month")
+        dated = dated.join(held.select("id", months), ["id", "order_month"], "left_anti")
     dated.hint("rebalance", "order_month").write.mode("append").partitionBy(
         "order_month"
     ).parquet(folder)
@@ -28,21 +38,28 @@ def write_snapshot(table: DataFrame, folder: str) -> None:
     table.write.mode("errorifexists").parquet(folder)
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def replace_by_key(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose key it does not hold."""
-    kept = old.join(new.select(key).distinct(), key, "left_anti")
+    kept = old.join(new.select(*key).distinct(), list(key), "left_anti")
     return kept.unionByName(new)
 
 
 def with_audit(new: DataFrame, old: DataFrame, key: str, load_ts: datetime) -> DataFrame:
-    """Creation time of the row being replaced, or ``load_ts``; update time is ``load_ts``."""
-    created = old.groupBy(key).agg(F.min("created_at").alias("_created"))
+    """Creation and update time of the row being replaced; ``load_ts`` for a new row, and as the
+    update time of one that differs."""
+    data = [c for c in new.columns if c in old.columns and c not in (key, "created_at", "updated_at")]
+    before = old.groupBy(key).agg(
+        F.min(
+            F.struct("created_at", "updated_at", F.struct(key, *data).alias("data"))
+        ).alias("_before")
+    )
+    same = F.col("_before.data").eqNullSafe(F.struct(key, *data))
     return (
         new.drop("created_at", "updated_at")
-        .join(created, key, "left")
-        .withColumn("created_at", F.coalesce("_created", F.lit(load_ts)))
-        .withColumn("updated_at", F.lit(load_ts))
-        .drop("_created")
+        .join(before, key, "left")
+        .withColumn("created_at", F.coalesce("_before.created_at", F.lit(load_ts)))
+        .withColumn("updated_at", F.when(same, F.coalesce("_before.updated_at", F.lit(load_ts))).otherwise(F.lit(load_ts)))
+        .drop("_before")
     )
 
 

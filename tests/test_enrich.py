@@ -72,7 +72,8 @@ def test_attributes_of_a_text(spark):
     )
     rows = spark.createDataFrame(
         [(1, text, "shop"), (2, "House blend of Brazil", "x"), (3, "Brazil or Peru", "x"),
-         (4, "", "x"), (5, None, "x")],
+         (4, "", "x"), (5, None, "x"), (6, "Brazil Santos", "x"),
+         (7, "Huila and Tolima lots, Colombia", "x"), (8, "Huila, Colombia", "x")],
         "product_id INT, text STRING, seller STRING",
     )
     found = enrich.extract_attributes(rows, roaster_name="seller")
@@ -90,6 +91,8 @@ def test_attributes_of_a_text(spark):
     for empty in (r[4], r[5]):
         assert empty.is_single_origin is None and empty.confidence_score == 0.0
         assert empty.varietals == [] and empty.resting_period_days is None
+    assert r[6].is_single_origin is None and r[7].is_single_origin is False
+    assert r[8].is_single_origin is True
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 

@@ -128,7 +128,9 @@ def test_replace_audit_union_and_orphans(spark):
 def test_orders_are_appended_by_month(spark, golden, tmp_path):
     folder = str(tmp_path / "orders")
     sinks.append_orders(golden.orders, folder)
+    # A batch that comes again is not written twice; a new order of a known month is.
     sinks.append_orders(golden.orders.filter("id = 1"), folder)
+    sinks.append_orders(golden.orders.filter("id = 1").withColumn("id", F.col("id") + 100), folder)
     back = spark.read.parquet(folder)
     assert back.count() == 6
     assert back.filter("order_month = DATE '2025-01-01'").count() == 2

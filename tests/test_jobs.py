@@ -47,7 +47,11 @@ def zone(tmp_path):
             variant(1, "Nyeri AA", title="1kg", option1="1kg (4x250g)", grams="1000", position="2"),
             variant(2, "Huila", price="24.50"),
             variant(3, "Morning Blend"),
+            # Differs in the sku alone and stays; an exact repeat does not; a parent that is not there.
+            variant(3, "Morning Blend", sku="other"), variant(3, "Morning Blend"),
+            variant(99, "Nobody"),
         ],
+        "products/source=three": [product(9, "Stranger", "Peru")],
         "variants/source=two": [variant(1, "Guji", price="110")],
     }
     for folder, rows in files.items():
@@ -68,10 +72,13 @@ def test_from_landing_to_a_placed_order(spark, zone):
     registry = landing.registry_rows(spark, REGISTRY)
     first, second, enriched = (str(zone / name) for name in ("s1", "s2", "s3"))
 
-    report = jobs.load_catalog(spark, str(zone / "landing"), registry, None, first, STAMP)
+    report, left_out = jobs.load_catalog(spark, str(zone / "landing"), registry, None, first, STAMP)
     assert {(r.kind, r.source): (r.n_rows, r.n_bad) for r in report.collect()} == {
         ("products", "one"): (3, 0), ("products", "two"): (2, 1),
-        ("variants", "one"): (4, 0), ("variants", "two"): (1, 0),
+        ("variants", "one"): (7, 0), ("variants", "two"): (1, 0), ("products", "three"): (1, 0),
+    }
+    assert {(r.kind, r.source, r.reason) for r in left_out.collect()} == {
+        ("products", "three", "source not registered"), ("variants", "one", "no such product"),
     }
     sellers = landing.read_table(spark, first, "roasters").collect()
     assert {r.name: r.description for r in sellers} == {"first_cup": "First Cup", "second_cup": "Second_Cup"}
@@ -80,7 +87,7 @@ def test_from_landing_to_a_placed_order(spark, zone):
     jobs.load_catalog(spark, str(zone / "landing"), registry, first, second, STAMP)
     for name in jobs.CATALOG_TABLES:
         assert table(spark, first, name) == table(spark, second, name), name
-    assert len(table(spark, second, "variants")) == 5
+    assert len(table(spark, second, "variants")) == 6
 
     pages = spark.createDataFrame(
         [(1, "https://shop/2", "<div class='description'>Producer: Ana Diaz\nSL28</div>")],
@@ -110,7 +117,9 @@ def test_from_landing_to_a_placed_order(spark, zone):
     rejects = jobs.place_orders(spark, enriched, requests, orders_folder, STAMP)
     assert [(r.user_id, r.reason) for r in rejects.collect()] == [(2, "no such option")]
 
+    jobs.place_orders(spark, enriched, requests, orders_folder, STAMP)
     placed = spark.read.parquet(orders_folder)
+    assert placed.count() == 1
     row = placed.first()
     assert (row.user_id, row.price_paid, row.quantity) == (1, 20.0, 1)
     assert row.origin_country == "Kenya" and row.roaster_name == "first_cup"

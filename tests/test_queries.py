@@ -10,6 +10,8 @@ import pytest
 from conftest import DATA
 
 from __spark_entry__ import entry, oracle_sql, queries
+from shelfwise.plans.queries import QUERIES
+from shelfwise.plans.twins import TWINS
 
 FOLDER = f"{DATA}/sf0.001"
 TABLES = (
@@ -40,10 +42,11 @@ def rows(columns, records):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(queries()) and set(TWINS) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_twin(spark, duck, name):
     df = queries()[name](spark, FOLDER)
     cursor = duck.execute(oracle_sql()[name])
