@@ -162,6 +162,22 @@ def missing_order_ids(s: Store) -> DataFrame:
     return orders.missing_order_ids(view, _urgent_ids(s))
 
 
+@query
+def orders_by_id_status(s: Store) -> DataFrame:
+    """The orders asked about and what has become of their variant."""
+    marked = orders.order_status(s.orders(), _carried_variants(s))
+    return orders.orders_by_id(marked, _urgent_ids(s)).select("id", "price_paid", "product_status")
+
+
+@query
+def append_twice(s: Store) -> DataFrame:
+    """All orders appended to a table that holds the past ones: each is there once."""
+    month = F.trunc("order_date", "month").alias("order_month")
+    batch = s.orders().select("id", "user_id", "price_paid", month)
+    held = s.past_orders().select("id", "user_id", "price_paid", month)
+    return held.unionByName(sinks.not_held(batch, held).select(*held.columns)).drop("order_month")
+
+
 def _snapshot(s: Store) -> tuple[DataFrame, DataFrame]:
     """Every order line requested again; returned lines ask for a size that does not exist, lines
     of the supplier with key 0 for a product that does not."""
@@ -366,6 +382,18 @@ def unresolved_order_keys(s: Store) -> DataFrame:
     return resolve.resolve_order_strings(_order_strings(beans), s.options(beans))[1]
 
 
+@query
+def order_string_rejects(s: Store) -> DataFrame:
+    """Order strings that give no order: unreadable, unknown, or of a brand that has gone since."""
+    beans = _kept_beans(s)
+    left = s.products().filter(F.col("vendor") != "Brand#8")
+    _, rejects = orders.place_order_strings(
+        _order_strings(beans), s.options(beans), left, s.variants(), s.roasters(), s.details(),
+        model.LOAD_TS,
+    )
+    return rejects
+
+
 def _labelled_beans(s: Store) -> DataFrame:
     """The catalog by label; kept, because requests are made from it and looked up in it."""
     rows = s.beans().withColumn("label", F.concat_ws(" ", "parent_title", "roaster_name"))
@@ -397,6 +425,14 @@ def match_fragments(s: Store) -> DataFrame:
     return resolve.match_fragments(names, rows, "label")
 
 
+@query
+def ambiguous_candidates(s: Store) -> DataFrame:
+    """Catalog rows of every part name, typed in upper case, that means several."""
+    names = s.table("part").select(F.upper("p_name").alias("fragment")).distinct()
+    rows = _labelled_beans(s).select("product_id", "variant_id", "label")
+    return resolve.ambiguous_candidates(names, rows, "label")
+
+
 @query
 def bulk_order_by_name(s: Store) -> DataFrame:
     beans = _labelled_beans(s)
@@ -558,6 +594,45 @@ def upsert_roasters(s: Store) -> DataFrame:
     return sinks.upsert_roasters(base, renamed.union(added))
 
 
+@query
+def upsert_with_audit(s: Store) -> DataFrame:
+    """When each seller was created and updated, after African ones were renamed and new ones came."""
+    first = F.lit("1995-01-01").cast("timestamp")
+    base = s.roasters().select("id", "name", "description", "url")
+    renamed = s.roasters().filter(F.col("origin_region") == "AFRICA").select(
+        "id", "name", F.concat_ws(" ", "name", "origin_country").alias("description"), "url"
+    )
+    added = s.table("nation").select(
+        (F.col("n_nationkey") + 1000000000).cast("bigint").alias("id"),
+        F.col("n_name").alias("name"), F.col("n_name").alias("description"),
+        F.concat(F.lit("https://nation/"), F.lower("n_name")).alias("url"),
+    )
+    old = base.withColumns({"created_at": first, "updated_at": first})
+    merged = sinks.upsert_roasters(base, renamed.union(added))
+    return sinks.with_audit(merged, old, "id", model.LOAD_TS).select(
+        "id", "description", F.col("created_at").cast("date").alias("created_on"),
+        F.col("updated_at").cast("date").alias("updated_on"),
+    )
+
+
+@query
+def load_rejects(s: Store) -> DataFrame:
+    """Order lines as landing variants; sellers in Africa are not registered, one brand not loaded."""
+    landed = s.table("lineitem").select(
+        F.col("l_suppkey").cast("string").alias("source"), F.col("l_partkey").alias("parent_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("title"),
+    )
+    keys = s.roasters().filter(F.col("origin_region") != "AFRICA").select(
+        F.col("id").cast("string").alias("source"), F.col("id").alias("roaster_id")
+    )
+    loaded = s.listings().filter(F.col("p_brand") != "Brand#13").select(
+        F.col("l_suppkey").alias("roaster_id"), F.col("l_partkey").alias("source_id")
+    )
+    return ingest.load_rejects(landed, keys, "variants", loaded).select(
+        "source", "kind", "reason", F.get_json_object("record", "$.title").alias("title")
+    )
+
+
 @query
 def schema_union(s: Store) -> DataFrame:
     left = s.table("supplier").select(
@@ -795,6 +870,17 @@ def re_enrich(s: Store) -> DataFrame:
     )
 
 
+@query
+def re_enrich_unknown(s: Store) -> DataFrame:
+    """Ids asked for that no listing has, among all listings and as many numbers below zero."""
+    known = s.listings().select(model.product_key().alias("product_id"))
+    ids = known.unionByName(known.select((-1 - F.col("product_id")).alias("product_id")))
+    stored = enrich.detail_rows(_attributes(s), model.LOAD_TS)
+    return enrich.re_enrich(
+        ids, _listing_texts(s), stored, model.LOAD_TS, model.DICTIONARY, roaster_name="roaster_name"
+    )[1]
+
+
 @query
 def parse_event_props(s: Store) -> DataFrame:
     """Event payloads as attribute records: read, filled with defaults, and how it went."""

@@ -655,3 +655,35 @@ FROM documents LEFT JOIN pages ON page_id = doc_id"""
 TWINS["product_by_url"] = """
 SELECT '/part/' || p_partkey AS url, min(l_partkey * 1000000 + l_suppkey) AS product_id
 FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"""
+
+# ---------------------------------------------------------------- rejects, repeats, status
+
+TWINS["orders_by_id_status"] = _with(
+    "SELECT id, price_paid, product_status FROM marked WHERE o_orderpriority = '1-URGENT'", _STATUS
+)
+TWINS["append_twice"] = _with("SELECT id, user_id, price_paid FROM lines")
+TWINS["order_string_rejects"] = _with("""
+SELECT request_id, text, CASE WHEN title IS NULL THEN 'malformed key' ELSE 'no such option' END
+       AS reason FROM found WHERE product_id IS NULL
+UNION ALL
+SELECT request_id, text, 'product not found' FROM found JOIN products USING (product_id)
+WHERE p_brand = 'Brand#8'""", _STRINGS)
+TWINS["ambiguous_candidates"] = _with("""
+SELECT fragment, product_id, variant_id, label
+FROM (SELECT DISTINCT upper(p_name) AS fragment FROM part) JOIN labelled
+  ON label ILIKE '%' || fragment || '%'
+QUALIFY count(*) OVER (PARTITION BY fragment) > 1""", _NAMES)
+TWINS["upsert_with_audit"] = _with("""
+SELECT id, CASE WHEN origin_region = 'AFRICA' THEN name || ' ' || origin_country ELSE name END
+       AS description, DATE '1995-01-01' AS created_on,
+       CASE WHEN origin_region = 'AFRICA' THEN DATE '2001-07-15' ELSE DATE '1995-01-01' END
+       AS updated_on FROM roasters
+UNION ALL SELECT n_nationkey + 1000000000, n_name, DATE '2001-07-15', DATE '2001-07-15' FROM nation
+""")
+TWINS["load_rejects"] = _with("""
+SELECT CAST(l_suppkey AS VARCHAR) AS source, 'variants' AS kind,
+       CASE WHEN r.id IS NULL OR origin_region = 'AFRICA' THEN 'source not registered'
+            ELSE 'no such product' END AS reason, l_orderkey || '-' || l_linenumber AS title
+FROM lineitem LEFT JOIN roasters r ON r.id = l_suppkey LEFT JOIN part ON p_partkey = l_partkey
+WHERE r.id IS NULL OR origin_region = 'AFRICA' OR p_partkey IS NULL OR p_brand = 'Brand#13'""")
+TWINS["re_enrich_unknown"] = _with("SELECT -1 - product_id AS product_id FROM products")

@@ -27,12 +27,17 @@ def append_orders(orders: DataFrame, folder: str) -> None:
             raise
     else:
         months = F.col("order_month").cast("date").alias("order_month")
-        dated = dated.join(held.select("id", months), ["id", "order_month"], "left_anti")
+        dated = not_held(dated, held.select("id", months))
     dated.hint("rebalance", "order_month").write.mode("append").partitionBy(
         "order_month"
     ).parquet(folder)
 
 
+def not_held(dated: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows whose id its month does not hold yet."""
+    return dated.join(held.select("id", "order_month"), ["id", "order_month"], "left_anti")
+
+
 def write_snapshot(table: DataFrame, folder: str) -> None:
     """Write a table version to a folder that must not exist yet."""
     table.write.mode("errorifexists").parquet(folder)
