@@ -131,8 +131,10 @@ def assemble_documents(products: DataFrame, pages: DataFrame, fragment: str = "d
 
 def altitude(text: Column) -> Column:
     """Altitude in metres without a unit, ``low-high`` or one number; null when there is none."""
+    # Thousands are marked by a comma, or by a dot before three digits.
+    amount = r"(\d{1,3}(?:\.\d{3})+|\d[\d,]*)"
     pattern = (
-        r"(?i)(?:(\d[\d,]*)\s*(?:masl|m|ft)?\s*(?:-|–|to)\s*)?(\d[\d,]*)\s*"
+        rf"(?i)(?:{amount}\s*(?:masl|m|ft)?\s*(?:-|–|to)\s*)?{amount}\s*"
         r"(masl|metres|meters|m|feet|ft)\b"
     )
 
@@ -140,7 +142,7 @@ def altitude(text: Column) -> Column:
         feet = F.lower(span).rlike("f(ee)?t$")
 
         def metres(group: int) -> Column:
-            digits = F.replace(F.regexp_extract(span, pattern, group), F.lit(","), F.lit(""))
+            digits = F.translate(F.regexp_extract(span, pattern, group), ",.", "")
             number = digits.try_cast("int")
             return F.when(feet, F.round(number * FEET_TO_METRES).cast("int")).otherwise(number)
 

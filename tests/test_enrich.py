@@ -33,6 +33,7 @@ def test_region_text(spark):
 
 def test_altitude(spark):
     cases = {
+        "1.800 m": "1800", "1.500 - 1.800 masl": "1500-1800",
         "1600-1900 masl": "1600-1900", "1,750m": "1750", "5,200 - 6,000 ft": "1585-1829",
         "grown high": None, "Altitude: 1200 to 1400 metres": "1200-1400", None: None,
     }
