@@ -11,10 +11,13 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 800_000  # pieces kept per worker; above that the memory is emptied
+HELD = 800_000  # pieces kept per worker, and words; above that the memory is emptied
 # A blank before one of these starts a new pre-token in either vocabulary.
 _CUT = re.compile("(?= [!-~À-ɏ])")
 _UNSURE = re.compile(" (?![!-~À-ɏ])")
+# Inside a piece a pre-token ends for certain after a line end between printable characters, and
+# between a Latin letter and an ASCII mark other than the apostrophe, which may start a contraction.
+_INNER = re.compile(r"(?<=[!-~À-ɏ]\n)(?=[!-~À-ɏ])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
 
 
 class _Numbers(dict):
@@ -29,6 +32,36 @@ class _Numbers(dict):
         number = self[piece] = len(self)
         return number
 
+    def taken(self) -> list[str]:
+        """The pieces that are new since the last call, by number."""
+        new, self.new = self.new, []
+        return new
+
+
+class _Pool:
+    """Runs of ids by running number."""
+
+    def __init__(self) -> None:
+        self._used = 0
+        self._starts, self._sizes, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append runs of ``sizes``, one after the other in ``ids``."""
+        while self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._ids[self._used : self._used + len(ids)] = ids
+        self._starts = np.concatenate([self._starts, self._used + np.cumsum(sizes) - sizes])
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._used += len(ids)
+
+    def joined(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs ``numbers`` in a row, and how many the next ``counts`` runs each have."""
+        sizes, starts = self._sizes[numbers], self._starts[numbers]
+        before = np.cumsum(sizes) - sizes
+        ids = self._ids[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
+
 
 def pieces_of(text: str) -> list[str]:
     """Pieces of a text that a tokenizer encodes independently: each starts at a blank before a
@@ -45,30 +78,33 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         # Names of special tokens inside a text are ordinary text.
         self._tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self._numbers, self._used = _Numbers(), 0
-        self._starts, self._sizes, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32)
+        self._numbers, self._pieces = _Numbers(), _Pool()
+        self._word_numbers, self._words = _Numbers(), _Pool()
 
     def _learn(self) -> None:
-        new, self._numbers.new = self._numbers.new, []
-        if not new:
+        """Look up new pieces by their words, of which far fewer are new, and encode only those."""
+        pieces = self._numbers.taken()
+        if not pieces:
             return
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        while self._used + len(flat) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-        self._pool[self._used : self._used + len(flat)] = flat
-        self._starts = np.concatenate([self._starts, self._used + np.cumsum(sizes) - sizes])
-        self._sizes = np.concatenate([self._sizes, sizes])
-        self._used += len(flat)
+        split = [_INNER.split(piece) for piece in pieces]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        total = int(counts.sum())
+        words = np.fromiter(
+            map(self._word_numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64, total
+        )
+        if new := self._word_numbers.taken():
+            ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            self._words.add(flat, sizes)
+        self._pieces.add(*self._words.joined(words, counts))
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; ``end`` is appended to every text."""
         if len(self._numbers) > HELD:
-            self._forget()
+            self._numbers, self._pieces = _Numbers(), _Pool()
+        if len(self._word_numbers) > HELD:
+            self._word_numbers, self._words = _Numbers(), _Pool()
         numbers, counts = [], []
         for text in texts:
             pieces = pieces_of(text)
@@ -76,13 +112,9 @@ class PieceEncoder:
             numbers.append(np.fromiter(map(self._numbers.__getitem__, pieces), np.int64, len(pieces)))
         self._learn()
         number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        sizes, starts = self._sizes[number], self._starts[number]
-        before = np.cumsum(sizes) - sizes
-        ids = self._pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        lengths = np.diff(bounds)
+        ids, lengths = self._pieces.joined(number, np.array(counts, np.int64))
         if end is not None:
-            ids = np.insert(ids, bounds[1:], end)
+            ids = np.insert(ids, np.cumsum(lengths), end)
             lengths = lengths + 1
         return ids, lengths
 
