@@ -215,59 +215,53 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return functools.reduce(DataFrame.unionByName, grams), functools.reduce(DataFrame.unionByName, contexts)
 
 
-def _hashed(estimates: DataFrame, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
-    """At most ``2 ** bits`` slots per order: the slots, an n-gram of each, languages and values."""
+def _hashed(
+    estimates: DataFrame, order: int, languages: list[str], bits: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``2 ** bits`` sorted slots of an order, an n-gram of each, and a value by language
+    (not a number where a language has none). A slot is one row on its way to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            orders, grams = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            slot = np.zeros(len(grams), np.int64)
-            for order in np.unique(orders):
-                slot[orders == order] = _slots(grams[orders == order], int(order), bits)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(slot)], names=["order", "lang", "gram", "value", "slot"]
-            )
+            slots = _slots(batch.column(1).to_numpy().view(np.uint64), order, bits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots)], names=["lang", "gram", "value", "slot"])
 
-    schema = "order int, lang string, gram long, value double, slot long"
-    rows = (
-        estimates.mapInArrow(run, schema).groupBy("order", "slot", "lang")
-        .agg(F.max("value").cast("float").alias("value"), F.min("gram").alias("gram")).toPandas()
+    own = estimates.where(F.col("order") == order).select("lang", "gram", "value")
+    values = [
+        F.max(F.when(F.col("lang") == lang, F.col("value"))).cast("float").alias(f"value_{i}")
+        for i, lang in enumerate(languages)
+    ]
+    table = (
+        own.mapInArrow(run, "lang string, gram long, value double, slot long")
+        .groupBy("slot").agg(F.min("gram").alias("gram"), *values).toArrow()
     )
-    return {
-        order: (own["slot"].to_numpy(), own["gram"].to_numpy().view(np.uint64), own["lang"].tolist(), own["value"].to_numpy())
-        for order, own in rows.groupby("order")
-    }
+    slots = table["slot"].to_numpy().astype(np.int32)
+    place = np.argsort(slots)
+    matrix = np.empty((len(slots), len(languages)), np.float32)
+    for i in range(len(languages)):
+        matrix[:, i] = table[f"value_{i}"].to_numpy()[place]
+    return slots[place], table["gram"].to_numpy()[place].view(np.uint64), matrix
 
 
 def train(rows: DataFrame, bits: int = 22) -> LanguageModel:
     """Models of all languages from all rows ``(lang, text)``; rows with a null are ignored."""
     prepare(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null")
-    grams, contexts = kneser_ney(staged(gram_counts(rows), "counts"))
-    found, weights = _hashed(grams, bits), _hashed(contexts, bits)
-    languages = sorted(set(found[1][2])) if found else []
-    number = {lang: i for i, lang in enumerate(languages)}
-
-    def matrix(part, missing):
-        slots, first, place = np.unique(part[0], return_index=True, return_inverse=True)
-        values = np.full((len(slots), len(languages)), missing, np.float32)
-        values[place, [number[x] for x in part[2]]] = part[3]
-        return slots.astype(np.int32), part[1][first], values
-
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.float32))
-    context_tables = [matrix(weights.get(o, empty), 0.0) for o in range(1, ORDER + 1)]
-    # A character never seen in a language gets the interpolation weight of its unigrams.
-    unseen = np.zeros(len(languages), np.float32)
-    if languages:
-        sizes = {x: max(1, found[1][2].count(x)) for x in languages}
-        unseen = context_tables[0][2][0] - np.log([sizes[x] + 1 for x in languages]).astype(np.float32)
-    usual, limit = np.zeros(len(languages)), np.full(len(languages), np.inf)
+    counts = staged(gram_counts(rows), "counts")
+    languages = [row["lang"] for row in counts.select("lang").distinct().orderBy("lang").collect()]
+    grams, contexts = kneser_ney(counts)
+    weights = [_hashed(contexts, order, languages, bits) for order in range(1, ORDER + 1)]
     model = LanguageModel(
-        tuple(languages), bits, (), (), tuple(c[0] for c in context_tables),
-        tuple(c[2] for c in context_tables), unseen, usual, limit,
+        tuple(languages), bits, (), (), tuple(slots for slots, _, _ in weights),
+        tuple(np.nan_to_num(values, copy=False, nan=0.0) for _, _, values in weights),
+        np.zeros(len(languages), np.float32), np.zeros(len(languages)), np.full(len(languages), np.inf),
     )
     for order in range(1, ORDER + 1):
-        slots, keys, values = matrix(found.get(order, empty), np.nan)
+        slots, keys, values = _hashed(grams, order, languages, bits)
+        if order == 1 and languages:
+            # A character never seen in a language gets the interpolation weight of its unigrams.
+            sizes = np.maximum(1, np.count_nonzero(~np.isnan(values), axis=0))
+            model = _replace(model, unseen=model.log_backoff[0][0] - np.log(sizes + 1).astype(np.float32))
         if len(slots):
             tails = keys & np.uint64((1 << (CHARACTERS * (order - 1))) - 1)
             lower = log_p(model, tails, order - 1) + _backoff(model, keys, order)
