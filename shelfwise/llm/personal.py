@@ -58,7 +58,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if not re.search("[0-9]", text):
         return spans
     for match in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match[0].split(".")):
+        parts = [part.lstrip("0") or "0" for part in match[0].split(".")]
+        if all(len(part) <= 3 and int(part) <= 255 for part in parts):
             spans.append((*match.span(), "ip"))
     for match in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", match[0])

@@ -73,11 +73,16 @@ def test_base_spans_equal_the_patterns():
         assert personal.base_spans(text) == plain_spans(text), repr(text)
 
 
-@pytest.mark.parametrize("text", ["a" * 300000, "1" * 300000, "1." * 100000, "+1" + "(" * 200000, "@" * 200000, "a@" * 100000])
+@pytest.mark.parametrize("text", ["a" * 300000, "1" * 300000, "1." * 100000, "+1" + "(" * 200000, "@" * 200000, "a@" * 100000, "0" * 9000 + ".1.2.3"])
 def test_long_runs_are_one_pass(text):
     personal.base_spans(text)
 
 
+def test_leading_zeros_of_any_number_are_read():
+    text = "0" * 9000 + "25.1.2.3 and 256.1.1.1"
+    assert personal.base_spans(text) == [(0, 9008, "ip")]
+
+
 def best_tags(scores, steps):
     """Every sequence of tags, the best first."""
     from itertools import product

@@ -32,6 +32,20 @@ def test_encoder_equals_the_library_on_whole_texts(path):
         at += length
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_pieces_end_where_the_library_ends_them(path):
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    draw = random.Random(8)
+    signs = ["a", "B", "é", "ß", "ÿ", "×", "÷", "İ", "\u0307", "\u0301", "\u0338", "'", "’", ".", ",", "=", "<", "|",
+             "\n", "\r\n", " ", "\u00a0", "\x1c", "\x85", "7", "中", "ſ", "Σ", "'s", "<|endoftext|>", "\0", "😀", "_", "`"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(25))) for _ in range(8000)]
+    ids, lengths = tokens.PieceEncoder(path).encode(texts)
+    wanted = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in wanted]
+    assert ids.tolist() == [i for w in wanted for i in w]
+
+
 def test_encoder_forgets_without_a_difference(monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 3)
     encoder = tokens.PieceEncoder(BYTES)
