@@ -80,6 +80,17 @@ def catalog_count(s: Store) -> DataFrame:
     return catalog.catalog_count(s.beans())
 
 
+@query
+def view_counts(s: Store) -> DataFrame:
+    """Sellable products and sellers, read through their registered views."""
+    catalog.register_views(sellable_products=s.beans(), known_sellers=s.roasters())
+    return s.spark.sql(
+        "SELECT k.origin_country, count(*) AS n_products, min(p.price) AS cheapest "
+        "FROM sellable_products p JOIN known_sellers k ON p.roaster_name = k.name "
+        "GROUP BY k.origin_country"
+    )
+
+
 @query
 def options_by_roaster(s: Store) -> DataFrame:
     return catalog.options_by_roaster(s.options())
@@ -906,6 +917,26 @@ def parse_event_props(s: Store) -> DataFrame:
     )
 
 
+@query
+def payload_notes(s: Store) -> DataFrame:
+    """Tasting notes of event payloads, one row each; views name two fruits, clicks a spice."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("event_type")
+    payload = (
+        F.when(
+            kind == "view",
+            F.concat(F.lit('{"tasting_notes":{"fruits":["f'), k, F.lit('","Plum"],"sweets":[]}}')),
+        )
+        .when(
+            kind == "click",
+            F.concat(F.lit('{"tasting_notes":{"spices":["s'), k, F.lit('"],"fruits":null}}')),
+        )
+        .otherwise(F.lit('{"tasting_notes":null}'))
+    )
+    rows = s.table("events").select("event_id", payload.alias("payload"))
+    return enrich.notes_long(enrich.parse_payload(rows), "event_id")
+
+
 @query
 def event_props(s: Store) -> DataFrame:
     """The payload's own field, null-safe and typed, per event."""

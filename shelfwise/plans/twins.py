@@ -124,6 +124,11 @@ TWINS["catalog_count"] = _with("""
 SELECT coffee_type, count(*) AS n FROM beans GROUP BY 1 UNION ALL SELECT 'All', count(*) FROM beans
 """)
 
+TWINS["view_counts"] = _with("""
+SELECT n_name AS origin_country, count(*) AS n_products, min(price) AS cheapest
+FROM beans JOIN supplier ON roaster_name = s_name JOIN nation ON s_nationkey = n_nationkey
+GROUP BY 1""")
+
 TWINS["options_by_roaster"] = _with("""
 SELECT roaster_name, product_id, variant_id, count(*) OVER (PARTITION BY roaster_name) AS n_options,
        row_number() OVER (PARTITION BY roaster_name
@@ -635,6 +640,12 @@ SELECT event_id,
        CASE WHEN event_type = 'click' THEN 0.25 ELSE 0.0 END::DOUBLE AS extraction_confidence
 FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)"""
 
+TWINS["payload_notes"] = """
+WITH e AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, 'fruits' AS category, 'f' || k AS note FROM e WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'fruits', 'Plum' FROM e WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'spices', 's' || k FROM e WHERE event_type = 'click'"""
+
 TWINS["event_props"] = """
 SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events
 """
