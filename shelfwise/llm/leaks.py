@@ -3,8 +3,9 @@
 Texts are words of letters and digits, lower-cased, read whole. A seed is a run of ``WIDTH`` words of
 a test item (all words of a shorter item). A seed is rare if it is in at most ``COMMON`` times as
 many documents as the median seed of its item, so at least half of an item's seeds are rare, however
-often the item leaked; a document that holds a rare one is aligned with the item around it. The
-score is the best local alignment of the item's words, as a share of aligning all of them, so edited
+often the item leaked; a document that holds a rare one is aligned with the item around it. One that
+holds only frequent ones is aligned too unless it has too few of the item's words for the least
+score, so what is found does not depend on other documents. The score is the best local alignment of the item's words, as a share of aligning all of them, so edited
 and paraphrased copies score below 1.
 
 Null texts, and texts and items without a word, match nothing. Equal items are separate items, each
@@ -28,6 +29,7 @@ from shelfwise.llm.common import chunks, prepare, staged
 WIDTH = 4
 COMMON = 4
 FILTER_BITS = 24  # the seeds' filter is 2 ** FILTER_BITS flags, whatever the benchmark's size
+BLOCKS = 8  # words of 64 flags that tell which words a window or an item holds
 CHUNK = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -125,20 +127,30 @@ def _flags(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (seeds >> np.uint64(64 - bits)).astype(np.int64), (seeds & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def word_flags(words: np.ndarray) -> np.ndarray:
+    """One flag for each word, in ``BLOCKS`` integers; different words may share a flag."""
+    flags = np.zeros(64 * BLOCKS, bool)
+    flags[(words & np.uint64(64 * BLOCKS - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64)
+
+
 def item_words(items: DataFrame) -> DataFrame:
-    """``item_id`` and ``words``, the word hashes of each item that has a word."""
+    """``item_id``, ``words``, the word hashes of each item that has a word, and their ``flags``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows = [t or "" for t in batch.column(1).to_pylist()], []
             for _, _, words, counts in word_hashes(texts):
-                rows.extend(np.split(words.view(np.int64), np.cumsum(counts)[:-1]))
+                rows.extend(np.split(words, np.cumsum(counts)[:-1]))
+            columns = [[row.view(np.int64) for row in rows], [word_flags(row) for row in rows]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["item_id", "words"]
+                [batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)],
+                names=["item_id", "words", "flags"],
             )
 
     source = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    return source.mapInArrow(run, "item_id long, words array<long>").where("size(words) > 0")
+    schema = "item_id long, words array<long>, flags array<long>"
+    return source.mapInArrow(run, schema).where("size(words) > 0")
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
@@ -161,7 +173,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 def seeded_windows(docs: DataFrame, seeds: DataFrame, reach: int, bits: int = FILTER_BITS) -> DataFrame:
     """Parts of documents around words that may start a seed: ``doc_id``, ``first`` (place of the
-    first word), ``words`` and ``seeds``.
+    first word), ``words``, their ``flags`` and ``seeds``.
 
     Hits closer than twice ``reach`` words share a window. The filter has false hits, no misses.
     """
@@ -204,20 +216,22 @@ def seeded_windows(docs: DataFrame, seeds: DataFrame, reach: int, bits: int = FI
                     end = min(int(ends[number]), int(place[last - 1]) + WIDTH + reach)
                     rows.append((
                         doc_ids[a + number], begin - int(ends[number] - counts[number]),
-                        words[begin:end].view(np.int64), np.unique(seed[first:last]).view(np.int64),
+                        words[begin:end].view(np.int64), word_flags(words[begin:end]),
+                        np.unique(seed[first:last]).view(np.int64),
                     ))
             if rows:
-                doc, first, window, seed = zip(*rows, strict=True)
+                doc, first, *lists = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(first, pa.int64()),
-                     pa.array(window, pa.list_(pa.int64())), pa.array(seed, pa.list_(pa.int64()))],
-                    names=["doc_id", "first", "words", "seeds"],
+                     *(pa.array(c, pa.list_(pa.int64())) for c in lists)],
+                    names=["doc_id", "first", "words", "flags", "seeds"],
                 )
 
+    schema = "doc_id long, first long, words array<long>, flags array<long>, seeds array<long>"
     if not filters:
-        return docs.sparkSession.createDataFrame([], "doc_id long, first long, words array<long>, seeds array<long>")
+        return docs.sparkSession.createDataFrame([], schema)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, first long, words array<long>, seeds array<long>")
+    return source.mapInArrow(run, schema)
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,6 +288,21 @@ def _aligned(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _sharing_frequent(windows: DataFrame, frequent: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """``window`` and ``item_id`` of windows with a frequent seed that may score ``least`` or more.
+
+    Every flag of the item that the window lacks is a word that cannot match, and no score is above
+    that of the words that can. The join compares flags, so only the pairs that may score are rows.
+    """
+    own = items.select("item_id", F.size("words").alias("size"), F.col("flags").alias("item_flags"))
+    hits = windows.select("window", "flags", F.explode("seeds").alias("seed"))
+    lacking = sum(
+        F.bit_count(F.col("item_flags")[k].bitwiseAND(F.bitwise_not(F.col("flags")[k]))) for k in range(BLOCKS)
+    )
+    both = hits.join(frequent.join(own, "item_id"), "seed")
+    return both.where((F.col("size") - lacking) / F.col("size") >= least).select("window", "item_id")
+
+
 def leaked(docs: DataFrame, items: DataFrame, least: float = 0.5, bits: int = FILTER_BITS) -> DataFrame:
     """``doc_id``, ``item_id``, ``score``, ``first_word`` and ``last_word`` of the leaks of ``least`` or more.
 
@@ -290,8 +319,10 @@ def leaked(docs: DataFrame, items: DataFrame, least: float = 0.5, bits: int = FI
     # Seeds that no document holds find nothing and do not count.
     counted = seeds.join(spread, "seed").select("seed", "item_id", "documents")
     middle = counted.groupBy("item_id").agg(F.percentile_approx("documents", 0.5, 10000).alias("middle"))
-    rare = counted.join(middle, "item_id").where(F.col("documents") <= COMMON * F.col("middle")).select("seed", "item_id")
-    pairs = hits.select("window", "seed").join(rare, "seed").select("window", "item_id").distinct()
+    counted = counted.join(middle, "item_id").withColumn("rare", F.col("documents") <= COMMON * F.col("middle"))
+    rare, frequent = (counted.where(which).select("seed", "item_id") for which in ("rare", "not rare"))
+    pairs = hits.select("window", "seed").join(rare, "seed").select("window", "item_id")
+    pairs = pairs.unionByName(_sharing_frequent(windows, frequent, own, least)).distinct()
     held = pairs.join(windows.select("window", "doc_id", "first", "words"), "window")
     both = held.join(own.select("item_id", F.col("words").alias("item")), "item_id")
 

@@ -48,6 +48,42 @@ def test_leaks_and_clean_documents(spark):
     assert leaks.leaked(docs.limit(0), items).count() == 0 and leaks.leaked(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copy", ["edited", "half"])
+def test_copies_are_found_beside_a_verbatim_one(spark, copy):
+    words = [f"w{i}" for i in range(40)]
+    other = {"edited": [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words)], "half": words[:21]}[copy]
+    rows = [(0, " ".join(words))] + [(i, f"before {' '.join(other)} after{i}") for i in range(1, 7)]
+    rows.append((7, " ".join(["no", *other[:4], "more"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(10, " ".join(words))], "item_id long, text string")
+    score = smith_waterman(words, other) / 80
+    assert score >= 0.5
+    for some in (docs, docs.where("doc_id > 0")):
+        out = {r.doc_id: r.score for r in leaks.leaked(some, items).collect()}
+        assert out == dict.fromkeys(range(1, 7), score) | ({0: 1.0} if some is docs else {})
+
+
+def test_every_pair_with_a_seed_is_scored(spark):
+    draw = random.Random(12)
+    items = {i: [draw.choice("abcdefghijkl") for _ in range(draw.randrange(4, 16))] for i in range(12)}
+    texts = {}
+    for d in range(150):
+        own = list(items[draw.randrange(3) if draw.random() < 0.7 else draw.randrange(12)])
+        for _ in range(draw.randrange(5)):
+            own[draw.randrange(len(own))] = draw.choice("abcdefghijklxyz")
+        texts[d] = own
+    expected = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            seeds = {tuple(item[k : k + 4]) for k in range(len(item) - 3)}
+            score = smith_waterman(item, text) / (2 * len(item))
+            if score >= 0.5 and seeds & {tuple(text[k : k + 4]) for k in range(len(text) - 3)}:
+                expected[d, i] = score
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    own = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in leaks.leaked(docs, own).collect()} == expected
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
