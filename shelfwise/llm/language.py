@@ -30,7 +30,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Rejection:
-    """``rate`` of calibration texts lie above the threshold before ``slack`` widens it.
+    """``rate`` of calibration texts lie above the threshold.
 
     Up to ``length`` characters the excess over a language's usual entropy is scaled by the root of
     the length, because short texts vary more. An excess of ``margin`` nats over ``length``
@@ -38,7 +38,6 @@ class Rejection:
     """
 
     rate: float = 0.0005
-    slack: float = 2.0
     length: int = 256
     margin: float = 0.75
 
@@ -324,7 +323,10 @@ def entropies(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.nd
 
 
 def calibrated(model: LanguageModel, rows: DataFrame, rejection: Rejection = Rejection()) -> LanguageModel:
-    """The model with a rejection threshold per language, from rows ``(lang, text)`` it was not fitted on."""
+    """The model with a rejection threshold per language, from rows ``(lang, text)`` it was not fitted on.
+
+    As in ``identify`` a text counts for its best language, so a wrong label does not raise a threshold.
+    """
     languages, least_limit = list(model.languages), rejection.margin * rejection.length**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +334,10 @@ def calibrated(model: LanguageModel, rows: DataFrame, rejection: Rejection = Rej
             langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             known = [i for i, x in enumerate(langs) if x in languages]
             nats, lengths = entropies(model, [texts[i] for i in known])
-            own = nats[np.arange(len(known)), [languages.index(langs[i]) for i in known]] if known else []
+            best = nats.argmin(axis=1) if known else []
+            own = nats[np.arange(len(known)), best] if known else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array([langs[i] for i in known], pa.string()), pa.array(own, pa.float64()), pa.array(lengths)],
+                [pa.array([languages[i] for i in best], pa.string()), pa.array(own, pa.float64()), pa.array(lengths)],
                 names=["lang", "nats", "length"],
             )
 
@@ -352,7 +355,7 @@ def calibrated(model: LanguageModel, rows: DataFrame, rejection: Rejection = Rej
         model, length=rejection.length,
         usual=np.array([found[x]["usual"] if x in found else 0.0 for x in languages]),
         limit=np.array(
-            [max(found[x]["high"] * rejection.slack, least_limit) if x in found else np.inf for x in languages]
+            [max(found[x]["high"], least_limit) if x in found else np.inf for x in languages]
         ),
     )
 

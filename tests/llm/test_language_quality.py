@@ -106,6 +106,17 @@ def test_rejection_is_calibrated(spark, model):
     assert [r.accepted for r in language.identify(docs, fitted).collect()] == [True, False]
 
 
+def test_wrong_labels_do_not_loosen_the_rejection(spark):
+    clean = [(i, f"{text} {text} {text}", lang) for i, text, lang in texts() * 20]
+    wrong = [(1000, "der hund und die katze ist nicht der tag", "en"), (1001, "the cat and the dog of that day", "de")]
+    fitted = language.calibrated(language.train(spark.createDataFrame(clean, SAMPLE)), spark.createDataFrame(clean + wrong, SAMPLE))
+    good = "this is the thing of that day and the other dog "
+    rows = [good * 4, "qxz vvkq wqqz jjxq " * 10, "kedi ile köpek bugün çok güzel değil mi " * 5,
+            good * 2 + "qxz vvkq wqqz jjxq kzzv wqvj " * 3]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert [r.accepted for r in language.identify(docs, fitted).orderBy("doc_id").collect()] == [True, False, False, False]
+
+
 def labelled(spark):
     good = [(i, f"Some words of a plain text, number {i}. It goes on and ends here.", 1) for i in range(60)]
     bad = [(100 + i, f"SHOUT!! WORDS!! {'SAME ' * 20} {i}!!", 0) for i in range(30)]
