@@ -44,11 +44,10 @@ class Rejection:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Per order, sorted hashes of n-grams with log probabilities by language, and of contexts with
-    log back-off weights. A hash has ``bits`` bits, which bounds the size of every array."""
+    """Per order, sorted n-grams with log probabilities by language, and sorted contexts with log
+    back-off weights. An n-gram takes 8 bytes and 4 a language."""
 
     languages: tuple[str, ...]
-    bits: int
     grams: tuple[np.ndarray, ...]
     log_p: tuple[np.ndarray, ...]
     contexts: tuple[np.ndarray, ...]
@@ -112,13 +111,6 @@ def long_gram_stream(text: str) -> Iterator[tuple[np.ndarray, bool]]:
         before = symbols[-(ORDER - 1) :]
 
 
-def _slots(grams: np.ndarray, order: int, bits: int) -> np.ndarray:
-    mixed = (grams + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def gram_counts(rows: DataFrame) -> DataFrame:
     """``lang``, ``gram`` and its count ``n`` over all rows ``(lang, text)``; summed per task first."""
 
@@ -214,58 +206,47 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return functools.reduce(DataFrame.unionByName, grams), functools.reduce(DataFrame.unionByName, contexts)
 
 
-def _hashed(
-    estimates: DataFrame, order: int, languages: list[str], bits: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most ``2 ** bits`` sorted slots of an order, an n-gram of each, and a value by language
-    (not a number where a language has none). A slot is one row on its way to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = _slots(batch.column(1).to_numpy().view(np.uint64), order, bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots)], names=["lang", "gram", "value", "slot"])
-
-    own = estimates.where(F.col("order") == order).select("lang", "gram", "value")
+def _sorted(estimates: DataFrame, order: int, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted n-grams of an order and a value by language (not a number where a language has
+    none). An n-gram is one row on its way to the driver."""
+    own = estimates.where(F.col("order") == order)
     values = [
         F.max(F.when(F.col("lang") == lang, F.col("value"))).cast("float").alias(f"value_{i}")
         for i, lang in enumerate(languages)
     ]
-    table = (
-        own.mapInArrow(run, "lang string, gram long, value double, slot long")
-        .groupBy("slot").agg(F.min("gram").alias("gram"), *values).toArrow()
-    )
-    slots = table["slot"].to_numpy().astype(np.int32)
-    place = np.argsort(slots)
-    matrix = np.empty((len(slots), len(languages)), np.float32)
+    table = own.groupBy("gram").agg(F.count("*").alias("n"), *values).drop("n").toArrow()
+    keys = table["gram"].to_numpy().view(np.uint64)
+    place = np.argsort(keys)
+    matrix = np.empty((len(keys), len(languages)), np.float32)
     for i in range(len(languages)):
         matrix[:, i] = table[f"value_{i}"].to_numpy()[place]
-    return slots[place], table["gram"].to_numpy()[place].view(np.uint64), matrix
+    return keys[place], matrix
 
 
-def train(rows: DataFrame, bits: int = 22) -> LanguageModel:
+def train(rows: DataFrame) -> LanguageModel:
     """Models of all languages from all rows ``(lang, text)``; rows with a null are ignored."""
     prepare(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null")
     counts = staged(gram_counts(rows), "counts")
     languages = [row["lang"] for row in counts.select("lang").distinct().orderBy("lang").collect()]
     grams, contexts = kneser_ney(counts)
-    weights = [_hashed(contexts, order, languages, bits) for order in range(1, ORDER + 1)]
+    weights = [_sorted(contexts, order, languages) for order in range(1, ORDER + 1)]
     model = LanguageModel(
-        tuple(languages), bits, (), (), tuple(slots for slots, _, _ in weights),
-        tuple(np.nan_to_num(values, copy=False, nan=0.0) for _, _, values in weights),
+        tuple(languages), (), (), tuple(keys for keys, _ in weights),
+        tuple(np.nan_to_num(values, copy=False, nan=0.0) for _, values in weights),
         np.zeros(len(languages), np.float32), np.zeros(len(languages)), np.full(len(languages), np.inf),
     )
     for order in range(1, ORDER + 1):
-        slots, keys, values = _hashed(grams, order, languages, bits)
+        keys, values = _sorted(grams, order, languages)
         if order == 1 and languages:
             # A character never seen in a language gets the interpolation weight of its unigrams.
             sizes = np.maximum(1, np.count_nonzero(~np.isnan(values), axis=0))
             model = _replace(model, unseen=model.log_backoff[0][0] - np.log(sizes + 1).astype(np.float32))
-        if len(slots):
+        if len(keys):
             tails = keys & np.uint64((1 << (CHARACTERS * (order - 1))) - 1)
             lower = log_p(model, tails, order - 1) + _backoff(model, keys, order)
             values = np.where(np.isnan(values), lower, values)
-        model = _replace(model, grams=(*model.grams, slots), log_p=(*model.log_p, values))
+        model = _replace(model, grams=(*model.grams, keys), log_p=(*model.log_p, values))
     return model
 
 
@@ -273,14 +254,13 @@ def _replace(model: LanguageModel, **changes) -> LanguageModel:
     return LanguageModel(**{**model.__dict__, **changes})
 
 
-def _find(sorted_slots: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slots = slots.astype(np.int32)
-    place = np.minimum(np.searchsorted(sorted_slots, slots), max(len(sorted_slots) - 1, 0))
-    return place, sorted_slots[place] == slots if len(sorted_slots) else np.zeros(len(slots), bool)
+def _find(known: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+    return place, known[place] == grams if len(known) else np.zeros(len(grams), bool)
 
 
 def _backoff(model: LanguageModel, grams: np.ndarray, order: int) -> np.ndarray:
-    place, seen = _find(model.contexts[order - 1], _slots(grams >> np.uint64(CHARACTERS), order, model.bits))
+    place, seen = _find(model.contexts[order - 1], grams >> np.uint64(CHARACTERS))
     weights = np.zeros((len(grams), len(model.languages)), np.float32)
     weights[seen] = model.log_backoff[order - 1][place[seen]]
     return weights
@@ -290,7 +270,7 @@ def log_p(model: LanguageModel, grams: np.ndarray, order: int = ORDER) -> np.nda
     """Log probability of the last character of each n-gram after the others, by language."""
     if order == 0:
         return np.broadcast_to(model.unseen, (len(grams), len(model.languages)))
-    place, seen = _find(model.grams[order - 1], _slots(grams, order, model.bits))
+    place, seen = _find(model.grams[order - 1], grams)
     if seen.all() and len(grams):
         return model.log_p[order - 1][place]
     values = np.empty((len(grams), len(model.languages)), np.float32)
@@ -409,7 +389,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     return source.mapInArrow(run, T.StructType([*source.schema.fields, *ADDED.fields]))
 
 
-def trained_and_calibrated(rows: DataFrame, key: Column, parts: int = 10, bits: int = 22) -> LanguageModel:
+def trained_and_calibrated(rows: DataFrame, key: Column, parts: int = 10) -> LanguageModel:
     """Fit on nine parts of the rows by a hash of ``key``, calibrate on the tenth."""
     part = F.pmod(F.xxhash64(F.lit("calibration"), key), F.lit(parts))
-    return calibrated(train(rows.where(part != 0), bits), rows.where(part == 0))
+    return calibrated(train(rows.where(part != 0)), rows.where(part == 0))

@@ -75,6 +75,18 @@ def test_entropy_equals_brute_force(model):
         assert nats[0, number] == pytest.approx(expected, rel=1e-3)
 
 
+def test_unseen_grams_back_off_beside_many_seen_ones(spark):
+    draw = np.random.default_rng(3)
+    rows = ["".join(map(chr, draw.integers(0x4E00, 0x5A00, 150))) for _ in range(2000)]
+    model = language.train(spark.createDataFrame([(i, t, "zh") for i, t in enumerate(rows)], SAMPLE))
+    seen = np.concatenate([language.gram_stream([t])[0] for t in rows])
+    grams = language.gram_stream(["".join(map(chr, draw.integers(0x4E00, 0x5A00, 20000)))])[0]
+    grams = grams[~np.isin(grams, seen)]
+    tails = grams & np.uint64((1 << 48) - 1)
+    assert len(grams) > 19000
+    assert np.array_equal(language.log_p(model, grams), language.log_p(model, tails, 3) + language._backoff(model, grams, 4))
+
+
 def test_long_text_in_pieces_equals_one_piece(model, monkeypatch):
     text = "the dog und die katze " * 40
     whole = language.entropies(model, [text])[0]
