@@ -72,21 +72,33 @@ def pieces_of(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    def __init__(self, path: str) -> None:
+    """Names of special tokens inside a text are ordinary text; with ``special`` they are their
+    tokens, as the library has it by default."""
+
+    def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        # Names of special tokens inside a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special
+        added = self._tokenizer.get_added_tokens_decoder().values() if special else ()
+        self._names = sorted((token.content for token in added), key=len, reverse=True)
+        self._cut_names = re.compile("(" + "|".join(map(re.escape, self._names)) + ")")
         self._numbers, self._pieces = _Numbers(), _Pool()
         self._word_numbers, self._words = _Numbers(), _Pool()
 
+    def _pieces_of(self, text: str) -> list[str]:
+        """Pieces of a text; the name of a special token is one of its own."""
+        if not any(name in text for name in self._names):
+            return pieces_of(text)
+        parts = self._cut_names.split(text)
+        return [p for i, part in enumerate(parts) if part for p in ([part] if i % 2 else pieces_of(part))]
+
     def _learn(self) -> None:
         """Look up new pieces by their words, of which far fewer are new, and encode only those."""
         pieces = self._numbers.taken()
         if not pieces:
             return
-        split = [_INNER.split(piece) for piece in pieces]
+        split = [[piece] if piece in self._names else _INNER.split(piece) for piece in pieces]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         total = int(counts.sum())
         words = np.fromiter(
@@ -107,7 +119,7 @@ class PieceEncoder:
             self._word_numbers, self._words = _Numbers(), _Pool()
         numbers, counts = [], []
         for text in texts:
-            pieces = pieces_of(text)
+            pieces = self._pieces_of(text)
             counts.append(len(pieces))
             numbers.append(np.fromiter(map(self._numbers.__getitem__, pieces), np.int64, len(pieces)))
         self._learn()
@@ -122,4 +134,4 @@ class PieceEncoder:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special=True)

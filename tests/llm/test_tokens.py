@@ -46,6 +46,17 @@ def test_words_of_pieces_end_where_the_library_ends_them(path):
     assert ids.tolist() == [i for w in wanted for i in w]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_names_of_special_tokens_are_their_tokens(path):
+    library, draw = Tokenizer.from_file(path), random.Random(9)
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "É", "'s", "7", "e\u0301", "\0"]
+    texts = ODD + ["".join(draw.choice(signs) for _ in range(draw.randrange(15))) for _ in range(4000)]
+    ids, lengths = tokens.encoder(path).encode(texts, 9)
+    wanted = [[*e.ids, 9] for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in wanted]
+    assert ids.tolist() == [i for w in wanted for i in w]
+
+
 def test_encoder_forgets_without_a_difference(monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 3)
     encoder = tokens.PieceEncoder(BYTES)
