@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import language, leaks, packing, personal, simhash
-from shelfwise.llm.common import fold, prepare, shared_folder, table
+from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 SEQUENCE_TOKENS = 4096
@@ -36,9 +36,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a test item go."""
-    found = leaks.leaked(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Benchmark decontamination: rows that hold a test item go, with or without an id; a clean row
+    that shares the id of one stays."""
+    key = f"row_{uuid.uuid4().hex}"
+    # Written, so that the keys are the same when rows are removed.
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(key).alias("doc_id"), "text")
+    found = leaks.leaked(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,13 @@ def test_pipeline_of_odd_rows(spark):
     assert 1 in out and 2 not in out and 3 not in out and None in out
 
 
+def test_rows_go_by_themselves_whatever_their_id(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 60").first().text
+    docs = spark.createDataFrame([(None, item), (None, "a clean text"), (4, item), (4, "another clean text")], "doc_id long, text string")
+    out = corpus_pipeline.decontaminated(spark, docs, FOLDER)
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "a clean text"), (4, "another clean text")}
+
+
 def test_empty_documents_give_no_row(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
