@@ -100,30 +100,40 @@ def pack(pieces: DataFrame, capacity: int, group_bins: int = GROUP_BINS, nearly_
 
     Groups of about ``group_bins`` bins are packed by best fit. Bins that are nearly full, or have
     less room than the smallest bin left, are done; the others are the items of the next round, with
-    as many fewer groups, until one group holds them all. A round that merges less than a
-    tenth of them ends it too: each group is a random part of all, and more rounds would not help.
+    as many fewer groups, until one group holds them all. After a round that merges less than a
+    tenth of them only bins of at most half a sequence go on, of which a group has one at most, with
+    as many of the others, those with the most room: no two of the others fit together.
     """
     first = pieces.withColumn("sequence_id", F.monotonically_increasing_id())
     first = first.withColumn("offset", F.lit(0).cast("long")).withColumn("fill", F.col("length"))
     left = staged(first.withColumn("done", F.col("length") >= capacity), "pieces")
     finished = [left.where("done")]
-    left = left.where("not done")
+    left, groups = left.where("not done"), None
     while True:
         bins, smallest = left.where("offset = 0").agg(F.count("*"), F.min("fill")).first()
         if not bins:
             break
-        groups = -(-bins // group_bins)
+        # Always fewer groups, so that bins that did not fit meet others.
+        groups = max(1, min(-(-bins // group_bins), groups - 1)) if groups else -(-bins // group_bins)
         packed = _merger(capacity, int(capacity * nearly_full), smallest)
         part = F.pmod(F.xxhash64(F.lit(groups), "sequence_id"), F.lit(groups))
         merged = staged(
             left.withColumn("part", part).groupBy("part").applyInPandas(packed, PACKED), "packed"
         )
         after = merged.where("offset = 0").count()
-        if groups == 1 or after > 0.9 * bins:
+        if groups == 1:
             finished.append(merged)
             break
         finished.append(merged.where("done"))
         left = merged.where("not done")
+        if after > 0.9 * bins:
+            small = F.col("fill") * 2 <= capacity
+            roomy = left.where(~small & (F.col("offset") == 0)).orderBy("fill", "sequence_id")
+            roomy = roomy.limit(left.where(small & (F.col("offset") == 0)).count()).select("sequence_id")
+            roomy = staged(roomy, "roomy")
+            finished.append(left.where(~small).join(roomy, "sequence_id", "left_anti").select(*left.columns))
+            others = left.where(~small).join(roomy, "sequence_id", "left_semi").select(*left.columns)
+            left = left.where(small).unionByName(others)
     return functools.reduce(DataFrame.unionByName, finished).drop("fill", "done")
 
 

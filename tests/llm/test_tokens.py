@@ -135,6 +135,14 @@ def test_tree_of_merges_packs_tightly(spark):
     assert checked(out, 100) <= 1.08 * sum(sizes) / 100
 
 
+def test_few_small_bins_meet_after_a_round_without_gain(spark):
+    sizes = [65] * 380 + [40] * 16 + [30]
+    rows = [(i, 0, 0, n, 0) for i, n in enumerate(sizes)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), 100, group_bins=20).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(rows)))
+    assert checked(out, 100) == 388
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets = packing.best_fit(np.array([60, 50, 40, 30]), 100)
     assert bins.tolist() == [0, 1, 0, 1] and offsets.tolist() == [0, 0, 60, 50]
