@@ -17,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import chunks, prepare, staged
-from shelfwise.llm.tokens import encoder
+from shelfwise.llm.common import prepare, staged
+from shelfwise.llm.tokens import encoder, gathered
 
 GROUP_BINS = 20_000
-ENCODE_CHARACTERS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long, done boolean"
 
@@ -31,19 +30,17 @@ def token_pieces(docs: DataFrame, vocabulary: str, end: int, capacity: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for batch in gathered(batches):
+            ids, lengths = encode(batch.column(1), end)
             rows: list[list] = [[], [], [], [], []]
-            for a, b in chunks(map(len, texts), ENCODE_CHARACTERS):
-                ids, lengths = encode(texts[a:b], end)
-                data, at = ids.astype("<u4").tobytes(), 0
-                for doc_id, length in zip(doc_ids[a:b], lengths.tolist(), strict=True):
-                    for piece, start in enumerate(range(0, length, capacity)):
-                        size = min(capacity, length - start)
-                        check = zlib.crc32(data[4 * (at + start) : 4 * (at + start + size)])
-                        for column, value in zip(rows, (doc_id, piece, start, size, check), strict=True):
-                            column.append(value)
-                    at += length
+            data, at = ids.astype("<u4").tobytes(), 0
+            for doc_id, length in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
+                for piece, start in enumerate(range(0, length, capacity)):
+                    size = min(capacity, length - start)
+                    check = zlib.crc32(data[4 * (at + start) : 4 * (at + start + size)])
+                    for column, value in zip(rows, (doc_id, piece, start, size, check), strict=True):
+                        column.append(value)
+                at += length
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],

@@ -1,4 +1,9 @@
-"""Token ids of whole texts, each different piece between blanks encoded once per worker."""
+"""Token ids of whole texts. A batch is cut and its words numbered in Arrow; each different word is
+encoded once per worker.
+
+A piece starts at a blank before a printable character, a word inside it at a border that no
+pre-token of either vocabulary crosses, so the ids of a text are those of its words in a row.
+"""
 
 from __future__ import annotations
 
@@ -6,69 +11,77 @@ import functools
 import itertools
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-HELD = 800_000  # pieces kept per worker, and words; above that the memory is emptied
-# A blank before one of these starts a new pre-token in either vocabulary.
-_CUT = re.compile("(?= [!-~À-ɏ])")
-_UNSURE = re.compile(" (?![!-~À-ɏ])")
-# Inside a piece a pre-token ends for certain after a line end between printable characters, and
-# between a Latin letter and an ASCII mark other than the apostrophe, which may start a contraction.
-_INNER = re.compile(r"(?<=[!-~À-ɏ]\n)(?=[!-~À-ɏ])|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
+HELD = 400_000  # words of a generation; two generations are kept per worker
+BATCH_BYTES = 4 << 20  # texts encoded at once
+_PRINTABLE = "!-~À-ɏ"
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+# A blank before a printable character starts a pre-token.
+_CUT, _UNSURE = f" ([{_PRINTABLE}])", f" ([^{_PRINTABLE}]|$)"
+# So do a printable character after a line end that follows one, and an ASCII mark after a Latin
+# letter, unless it is the apostrophe, which may start a contraction.
+_INNER = ((f"([{_PRINTABLE}]\n)([{_PRINTABLE}])", 2), (rf"([{_LATIN}])([!-&(-/:-@\[-`{{-~])", 1))
+_LETTERS = re.compile(f" ?[{_LATIN}]+").fullmatch  # one pre-token for certain
+_MARKS = [chr(c) for c in (0, 1, 2, 3, 4, 5, 6, 7, 14, 15, 16)]
+
 
+def _byte_signs() -> dict[int, str]:
+    """The sign a byte-level vocabulary writes for each byte: itself if it is visible, else the
+    next free one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = itertools.count(256)
+    return {b: chr(b if b in visible else next(free)) for b in range(256)}
 
-class _Numbers(dict):
-    """Pieces to running numbers; a new piece gets the next one."""
+
+class _Runs:
+    """Runs of ids by the word they belong to."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
+        self.numbers: dict[str, int] = {}
+        self._used, self._count = 0, 0
+        self._starts, self._sizes = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self._ids = np.zeros(1 << 12, np.uint32)
 
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        number = self[piece] = len(self)
-        return number
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append the runs of new words, of ``sizes``, one after the other in ``ids``."""
+        first, last, end = self._count, self._count + len(words), self._used + len(ids)
+        while last > len(self._starts):
+            self._starts, self._sizes = np.tile(self._starts, 2), np.tile(self._sizes, 2)
+        while end > len(self._ids):
+            self._ids = np.tile(self._ids, 2)
+        self._ids[self._used : end] = ids
+        self._sizes[first:last] = sizes
+        self._starts[first:last] = self._used + np.cumsum(sizes) - sizes
+        self.numbers.update(zip(words, range(first, last), strict=True))
+        self._count, self._used = last, end
 
-    def taken(self) -> list[str]:
-        """The pieces that are new since the last call, by number."""
-        new, self.new = self.new, []
-        return new
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs ``numbers`` in a row, and the size of each."""
+        sizes = self._sizes[numbers]
+        return ragged(self._ids, self._starts[numbers], sizes), sizes
 
 
-class _Pool:
-    """Runs of ids by running number."""
+def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``values`` from ``starts`` with ``sizes``, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
-    def __init__(self) -> None:
-        self._used = 0
-        self._starts, self._sizes, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32)
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Append runs of ``sizes``, one after the other in ``ids``."""
-        while self._used + len(ids) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[self._used : self._used + len(ids)] = ids
-        self._starts = np.concatenate([self._starts, self._used + np.cumsum(sizes) - sizes])
-        self._sizes = np.concatenate([self._sizes, sizes])
-        self._used += len(ids)
-
-    def joined(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the runs ``numbers`` in a row, and how many the next ``counts`` runs each have."""
-        sizes, starts = self._sizes[numbers], self._starts[numbers]
-        before = np.cumsum(sizes) - sizes
-        ids = self._ids[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
-
-
-def pieces_of(text: str) -> list[str]:
-    """Pieces of a text that a tokenizer encodes independently: each starts at a blank before a
-    printable character, so no pre-token crosses a border."""
-    if "\0" in text or _UNSURE.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of the next ``counts`` values each."""
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return np.diff(lists.offsets.to_numpy())
 
 
 class PieceEncoder:
@@ -82,49 +95,87 @@ class PieceEncoder:
         self._tokenizer.encode_special_tokens = not special
         added = self._tokenizer.get_added_tokens_decoder().values() if special else ()
         self._names = sorted((token.content for token in added), key=len, reverse=True)
-        self._cut_names = re.compile("(" + "|".join(map(re.escape, self._names)) + ")")
-        self._numbers, self._pieces = _Numbers(), _Pool()
-        self._word_numbers, self._words = _Numbers(), _Pool()
-
-    def _pieces_of(self, text: str) -> list[str]:
-        """Pieces of a text; the name of a special token is one of its own."""
-        if not any(name in text for name in self._names):
-            return pieces_of(text)
-        parts = self._cut_names.split(text)
-        return [p for i, part in enumerate(parts) if part for p in ([part] if i % 2 else pieces_of(part))]
-
-    def _learn(self) -> None:
-        """Look up new pieces by their words, of which far fewer are new, and encode only those."""
-        pieces = self._numbers.taken()
-        if not pieces:
-            return
-        split = [[piece] if piece in self._names else _INNER.split(piece) for piece in pieces]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        total = int(counts.sum())
-        words = np.fromiter(
-            map(self._word_numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64, total
-        )
-        if new := self._word_numbers.taken():
-            ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-            self._words.add(flat, sizes)
-        self._pieces.add(*self._words.joined(words, counts))
-
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row and the number of ids of each text; ``end`` is appended to every text."""
-        if len(self._numbers) > HELD:
-            self._numbers, self._pieces = _Numbers(), _Pool()
-        if len(self._word_numbers) > HELD:
-            self._word_numbers, self._words = _Numbers(), _Pool()
-        numbers, counts = [], []
-        for text in texts:
-            pieces = self._pieces_of(text)
-            counts.append(len(pieces))
-            numbers.append(np.fromiter(map(self._numbers.__getitem__, pieces), np.int64, len(pieces)))
-        self._learn()
-        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        ids, lengths = self._pieces.joined(number, np.array(counts, np.int64))
+        # Names that hold one another or a blank could be cut; texts are then encoded whole.
+        self._whole = any(" " in a or any(a in b for b in self._names if a != b) for a in self._names)
+        self._suffix = bool(self._tokenizer.model.end_of_word_suffix)  # lower case, no blanks
+        self._signs = _byte_signs()
+        self._now, self._before = _Runs(), _Runs()
+
+    def _of_letters(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that are one pre-token each: only the merges are left to the library."""
+        joined = "\n".join(words)
+        if self._suffix:
+            joined = joined.replace(" ", "").lower()
+        signs = joined.encode().decode("latin-1").translate(self._signs)
+        tokenize = self._tokenizer.model.tokenize
+        return [[token.id for token in tokenize(word)] for word in signs.split(self._signs[10])]
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        letters = [word for word in words if _LETTERS(word)]
+        known = dict(zip(letters, self._of_letters(letters), strict=True)) if letters else {}
+        rest = [word for word in words if word not in known]
+        for word, made in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = made.ids
+        return [known[word] for word in words]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Running numbers of different words; those of the older generation are taken over."""
+        now, before = self._now, self._before
+        if new := [word for word in words if word not in now.numbers]:
+            old = [word for word in new if word in before.numbers]
+            now.add(old, *before.joined(np.array([before.numbers[word] for word in old], np.int64)))
+            if new := [word for word in new if word not in before.numbers]:
+                ids = self._encoded(new)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                now.add(new, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        return np.fromiter(map(now.numbers.__getitem__, words), np.int64, len(words))
+
+    def _pieces(self, texts: pa.Array, mark: str) -> pa.Array:
+        """Lists of pieces; a special token's name is a piece of its own."""
+        named = False
+        for name in self._names:
+            if pc.any(pc.match_substring(texts, name)).as_py():
+                texts, named = pc.replace_substring(texts, name, mark + name + mark), True
+        if named or pc.any(pc.match_substring_regex(texts, _UNSURE)).as_py():
+            marked = pc.replace_substring_regex(texts, _CUT, f"{mark} \\1")
+        else:
+            marked = pc.replace_substring(texts, " ", f"{mark} ")
+        return pc.split_pattern(marked, mark)
+
+    def _words(self, pieces: pa.Array, mark: str) -> pa.Array:
+        cut = pieces
+        for border, times in _INNER:
+            for _ in range(times):
+                cut = pc.replace_substring_regex(cut, border, f"\\1{mark}\\2")
+        if self._names:
+            cut = pc.if_else(pc.is_in(pieces, pa.array(self._names, pieces.type)), pieces, cut)
+        return pc.split_pattern(cut, mark)
+
+    def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and the number of ids of each text; ``end`` is appended to every text.
+        A null text is an empty one."""
+        if len(self._now.numbers) > HELD:
+            self._now, self._before = _Runs(), self._now
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        column = column.cast(pa.large_string())
+        mark = next((m for m in _MARKS if not pc.any(pc.match_substring(column, m)).as_py()), None)
+        if not len(column) or self._whole or mark is None:
+            made = [e.ids for e in self._tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            ids = np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths.sum()))
+        else:
+            pieces = self._pieces(column, mark)
+            piece = pc.dictionary_encode(pieces.flatten())
+            words = self._words(piece.dictionary, mark)
+            word = pc.dictionary_encode(words.flatten())
+            runs, sizes = self._now, _sizes(words)
+            numbers = self._numbers(word.dictionary.to_pylist())[word.indices.to_numpy()]
+            # Ids of each different piece, then of each piece of each text.
+            of_pieces, word_sizes = runs.joined(numbers)
+            piece_sizes = sums(word_sizes, sizes)
+            places = piece.indices.to_numpy()
+            ids = ragged(of_pieces, (np.cumsum(piece_sizes) - piece_sizes)[places], piece_sizes[places])
+            lengths = sums(piece_sizes[places], _sizes(pieces))
         if end is not None:
             ids = np.insert(ids, np.cumsum(lengths), end)
             lengths = lengths + 1
@@ -132,6 +183,30 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special: bool = True) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
-    return PieceEncoder(path, special=True)
+    return PieceEncoder(path, special)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined, or cut, to about ``limit`` bytes of ``column``; a larger row is alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(int(np.searchsorted(ends, before + limit - size, side="right")), start)
+            if stop == start:
+                if held:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+                    continue
+                stop = start + 1
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - before
+            start = stop
+    if held:
+        yield pa.concat_batches(held)

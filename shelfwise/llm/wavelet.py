@@ -21,12 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import chunks, prepare
-from shelfwise.llm.tokens import encoder
+from shelfwise.llm.common import prepare
+from shelfwise.llm.tokens import encoder, gathered
 
 SAMPLE = 512  # bits between two stored ranks
 SHARD_TOKENS = 1 << 20
-ENCODE_CHARACTERS = 1 << 20
 _HEADER = struct.Struct("<4sBQI")
 _MAGIC = b"WVM1"
 SHARDS = "part int, shard int, n_docs long, n_tokens long, file binary"
@@ -188,15 +187,13 @@ def shards(docs: DataFrame, vocabulary: str, end: int, shard_tokens: int = SHARD
                 names=["part", "shard", "n_docs", "n_tokens", "file"],
             )
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(map(len, texts), ENCODE_CHARACTERS):
-                ids, lengths = encode(texts[a:b], end)
-                held.append((doc_ids[a:b], lengths, ids))
-                tokens += len(ids)
-                if tokens >= shard_tokens:
-                    yield closed()
-                    held, tokens, shard = [], 0, shard + 1
+        for batch in gathered(batches):
+            ids, lengths = encode(batch.column(1), end)
+            held.append((batch.column(0).to_pylist(), lengths, ids))
+            tokens += len(ids)
+            if tokens >= shard_tokens:
+                yield closed()
+                held, tokens, shard = [], 0, shard + 1
         if held:
             yield closed()
 
