@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, language, leaks, packing, personal, quality, simhash, urls, vectors, wavelet
+from shelfwise.llm import chat, language, leaks, packing, personal, quality, simhash, stock, urls, vectors, wavelet
 from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 QUERIES = {}
@@ -118,6 +118,15 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@registered
+def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = table(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    placed = stock.packed_documents(docs, vocabulary, 0, 1024, stock.powers_of_two(1024))
+    return placed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @registered
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
