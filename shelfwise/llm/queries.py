@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, language, leaks, packing, personal, quality, simhash, stock, urls, vectors, wavelet
+from shelfwise.llm import align, chat, language, leaks, packing, personal, quality, simhash, stock, urls, vectors, wavelet
 from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 QUERIES = {}
@@ -127,6 +127,12 @@ def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return align.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @registered
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")

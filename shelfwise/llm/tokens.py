@@ -85,39 +85,14 @@ def _sizes(lists: pa.Array) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Names of special tokens inside a text are ordinary text; with ``special`` they are their
-    tokens, as the library has it by default."""
+    """Encodes texts by their words; a vocabulary says how words are cut and encoded."""
 
-    def __init__(self, path: str, special: bool = False) -> None:
-        from tokenizers import Tokenizer
+    _names: list[str] = []
+    _whole = False
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = not special
-        added = self._tokenizer.get_added_tokens_decoder().values() if special else ()
-        self._names = sorted((token.content for token in added), key=len, reverse=True)
-        # Names that hold one another or a blank could be cut; texts are then encoded whole.
-        self._whole = any(" " in a or any(a in b for b in self._names if a != b) for a in self._names)
-        self._suffix = bool(self._tokenizer.model.end_of_word_suffix)  # lower case, no blanks
-        self._signs = _byte_signs()
+    def __init__(self) -> None:
         self._now, self._before = _Runs(), _Runs()
 
-    def _of_letters(self, words: list[str]) -> list[list[int]]:
-        """Ids of words that are one pre-token each: only the merges are left to the library."""
-        joined = "\n".join(words)
-        if self._suffix:
-            joined = joined.replace(" ", "").lower()
-        signs = joined.encode().decode("latin-1").translate(self._signs)
-        tokenize = self._tokenizer.model.tokenize
-        return [[token.id for token in tokenize(word)] for word in signs.split(self._signs[10])]
-
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        letters = [word for word in words if _LETTERS(word)]
-        known = dict(zip(letters, self._of_letters(letters), strict=True)) if letters else {}
-        rest = [word for word in words if word not in known]
-        for word, made in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = made.ids
-        return [known[word] for word in words]
-
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Running numbers of different words; those of the older generation are taken over."""
         now, before = self._now, self._before
@@ -132,24 +107,16 @@ class PieceEncoder:
 
     def _pieces(self, texts: pa.Array, mark: str) -> pa.Array:
         """Lists of pieces; a special token's name is a piece of its own."""
-        named = False
         for name in self._names:
             if pc.any(pc.match_substring(texts, name)).as_py():
-                texts, named = pc.replace_substring(texts, name, mark + name + mark), True
-        if named or pc.any(pc.match_substring_regex(texts, _UNSURE)).as_py():
-            marked = pc.replace_substring_regex(texts, _CUT, f"{mark} \\1")
-        else:
-            marked = pc.replace_substring(texts, " ", f"{mark} ")
-        return pc.split_pattern(marked, mark)
+                texts = pc.replace_substring(texts, name, mark + name + mark)
+        return pc.split_pattern(self._cut(texts, mark), mark)
 
-    def _words(self, pieces: pa.Array, mark: str) -> pa.Array:
-        cut = pieces
-        for border, times in _INNER:
-            for _ in range(times):
-                cut = pc.replace_substring_regex(cut, border, f"\\1{mark}\\2")
-        if self._names:
-            cut = pc.if_else(pc.is_in(pieces, pa.array(self._names, pieces.type)), pieces, cut)
-        return pc.split_pattern(cut, mark)
+    def _cut(self, texts: pa.Array, mark: str) -> pa.Array:
+        """The texts with a mark before each blank that a printable character follows."""
+        if pc.any(pc.match_substring_regex(texts, _UNSURE)).as_py():
+            return pc.replace_substring_regex(texts, _CUT, f"{mark} \\1")
+        return pc.replace_substring(texts, " ", f"{mark} ")
 
     def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; ``end`` is appended to every text.
@@ -160,7 +127,7 @@ class PieceEncoder:
         column = column.cast(pa.large_string())
         mark = next((m for m in _MARKS if not pc.any(pc.match_substring(column, m)).as_py()), None)
         if not len(column) or self._whole or mark is None:
-            made = [e.ids for e in self._tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+            made = self._encode(column.to_pylist())
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             ids = np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths.sum()))
         else:
@@ -182,10 +149,56 @@ class PieceEncoder:
         return ids, lengths
 
 
+class WordEncoder(PieceEncoder):
+    """A vocabulary of the tokenizers library. Names of special tokens inside a text are ordinary
+    text; with ``special`` they are their tokens, as the library has it by default."""
+
+    def __init__(self, path: str, special: bool = False) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
+        self._names = sorted((token.content for token in added), key=len, reverse=True)
+        # Names that hold one another or a blank could be cut; texts are then encoded whole.
+        self._whole = any(" " in a or any(a in b for b in self._names if a != b) for a in self._names)
+        self._suffix = bool(self.tokenizer.model.end_of_word_suffix)  # lower case, no blanks
+        self.signs = _byte_signs()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_letters(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that are one pre-token each: only the merges are left to the library."""
+        joined = "\n".join(words)
+        if self._suffix:
+            joined = joined.replace(" ", "").lower()
+        signs = joined.encode().decode("latin-1").translate(self.signs)
+        tokenize = self.tokenizer.model.tokenize
+        return [[token.id for token in tokenize(word)] for word in signs.split(self.signs[10])]
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        letters = [word for word in words if _LETTERS(word)]
+        known = dict(zip(letters, self._of_letters(letters), strict=True)) if letters else {}
+        rest = [word for word in words if word not in known]
+        known.update(zip(rest, self._encode(rest), strict=True))
+        return [known[word] for word in words]
+
+    def _words(self, pieces: pa.Array, mark: str) -> pa.Array:
+        cut = pieces
+        for border, times in _INNER:
+            for _ in range(times):
+                cut = pc.replace_substring_regex(cut, border, f"\\1{mark}\\2")
+        if self._names:
+            cut = pc.if_else(pc.is_in(pieces, pa.array(self._names, pieces.type)), pieces, cut)
+        return pc.split_pattern(cut, mark)
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, special: bool = True) -> PieceEncoder:
+def encoder(path: str, special: bool = True) -> WordEncoder:
     """The worker's encoder of a vocabulary file."""
-    return PieceEncoder(path, special)
+    return WordEncoder(path, special)
 
 
 def gathered(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ def test_encoder_equals_the_library_on_whole_texts(path):
     draw = random.Random(5)
     mixed = ["".join(draw.choice([" ", "  ", "\n", "a", "B!", "é", "'s", "7", "\t", "word"]) for _ in range(40)) for _ in range(60)]
     texts = ODD + mixed
-    ids, lengths = tokens.PieceEncoder(path).encode(texts, 9)
+    ids, lengths = tokens.WordEncoder(path).encode(texts, 9)
     at = 0
     for text, length in zip(texts, lengths.tolist(), strict=True):
         assert ids[at : at + length].tolist() == [*library.encode(text, add_special_tokens=False).ids, 9], repr(text)
@@ -40,7 +40,7 @@ def test_words_of_pieces_end_where_the_library_ends_them(path):
     signs = ["a", "B", "é", "ß", "ÿ", "×", "÷", "İ", "\u0307", "\u0301", "\u0338", "'", "’", ".", ",", "=", "<", "|",
              "\n", "\r\n", " ", "\u00a0", "\x1c", "\x85", "7", "中", "ſ", "Σ", "'s", "<|endoftext|>", "\0", "😀", "_", "`"]
     texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(25))) for _ in range(8000)]
-    ids, lengths = tokens.PieceEncoder(path).encode(texts)
+    ids, lengths = tokens.WordEncoder(path).encode(texts)
     wanted = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
     assert lengths.tolist() == [len(w) for w in wanted]
     assert ids.tolist() == [i for w in wanted for i in w]
@@ -59,7 +59,7 @@ def test_names_of_special_tokens_are_their_tokens(path):
 
 def test_encoder_forgets_without_a_difference(monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 3)
-    encoder = tokens.PieceEncoder(BYTES)
+    encoder = tokens.WordEncoder(BYTES)
     first = [encoder.encode([f"some words {i}", "and more"])[0].tolist() for i in range(5)]
     monkeypatch.setattr(tokens, "HELD", 10**6)
     assert first == [encoder.encode([f"some words {i}", "and more"])[0].tolist() for i in range(5)]
