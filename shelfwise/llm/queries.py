@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import align, chat, language, leaks, packing, personal, quality, simhash, stock, urls, vectors, wavelet
+from shelfwise.llm import align, chat, language, leaks, packing, personal, quality, ranking, simhash, stock, urls, vectors, wavelet
 from shelfwise.llm.common import fold, prepare, shared_folder, staged, table
 
 QUERIES = {}
@@ -127,6 +127,13 @@ def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs, items = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranking.ranked(docs, items)
+
+
 @registered
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")

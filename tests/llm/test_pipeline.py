@@ -62,7 +62,7 @@ def test_empty_documents_give_no_row(spark):
 @pytest.mark.parametrize("name", sorted(TWINS))
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "labels"):
+    for table in ("documents", "embeddings", "pages", "labels", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     cursor = duck.execute(TWINS[name])
     columns = sorted(d[0] for d in cursor.description)
