@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import prepare, staged
-from shelfwise.llm.tokens import PieceEncoder, encoder, gathered, sums
+from shelfwise.llm.tokens import PieceEncoder, WordEncoder, gathered, sums
 
 LANE_BYTES = 256
-CHUNK_LINKS = 1 << 21  # links counted together; a longer document is a chunk of its own
+CHUNK_LINKS = 1 << 20  # links counted together; a longer document is a chunk of its own
+BATCH_BYTES = 1 << 20  # texts aligned at once
+HELD = 150_000  # words of a generation, in each of the two encoders
 BLANK = "▁"
 ALIGNED = (
     "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -48,10 +50,10 @@ class SentenceEncoder(PieceEncoder):
 
     No piece has its blank mark behind another sign, so no merge crosses the blank before a word."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, held: int | None = None) -> None:
         import sentencepiece
 
-        super().__init__()
+        super().__init__(held)
         self._processor = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self._processor.id_to_piece(i) for i in range(self._processor.get_piece_size())]
         self._whole = any(BLANK in piece.lstrip(BLANK) for piece in pieces)
@@ -72,8 +74,8 @@ class SentenceEncoder(PieceEncoder):
 
 def byte_tokens(path: str) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary."""
-    tokenizer, signs = encoder(path, False).tokenizer, encoder(path, False).signs
-    bytes_of = {sign: byte for byte, sign in signs.items()}
+    own = WordEncoder(path)
+    tokenizer, bytes_of = own.tokenizer, {sign: byte for byte, sign in own.signs.items()}
     entries = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     return [bytes(bytes_of[s] for s in e) if all(s in bytes_of for s in e) else b"" for e in entries]
 
@@ -97,7 +99,7 @@ def _tools(path_a: str, path_b: str):
     sizes = [np.fromiter(map(len, tokens), np.int64, len(tokens)) for tokens in (tokens_a, tokens_b)]
     names = [f"{i}," for i in range(len(tokens_a))] + [f"{i}|" for i in range(len(tokens_a))]
     names += [f"{i}," for i in range(len(tokens_b))] + [f"{i};" for i in range(len(tokens_b))]
-    return encoder(path_a, False), SentenceEncoder(path_b), tokens_a, tokens_b, sizes, names, (len(tokens_a), len(tokens_b))
+    return WordEncoder(path_a, held=HELD), SentenceEncoder(path_b, HELD), tokens_a, tokens_b, sizes, names, (len(tokens_a), len(tokens_b))
 
 
 def merged(ends_a: np.ndarray, ends_b: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +199,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=fields
             )
 
-        for batch in gathered(batches):
+        for batch in gathered(batches, limit=BATCH_BYTES):
             doc_ids = batch.column(0).to_pylist()
             texts = pc.fill_null(batch.column(1), "").cast(pa.large_string())
             blank, empty = pa.scalar(" ", texts.type), pa.scalar("", texts.type)

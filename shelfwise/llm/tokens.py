@@ -90,7 +90,8 @@ class PieceEncoder:
     _names: list[str] = []
     _whole = False
 
-    def __init__(self) -> None:
+    def __init__(self, held: int | None = None) -> None:
+        self._held = held
         self._now, self._before = _Runs(), _Runs()
 
     def _numbers(self, words: list[str]) -> np.ndarray:
@@ -121,7 +122,7 @@ class PieceEncoder:
     def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; ``end`` is appended to every text.
         A null text is an empty one."""
-        if len(self._now.numbers) > HELD:
+        if len(self._now.numbers) > (self._held or HELD):
             self._now, self._before = _Runs(), self._now
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         column = column.cast(pa.large_string())
@@ -153,10 +154,10 @@ class WordEncoder(PieceEncoder):
     """A vocabulary of the tokenizers library. Names of special tokens inside a text are ordinary
     text; with ``special`` they are their tokens, as the library has it by default."""
 
-    def __init__(self, path: str, special: bool = False) -> None:
+    def __init__(self, path: str, special: bool = False, held: int | None = None) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(held)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         added = self.tokenizer.get_added_tokens_decoder().values() if special else ()
