@@ -188,17 +188,17 @@ def advise_buyers(
     now = Snapshot(tune(spark), current)
     sellers = now.table("roasters")
     beans = cut_lineage(now.beans(rules))
-    notes = recommend.notes_key(enrich.notes_array(F.col("tasting_notes")))
+    notes = enrich.notes_array(F.col("tasting_notes"))
     names = sellers.select("id", F.col("description").alias("display_name"))
     options = (
         beans.filter(F.col("coffee_type") == "Single Origin")
         .join(names, F.col("roaster_id") == F.col("id"))
         .withColumn("roaster_name", F.col("display_name"))
-        .withColumn("notes_key", notes)
+        .withColumn("notes", notes)
     )
     past = order_history.filter(F.col("order_date") <= F.lit(as_of))
     history = cut_lineage(
-        spend.purchase_history(past, beans, sellers).withColumn("notes_key", notes)
+        spend.purchase_history(past, beans, sellers).withColumn("notes", notes)
     )
     summary = spend.with_budget(
         spend.spending_summary(history, users, as_of.date()), budget, flexibility

@@ -283,21 +283,20 @@ def ordered_products(s: Store) -> DataFrame:
 # ---------------------------------------------------------------- recommendation
 
 
-def _with_notes_key(frame: DataFrame) -> DataFrame:
-    notes = enrich.notes_array(F.col("tasting_notes"))
-    return frame.withColumn("notes_key", recommend.notes_key(notes))
+def _with_notes(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("notes", enrich.notes_array(F.col("tasting_notes")))
 
 
 def _recommendation(s: Store, beans: DataFrame) -> DataFrame:
     """History is read by three aggregations and the catalog by two joins, so both are kept."""
     history = cut_lineage(
-        _with_notes_key(s.history(beans)).select(
-            "user_id", "product_id", "order_date", "price", *recommend.FEATURES
+        _with_notes(s.history(beans)).select(
+            "user_id", "product_id", "order_date", "price", "notes", *recommend.FEATURES
         )
     )
     summary = spend.spending_summary(history, s.users(), model.AS_OF)
     budgets = spend.with_budget(summary, model.MONTHLY_BUDGET)
-    options = _with_notes_key(s.single_origins(beans))
+    options = _with_notes(s.single_origins(beans))
     return recommend.recommend_from_history(budgets, history, options)
 
 

@@ -253,7 +253,7 @@ TWINS["ordered_products"] = _with("SELECT DISTINCT user_id, product_id FROM hist
 _PICKED = """
 offers AS (
   SELECT product_id, variant_id, price, processing_method, origin_country, roaster_name,
-         array_to_string(list_sort([fruit, sweet]), ', ') AS notes_key
+         list_sort(list_distinct([lower(fruit), lower(sweet)])) AS own_notes
   FROM beans WHERE coffee_type = 'Single Origin'
 ),
 eligible AS (
@@ -265,9 +265,15 @@ eligible AS (
 ),
 tiered AS (SELECT * FROM eligible
            QUALIFY tier = min(tier) OVER (PARTITION BY user_id)),
+tasted AS (
+  SELECT user_id, list(DISTINCT note) AS known
+  FROM (SELECT user_id, lower(unnest(string_split(notes_key, ', '))) AS note FROM history)
+  GROUP BY user_id
+),
 counted AS (
   SELECT t.*, coalesce(p.n, 0) AS n_processing_method, coalesce(c.n, 0) AS n_origin_country,
-         coalesce(r.n, 0) AS n_roaster_name, coalesce(k.n, 0) AS n_notes_key
+         coalesce(r.n, 0) AS n_roaster_name, len(own_notes) AS n_notes,
+         coalesce(len(list_intersect(own_notes, known)), 0) AS n_known_notes
   FROM tiered t
   LEFT JOIN (SELECT user_id, processing_method, count(*) AS n FROM history GROUP BY 1, 2) p
     USING (user_id, processing_method)
@@ -275,8 +281,7 @@ counted AS (
     USING (user_id, origin_country)
   LEFT JOIN (SELECT user_id, roaster_name, count(*) AS n FROM history GROUP BY 1, 2) r
     USING (user_id, roaster_name)
-  LEFT JOIN (SELECT user_id, notes_key, count(*) AS n FROM history GROUP BY 1, 2) k
-    USING (user_id, notes_key)
+  LEFT JOIN tasted USING (user_id)
 ),
 step1 AS (SELECT * FROM counted QUALIFY processing_method = first_value(processing_method) OVER (
   PARTITION BY user_id ORDER BY n_processing_method, price, product_id, variant_id)),
@@ -285,8 +290,9 @@ step2 AS (SELECT * FROM step1 QUALIFY origin_country = first_value(origin_countr
 step3 AS (SELECT * FROM step2 QUALIFY roaster_name = first_value(roaster_name) OVER (
   PARTITION BY user_id ORDER BY n_roaster_name, price, product_id, variant_id)),
 picked AS (SELECT * FROM step3 QUALIFY 1 = row_number() OVER (
-  PARTITION BY user_id ORDER BY n_notes_key, price, product_id, variant_id))"""
-TWINS["recommendation"] = _with("SELECT * FROM picked", _PICKED)
+  PARTITION BY user_id ORDER BY n_known_notes / n_notes, price, product_id, variant_id))"""
+TWINS["recommendation"] = _with("""
+SELECT * EXCLUDE (own_notes), array_to_string(own_notes, ', ') AS notes FROM picked""", _PICKED)
 TWINS["recommended_orders"] = _with("""
 SELECT user_id, product_id, variant_id, b.parent_title AS product_title, 1 AS quantity,
        b.price AS price_paid, 'ids' AS matched_by, b.roaster_name, b.product_url, b.option1,
