@@ -96,11 +96,28 @@ def whole_beans(
     rules: SellableRules = SellableRules(),
 ) -> DataFrame:
     """The sellable catalog: the smallest packages with the attributes of their product."""
+    packages = smallest_packages(variants, products, roasters, rules)
+    details = details.select("product_id", *DETAIL_COLUMNS)
+    return typed(packages.join(details, "product_id", "left"), rules)
+
+
+def smallest_of(packages: DataFrame, rules: SellableRules = SellableRules()) -> DataFrame:
+    """``smallest_packages`` of variants that have their seller's name and product's link already.
+
+    Only the first package of a line and seller leaves the map side, so this is one shuffle.
+    """
     return (
-        smallest_packages(variants, products, roasters, rules)
-        .join(details.select("product_id", *DETAIL_COLUMNS), "product_id", "left")
-        .withColumn("coffee_type", rules.coffee_type())
-        .withColumn("adjusted_resting_period_days", adjusted_resting_days())
+        packages.filter(rules.sellable())
+        .drop("vendor")
+        .withColumn("rank", _smallest_first("parent_title", "roaster_name"))
+        .filter("rank = 1")
+    )
+
+
+def typed(packages: DataFrame, rules: SellableRules = SellableRules()) -> DataFrame:
+    """Packages and their attributes with the type and the days of rest that follow from them."""
+    return packages.withColumn("coffee_type", rules.coffee_type()).withColumn(
+        "adjusted_resting_period_days", adjusted_resting_days()
     )
 
 

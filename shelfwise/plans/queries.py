@@ -61,8 +61,8 @@ def available_options(s: Store) -> DataFrame:
 
 @query
 def candidate_options(s: Store) -> DataFrame:
-    """Options of one household that placed all known orders: no product they had in any size."""
-    left = catalog.without_ordered_products(s.options(), s.known_orders())
+    """Options of one household: no product its buyers ever had in any size."""
+    left = catalog.without_ordered_products(s.single_origins(), s.household_orders())
     return left.select("product_id", "variant_id", "parent_title", "roaster_name", "price")
 
 
@@ -116,38 +116,27 @@ def order_history_view(s: Store) -> DataFrame:
     )
 
 
-def _carried_variants(s: Store) -> DataFrame:
-    """Variants with a line that was not sent back; others are no longer carried."""
-    carried = (
-        s.table("lineitem")
-        .filter(F.col("l_returnflag") != "R")
-        .select(model.variant_key().alias("id"))
-        .distinct()
-    )
-    return s.variants().join(carried, "id", "left_semi")
-
-
 @query
 def order_status(s: Store) -> DataFrame:
-    marked = orders.order_status(s.orders(), _carried_variants(s))
+    marked = orders.order_status(s.orders(), s.carried_variants())
     return marked.select("id", "user_id", _day(), "price_paid", "product_status")
 
 
 @query
 def orders_still_carried(s: Store) -> DataFrame:
-    marked = orders.order_status(s.orders(), _carried_variants(s), include_discontinued=False)
+    marked = orders.order_status(s.orders(), s.carried_variants(), include_discontinued=False)
     return marked.select("id", "product_status")
 
 
 @query
 def orders_by_status(s: Store) -> DataFrame:
-    marked = orders.order_status(s.orders(), _carried_variants(s))
+    marked = orders.order_status(s.orders(), s.carried_variants())
     return orders.orders_by_status(marked).select("bucket", "id", _day(), "price_paid")
 
 
 @query
 def status_totals(s: Store) -> DataFrame:
-    totals = orders.status_totals(orders.order_status(s.orders(), _carried_variants(s)))
+    totals = orders.status_totals(orders.order_status(s.orders(), s.carried_variants()))
     return totals.withColumn("newest", _day("newest"))
 
 
@@ -176,7 +165,7 @@ def missing_order_ids(s: Store) -> DataFrame:
 @query
 def orders_by_id_status(s: Store) -> DataFrame:
     """The orders asked about and what has become of their variant."""
-    marked = orders.order_status(s.orders(), _carried_variants(s))
+    marked = orders.order_status(s.orders(), s.carried_variants())
     return orders.orders_by_id(marked, _urgent_ids(s)).select("id", "price_paid", "product_status")
 
 

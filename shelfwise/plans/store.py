@@ -26,6 +26,7 @@ RULES = SellableRules(
 AS_OF = date(2001, 7, 15)
 LOAD_TS = datetime(2001, 7, 15)
 MONTHLY_BUDGET = 200000.0
+HOUSEHOLD = 7  # nation of the buyers who share their orders
 
 # Titles are two words; each word stands for a note, a varietal or a roast.
 DICTIONARY = [
@@ -46,14 +47,30 @@ DICTIONARY = [
 ]
 
 
+# Room for seller numbers in a product's number. Nothing shares a number: a larger seller number is
+# an error, and so is a product too large for 64 bits (parts above 4.6 billion).
+SELLERS = 200_000_000
+
+
 def product_key() -> Column:
-    return F.col("l_partkey") * 1000000 + F.col("l_suppkey")
+    seller = F.col("l_suppkey")
+    checked = F.when(seller < SELLERS, seller).otherwise(
+        F.raise_error(F.lit(f"seller numbers reach {SELLERS}")).cast("bigint")
+    )
+    return F.col("l_partkey") * SELLERS + checked
 
 
 def variant_key() -> Column:
     return product_key() * 10 + F.col("l_linenumber")
 
 
+def product_url() -> Column:
+    return F.concat(
+        F.lit("https://"), F.col("l_suppkey").cast("string"), F.lit("/"),
+        F.col("l_partkey").cast("string"),
+    )
+
+
 class Store:
     """Lazily built frames of one data folder."""
 
@@ -92,41 +109,75 @@ class Store:
             F.col("l_suppkey").alias("roaster_id"),
             F.col("p_name").alias("title"),
             F.lit(None).cast("string").alias("parent_title"),
-            F.concat(
-                F.lit("https://"), F.col("l_suppkey").cast("string"), F.lit("/"),
-                F.col("l_partkey").cast("string"),
-            ).alias("url"),
+            product_url().alias("url"),
             F.concat_ws(" ", "p_type", "p_brand").alias("body_html"),
             F.concat_ws(",", F.split("p_name", " ")).alias("tags"),
             F.col("p_brand").alias("vendor"),
         )
 
-    def variants(self) -> DataFrame:
-        """The part is joined before the grouping: filters on its columns then reach its scan and
-        keep order lines of other parts out of the grouping."""
-        parts = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
-        lines = self.table("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        packages = lines.groupBy(
-            "l_partkey", "l_suppkey", "l_linenumber", "p_name", "p_brand", "p_type"
-        ).agg(
-            F.min("l_extendedprice").alias("price"),
-            F.max((F.col("l_linestatus") == "O").cast("int")).alias("available"),
+    def packages(self) -> DataFrame:
+        """Part, seller and size, with the part's columns.
+
+        Every size that was sold is offered, and the next size: one that nobody has bought yet is
+        in stock at the retail price of its size. The part is joined before the grouping: filters on
+        its columns then reach its scan and keep order lines of other parts out of the grouping.
+        """
+        lines = self.table("lineitem").select(
+            "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_linestatus",
+            "l_returnflag",
         )
-        return packages.select(
+        lines = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        sold = F.struct(
+            F.col("l_linenumber").alias("size"), F.col("l_extendedprice").alias("price"),
+            (F.col("l_linestatus") == "O").cast("int").alias("open"),
+            (F.col("l_returnflag") != "R").alias("kept"),
+        )
+        offered = F.struct(
+            (F.col("l_linenumber") % 7 + 1).alias("size"), F.lit(None).cast("double").alias("price"),
+            F.lit(None).cast("int").alias("open"), F.lit(None).cast("boolean").alias("kept"),
+        )
+        sizes = lines.select(
+            "l_partkey", "l_suppkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
+            F.explode(F.array(sold, offered)).alias("package"),
+        )
+        part = ("l_partkey", "l_suppkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+        return (
+            sizes.groupBy(*part, F.col("package.size").alias("l_linenumber"))
+            .agg(
+                F.min("package.price").alias("least"), F.max("package.open").alias("open"),
+                F.max("package.kept").alias("kept"),
+            )
+            .withColumn("price", F.coalesce("least", F.col("p_retailprice") * F.col("l_linenumber")))
+            .withColumn("available", F.coalesce("open", F.lit(1)))
+        )
+
+    def _variant_columns(self) -> list[Column]:
+        return [
             variant_key().alias("id"),
             product_key().alias("product_id"),
             F.col("p_name").alias("parent_title"),
             F.col("p_brand").alias("vendor"),
-            "price",
-            "available",
+            F.col("price"),
+            F.col("available"),
             (F.col("l_linenumber") * 50).alias("grams"),
             F.col("p_type").alias("option1"),
             F.lit("Whole Bean").alias("option2"),
             F.lit(None).cast("string").alias("option3"),
-        )
+        ]
+
+    def variants(self) -> DataFrame:
+        return self.packages().select(*self._variant_columns())
+
+    def carried_variants(self) -> DataFrame:
+        """Variants with a line that was not sent back; others are no longer carried."""
+        return self.packages().filter("kept").select(*self._variant_columns())
 
     def details(self) -> DataFrame:
         sellers = self.roasters().select("id", "origin_country", "origin_region")
+        rows = self.listings().join(sellers, F.col("l_suppkey") == F.col("id"))
+        return rows.select(product_key().alias("product_id"), *self._detail_columns())
+
+    def _detail_columns(self) -> list[Column]:
         words = F.split("p_name", " ")
         none = F.array().cast("array<string>")
         notes = F.struct(
@@ -136,11 +187,10 @@ class Store:
         # The size stands for the three-valued flag: true, false or unknown.
         group = F.col("p_size") % 3
         missing = F.lit(None).cast("string")
-        return self.listings().join(sellers, F.col("l_suppkey") == F.col("id")).select(
-            product_key().alias("product_id"),
+        return [
             F.when(group == 1, True).when(group == 0, False).alias("is_single_origin"),
-            "origin_country",
-            "origin_region",
+            F.col("origin_country"),
+            F.col("origin_region"),
             F.col("p_type").alias("processing_method"),
             missing.alias("roast_level"),
             F.col("p_brand").alias("varietals"),
@@ -150,27 +200,37 @@ class Store:
             notes.alias("tasting_notes"),
             F.lit(1.0).alias("extraction_confidence"),
             F.col("p_size").alias("resting_period_days"),
+        ]
+
+    def _catalog(self) -> DataFrame:
+        """Variants with their seller and attributes, from one pass over the order lines: part,
+        seller and details of a package are columns of the row it was grouped to."""
+        sellers = self.roasters().select(
+            F.col("id").alias("roaster_id"), F.col("name").alias("roaster_name"),
+            "origin_country", "origin_region",
+        )
+        return (
+            self.packages()
+            .join(sellers, F.col("l_suppkey") == F.col("roaster_id"))
+            .select(
+                *self._variant_columns(), "roaster_id", "roaster_name",
+                product_url().alias("product_url"), *self._detail_columns(),
+            )
+            .withColumnRenamed("id", "variant_id")
         )
 
     def beans(self) -> DataFrame:
-        return catalog.whole_beans(
-            self.variants(), self.products(), self.roasters(), self.details(), RULES
-        )
+        return catalog.typed(self.smallest_packages(), RULES)
 
-    def packages(self) -> DataFrame:
-        return catalog.smallest_packages(
-            self.variants(), self.products(), self.roasters(), RULES
-        )
+    def smallest_packages(self) -> DataFrame:
+        return catalog.smallest_of(self._catalog(), RULES)
 
-    def orders(self, finished: bool = False) -> DataFrame:
+    def orders(self) -> DataFrame:
         lines = self.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice",
         )
-        heads = self.table("orders")
-        if finished:
-            heads = heads.filter(F.col("o_orderstatus") == "F")
-        heads = heads.select("o_orderkey", "o_custkey", "o_orderdate")
+        heads = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             F.col("l_orderkey").alias("order_id"),
@@ -182,13 +242,14 @@ class Store:
             F.col("l_extendedprice").alias("price_paid"),
         )
 
-    def known_orders(self) -> DataFrame:
-        """Purchases that are done with: only these make a variant one that somebody has bought."""
-        return self.orders(finished=True)
+    def household_orders(self) -> DataFrame:
+        """The orders of one household, that of a nation."""
+        members = self.table("customer").filter(F.col("c_nationkey") == HOUSEHOLD)
+        return self.orders().join(members.select(F.col("c_custkey").alias("user_id")), "user_id")
 
     def options(self, beans: DataFrame | None = None) -> DataFrame:
         beans = self.beans() if beans is None else beans
-        return catalog.available_options(beans, self.known_orders())
+        return catalog.available_options(beans, self.orders())
 
     def single_origins(self, beans: DataFrame | None = None) -> DataFrame:
         beans = self.beans() if beans is None else beans
@@ -202,7 +263,7 @@ class Store:
         return self.orders().filter(F.col("order_date") <= F.lit(AS_OF))
 
     def sellable_lines(self) -> DataFrame:
-        return spend.sellable_lines(self.past_orders(), self.packages())
+        return spend.sellable_lines(self.past_orders(), self.smallest_packages())
 
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"))

@@ -15,7 +15,7 @@ roasters AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ),
 listings AS (
-  SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS product_id, l_partkey, l_suppkey FROM lineitem
+  SELECT DISTINCT l_partkey * 200000000 + l_suppkey AS product_id, l_partkey, l_suppkey FROM lineitem
 ),
 products AS (
   SELECT product_id, l_suppkey AS roaster_id, p.*,
@@ -23,12 +23,18 @@ products AS (
          p_type || ' ' || p_brand AS body_html, replace(p_name, ' ', ',') AS tags
   FROM listings JOIN part p ON l_partkey = p_partkey
 ),
+sizes AS (
+  SELECT l_partkey, l_suppkey, l_linenumber, l_extendedprice AS price,
+         CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS open, l_returnflag <> 'R' AS kept
+  FROM lineitem
+  UNION ALL SELECT l_partkey, l_suppkey, l_linenumber % 7 + 1, NULL, NULL, NULL FROM lineitem
+),
 variants AS (
-  SELECT (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS variant_id,
-         l_partkey * 1000000 + l_suppkey AS product_id, l_suppkey, l_linenumber * 50 AS grams,
-         min(l_extendedprice) AS price,
-         max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS available
-  FROM lineitem GROUP BY l_partkey, l_suppkey, l_linenumber
+  SELECT (l_partkey * 200000000 + l_suppkey) * 10 + l_linenumber AS variant_id,
+         l_partkey * 200000000 + l_suppkey AS product_id, l_suppkey, l_linenumber * 50 AS grams,
+         coalesce(min(price), any_value(p_retailprice) * l_linenumber) AS price,
+         coalesce(max(open), 1) AS available, max(kept) AS kept
+  FROM sizes JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, l_suppkey, l_linenumber
 ),
 details AS (
   SELECT product_id, CASE p_size % 3 WHEN 1 THEN true WHEN 0 THEN false END AS is_single_origin,
@@ -58,17 +64,16 @@ beans AS (SELECT * FROM ranked WHERE rank = 1),
 lines AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
          l_orderkey AS order_id, o_custkey AS user_id,
-         l_partkey * 1000000 + l_suppkey AS product_id,
-         (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber AS variant_id,
+         l_partkey * 200000000 + l_suppkey AS product_id,
+         (l_partkey * 200000000 + l_suppkey) * 10 + l_linenumber AS variant_id,
          CAST(o_orderdate AS DATE) AS order_date, CAST(l_quantity AS INTEGER) AS quantity,
-         l_extendedprice AS price_paid, o_orderpriority, o_orderstatus
+         l_extendedprice AS price_paid, o_orderpriority
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ),
 options AS (
   SELECT * FROM beans b
   WHERE coffee_type = 'Single Origin' AND NOT EXISTS (
-    SELECT 1 FROM lines l WHERE l.product_id = b.product_id AND l.variant_id = b.variant_id
-      AND l.o_orderstatus = 'F')
+    SELECT 1 FROM lines l WHERE l.product_id = b.product_id AND l.variant_id = b.variant_id)
 ),
 history AS (
   SELECT l.id, l.user_id, l.product_id, l.variant_id, l.order_date, l.price_paid AS price,
@@ -112,8 +117,9 @@ SELECT product_id, variant_id, parent_title, roaster_name, price, origin_country
        processing_method, product_url FROM options""")
 
 TWINS["candidate_options"] = _with("""
-SELECT product_id, variant_id, parent_title, roaster_name, price FROM options
-WHERE product_id NOT IN (SELECT product_id FROM lines WHERE o_orderstatus = 'F')""")
+SELECT product_id, variant_id, parent_title, roaster_name, price FROM beans
+WHERE coffee_type = 'Single Origin' AND product_id NOT IN (
+  SELECT product_id FROM lines JOIN customer ON user_id = c_custkey WHERE c_nationkey = 7)""")
 
 TWINS["recommendation_options"] = _with("""
 SELECT product_id, variant_id, parent_title, roaster_name, processing_method, origin_country,
@@ -155,9 +161,7 @@ marked AS (
   SELECT l.*, CASE WHEN v.variant_id IS NULL THEN 'Discontinued' WHEN v.available = 0
               THEN 'Out of Stock' ELSE 'Available' END AS product_status
   FROM lines l LEFT JOIN (
-    SELECT * FROM variants WHERE variant_id IN (
-      SELECT (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber FROM lineitem
-      WHERE l_returnflag <> 'R')) v USING (variant_id)
+    SELECT * FROM variants WHERE kept) v USING (variant_id)
 )"""
 TWINS["order_status"] = _with(
     "SELECT id, user_id, order_date, price_paid, product_status FROM marked", _STATUS
@@ -184,9 +188,9 @@ SELECT DISTINCT id FROM lines WHERE o_orderpriority = '1-URGENT'
 _REQUESTS = f"""
 requests AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS request_id,
-         CASE WHEN l_suppkey = 0 THEN -1 ELSE l_partkey * 1000000 + l_suppkey END AS product_id,
+         CASE WHEN l_suppkey = 0 THEN -1 ELSE l_partkey * 200000000 + l_suppkey END AS product_id,
          CASE WHEN l_returnflag = 'R' THEN -1
-              ELSE (l_partkey * 1000000 + l_suppkey) * 10 + l_linenumber END AS variant_id,
+              ELSE (l_partkey * 200000000 + l_suppkey) * 10 + l_linenumber END AS variant_id,
          CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS price_paid,
          CASE WHEN l_shipdate >= TIMESTAMP '2000-01-01' THEN CAST(l_shipdate AS DATE)
               ELSE DATE '{LOAD_TS:%Y-%m-%d}' END AS order_date
@@ -674,7 +678,7 @@ SELECT doc_id AS product_id, concat_ws(chr(10) || chr(10),
 FROM documents LEFT JOIN pages ON page_id = doc_id"""
 
 TWINS["product_by_url"] = """
-SELECT '/part/' || p_partkey AS url, min(l_partkey * 1000000 + l_suppkey) AS product_id
+SELECT '/part/' || p_partkey AS url, min(l_partkey * 200000000 + l_suppkey) AS product_id
 FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"""
 
 # ---------------------------------------------------------------- rejects, repeats, status

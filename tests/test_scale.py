@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from conftest import frame
 from pyspark.sql import functions as F
 
 from shelfwise.operators import catalog, orders, spend
+from shelfwise.operators.catalog import whole_beans
 from shelfwise.plans.queries import QUERIES
+from shelfwise.plans.store import RULES, SELLERS, Store, product_key
 from shelfwise.sources.schemas import TABLES
 
 
@@ -124,3 +128,63 @@ def test_no_plan_pairs_everything_or_leaves_the_cluster(spark, name):
     assert "SinglePartition" not in plan or name in {"constraint_report", "candidate_counts"}
     reads_pages = name in {"page_region_text", "pages_without_region", "assemble_documents"}
     assert ("EvalPython" in plan) == reads_pages
+
+
+@pytest.fixture()
+def wide_keys(spark, tmp_path):
+    """A data folder whose seller numbers lie around a million."""
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    write("region", [(0, "R")], "r_regionkey int, r_name string")
+    write("nation", [(7, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    sellers = [999_999, 1_000_000, 1_000_001, 2_000_000]
+    write("supplier", [(s, f"S{s}", 7, 0.0) for s in sellers], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    write("part", [(p, f"red bolt{p}", "Brand#1", "MEDIUM", 1, 10.0) for p in (1, 2)],
+          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    # Part 1 from seller 1,000,000 and part 2 from seller 0 would share a number with a factor of a million.
+    lines = [(n, p, s, 3, 1.0, 5.0, "N", "O") for n, (p, s) in enumerate((p, s) for p in (1, 2) for s in sellers)]
+    write("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+          "l_extendedprice double, l_returnflag string, l_linestatus string")
+    write("orders", [(n, 1, "O", datetime(2001, 1, 1)) for n in range(8)],
+          "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp")
+    return str(tmp_path)
+
+
+def test_listings_of_large_seller_numbers_keep_their_own_ids(spark, wide_keys):
+    store = Store(spark, wide_keys)
+    beans = store.beans().collect()
+    assert len({r.product_id for r in beans}) == len(beans) == 8
+    assert {r.roaster_name for r in beans} == {"S999999", "S1000000", "S1000001", "S2000000"}
+    assert store.products().select("id").distinct().count() == 8
+    # Size 3 was bought, size 4 never: every order counts, whatever its status.
+    assert {r.grams for r in beans} == {150} and store.options().count() == 0
+
+
+def test_seller_numbers_without_room_are_an_error(spark):
+    rows = spark.createDataFrame([(1, SELLERS)], "l_partkey long, l_suppkey long")
+    with pytest.raises(Exception, match="seller numbers reach"):
+        rows.select(product_key().alias("id")).collect()
+
+
+def test_the_catalog_is_one_pass_over_the_order_lines(spark):
+    """The plan without broadcasts: one scan of the lines, no table of them joined to itself."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        beans = Store(spark, "/root/testdata/sf0.001").beans()
+        plan = beans._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("lineitem.parquet") == 1
+    assert plan.count("Exchange hashpartitioning") <= 9
+    assert plan.count("SortMergeJoin") <= 4
+
+
+def test_one_pass_equals_the_joined_tables(spark):
+    store = Store(spark, "/root/testdata/sf0.001")
+    joined = whole_beans(store.variants(), store.products(), store.roasters(), store.details(), RULES)
+    own = store.beans()
+    columns = sorted(own.columns)
+    assert columns == sorted(joined.columns)
+    assert sorted(map(str, own.select(columns).collect())) == sorted(map(str, joined.select(columns).collect()))
