@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import title_case
+from shelfwise.session import cut_lineage, numbered
 from shelfwise.sources.schemas import IMAGE_LIST, OPTION_LIST
 
 EMPTY = ""
@@ -36,6 +37,56 @@ def newest_records(records: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def with_source_key(records: DataFrame) -> DataFrame:
+    """Add what a seller knows a product by: its id there, else its link, else all it says.
+
+    Products without a link, or with a link that others have too, are products of their own.
+    """
+    content = F.sha2(F.to_json(F.struct(*records.columns)), 256)
+    key = F.coalesce(
+        F.concat(F.lit("id:"), F.col("id").cast("string")), F.concat(F.lit("url:"), "url"),
+        F.concat(F.lit("row:"), content),
+    )
+    return records.withColumn("source_key", key)
+
+
+def one_per_key(records: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """The record updated last per key, and the others: ``record`` as JSON and how often, ``n``.
+
+    Equal records are counted before the shuffle, so a record that comes a million times is one row.
+    """
+    own = F.struct(*records.columns)
+    counted = records.groupBy(*key, "updated_at", own.alias("_row")).agg(F.count("*").alias("n"))
+    order = F.struct(F.col("updated_at").isNotNull(), "updated_at", F.to_json("_row"))
+    marked = counted.withColumn("_order", order)
+    newest = marked.groupBy(*key).agg(F.max("_order").alias("_newest"))
+    joined = cut_lineage(marked.join(newest, list(key)))
+    is_newest = F.col("_order") == F.col("_newest")
+    left = F.when(is_newest, F.col("n") - 1).otherwise(F.col("n"))
+    others = joined.withColumn("n", left).filter("n > 0")
+    return (
+        joined.filter(is_newest).select("_row.*"),
+        others.select("_row.*", F.to_json("_row").alias("record"), "n").select("source", "record", "n"),
+    )
+
+
+def kept_ids(rows: DataFrame, old: DataFrame, last_id: Column, *key: str) -> DataFrame:
+    """Rows with the ``id`` that ``old`` has for their key, or the next free number.
+
+    ``key`` identifies a row of either table. Numbers are given in the order of the keys, after
+    ``last_id`` and all ids of ``old``, so no two rows share one and a repeated load gives the same.
+    """
+    known = rows.join(old.select(*key, "id"), list(key), "left")
+    fresh = numbered(known.filter("id is null").select(*key).distinct(), *key)
+    used = old.agg(F.max("id")).scalar()
+    first = F.greatest(last_id, F.coalesce(used, F.lit(0)), F.lit(0)) + 1
+    return (
+        known.join(fresh, list(key), "left")
+        .withColumn("id", F.coalesce("id", first + F.col("number")))
+        .drop("number")
+    )
+
+
 def display_names(sources: DataFrame, registry: DataFrame) -> DataFrame:
     """Description of each source name: the configured one, else the name in title case."""
     known = registry.groupBy("name").agg(F.min("description").alias("_description"))
@@ -47,7 +98,7 @@ def display_names(sources: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def identified(records: DataFrame) -> DataFrame:
-    """Add the product's stable id: sellers may use the same source ids, not the same links."""
+    """Add a product id made of seller and link, for records that no earlier load has seen."""
     return records.withColumn("product_id", stable_id("roaster_id", "url"))
 
 
@@ -67,6 +118,7 @@ def product_rows(records: DataFrame, load_ts: datetime) -> DataFrame:
         when("published_at"), when("created_at"), when("updated_at"),
         text("vendor"), text("product_type"), joined_list(F.col("tags")).alias("tags"), "url",
         F.lit(load_ts).alias("last_updated"),
+        *(["source_key"] if "source_key" in records.columns else []),
     )
 
 
@@ -76,6 +128,7 @@ def option_rows(records: DataFrame) -> DataFrame:
     return records.select("product_id", options).select(
         stable_id("product_id", "at").alias("id"),
         "product_id",
+        (F.col("at") + 1).alias("position"),
         F.coalesce("option.name", F.lit(EMPTY)).alias("name"),
         joined_list(F.col("option.values")).alias("values"),
     )

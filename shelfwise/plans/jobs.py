@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ from shelfwise.sources.schemas import PRODUCT_RAW, TABLES, VARIANT_RAW
 
 CATALOG_TABLES = (
     "roasters", "products", "product_options", "product_images", "variants",
-    "product_extended_details",
+    "product_extended_details", "id_marks",
 )
+NUMBERED_TABLES = ("products", "product_options", "product_images", "variants")
 
 
 def conform(rows: DataFrame, table: str) -> DataFrame:
@@ -66,6 +68,12 @@ class Snapshot:
         )
 
 
+def _with_content(variants: DataFrame) -> DataFrame:
+    """Add a digest of what a variant says, by which it is known within its product."""
+    data = [c for c in variants.columns if c not in ("id", "product_id", "last_updated")]
+    return variants.withColumn("content", F.sha2(F.to_json(F.struct(*data)), 256))
+
+
 def load_catalog(
     spark: SparkSession,
     landing_folder: str,
@@ -76,10 +84,12 @@ def load_catalog(
 ) -> tuple[DataFrame, DataFrame]:
     """Load ``products`` and ``variants`` of the landing zone over the previous snapshot.
 
-    Products that come again replace themselves and their children; loading the same files twice
-    gives the same tables. Products are matched by seller and link, not by the id made of them;
-    variants that differ in any column all stay. Returns the report (records and bad records per
-    source) and the good records that were left out, with the reason.
+    Products are known by their seller and their id there, without an id by their link. Those that
+    come again keep their id and replace themselves and their children; loading the same files twice
+    gives the same tables. Ids are numbers given once, not hashes, so no two rows share one. Variants
+    that differ in any column all stay. Returns the report (records and bad records per source) and
+    the good records that were left out: ``source``, ``kind``, ``reason``, the ``record``, and how
+    many equal ones, ``n``.
     """
     old = Snapshot(tune(spark), previous)
     landed = {
@@ -97,32 +107,88 @@ def load_catalog(
         F.col("key").alias("source"), "roaster_id"
     )
     products = landing.good_records(landed["products"]).join(keys, "source")
-    records = cut_lineage(
-        ingest.identified(ingest.newest_records(products, "roaster_id", "url"))
-    )
     variants = landing.good_records(landed["variants"]).join(keys, "source")
-    fresh = ingest.product_rows(records, load_ts)
+    marks = old.table("id_marks")
 
-    def children(table: str, rows: DataFrame) -> DataFrame:
-        kept = sinks.without_children_of(old.table(table), fresh_ids, "product_id")
-        return kept.unionByName(conform(rows, table))
+    def with_ids(table: str, rows: DataFrame, before: DataFrame, *key: str) -> DataFrame:
+        last = marks.filter(F.col("name") == table).agg(F.max("last_id")).scalar()
+        return ingest.kept_ids(rows, before, F.coalesce(last, F.lit(0)), *key)
 
+    records, repeated = ingest.one_per_key(
+        ingest.with_source_key(products), "roaster_id", "source_key"
+    )
+    records = cut_lineage(
+        with_ids(
+            "products", records.withColumnRenamed("id", "own_id"), old.table("products"),
+            "roaster_id", "source_key",
+        )
+        .withColumnRenamed("id", "product_id")
+        .withColumnRenamed("own_id", "id")
+    )
+    fresh = ingest.product_rows(records, load_ts)
     fresh_ids = fresh.select(F.col("id").alias("product_id"))
-    packages = ingest.variant_rows(variants, fresh, load_ts).distinct()
-    rejects = ingest.load_rejects(landing.good_records(landed["products"]), keys, "products").unionByName(
-        ingest.load_rejects(landing.good_records(landed["variants"]), keys, "variants", fresh)
+
+    def children(table: str, rows: DataFrame, *key: str) -> DataFrame:
+        before = old.table(table)
+        made = with_ids(table, rows.drop("id"), before, *key)
+        kept = sinks.without_children_of(before, fresh_ids, "product_id")
+        return cut_lineage(kept.unionByName(conform(made, table)))
+
+    # Landing rows that are equal after coercion are one variant; the others are reported.
+    attached = ingest.variant_rows(variants, fresh, load_ts).drop("id")
+    counted = cut_lineage(attached.groupBy(*attached.columns).agg(F.count("*").alias("n")))
+    packages = _with_content(conform(counted, "variants"))
+    old_packages = _with_content(old.table("variants"))
+    made = with_ids("variants", packages.drop("id"), old_packages, "product_id", "content")
+    kept = sinks.without_children_of(old.table("variants"), fresh_ids, "product_id")
+    tables = {
+        "products": cut_lineage(
+            sinks.replace_by_key(
+                old.table("products"), conform(fresh, "products"), "roaster_id", "source_key"
+            )
+        ),
+        "product_options": children(
+            "product_options", ingest.option_rows(records), "product_id", "position"
+        ),
+        "product_images": children(
+            "product_images", ingest.image_rows(records), "product_id", "position"
+        ),
+        "variants": cut_lineage(kept.unionByName(conform(made, "variants"))),
+    }
+    used = [
+        rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).select(F.lit(name).alias("name"), "last_id")
+        for name, rows in tables.items()
+    ]
+    last_ids = reduce(DataFrame.unionByName, used, marks).groupBy("name").agg(
+        F.max("last_id").alias("last_id")
     )
     write_tables(
         target,
         roasters=sellers,
-        products=sinks.replace_by_key(
-            old.table("products"), conform(fresh, "products"), "roaster_id", "url"
-        ),
-        product_options=children("product_options", ingest.option_rows(records)),
-        product_images=children("product_images", ingest.image_rows(records)),
-        variants=children("variants", packages),
+        **tables,
         product_extended_details=old.table("product_extended_details"),
+        id_marks=last_ids,
     )
+
+    by_seller = keys.groupBy("roaster_id").agg(F.min("source").alias("source"))
+    equal = counted.filter("n > 1").join(
+        fresh.select(F.col("id").alias("product_id"), "roaster_id"), "product_id"
+    ).join(by_seller, "roaster_id")
+    left_out = [
+        ingest.load_rejects(landing.good_records(landed["products"]), keys, "products")
+        .withColumn("n", F.lit(1).cast("bigint")),
+        ingest.load_rejects(landing.good_records(landed["variants"]), keys, "variants", fresh)
+        .withColumn("n", F.lit(1).cast("bigint")),
+        repeated.select(
+            "source", F.lit("products").alias("kind"),
+            F.lit("older or equal record of the product").alias("reason"), "record", "n",
+        ),
+        equal.select(
+            "source", F.lit("variants").alias("kind"), F.lit("equals another variant").alias("reason"),
+            F.to_json(F.struct(*attached.columns)).alias("record"), (F.col("n") - 1).alias("n"),
+        ),
+    ]
+    rejects = reduce(DataFrame.unionByName, left_out)
     report = landing.load_report(landed["products"].select("source", landing.CORRUPT)).withColumn(
         "kind", F.lit("products")
     ).unionByName(
@@ -220,7 +286,9 @@ def _append(placed: DataFrame, orders_folder: str, as_of: datetime) -> None:
             "updated_at": F.lit(as_of),
         }
     )
-    sinks.append_orders(conform(rows, "order_history"), orders_folder)
+    sinks.append_orders(
+        conform(rows, "order_history"), orders_folder, ("created_at", "user_id", "request_id")
+    )
 
 
 def add_orders(

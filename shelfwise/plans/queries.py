@@ -503,7 +503,7 @@ def product_rows(s: Store) -> DataFrame:
 
 @query
 def flatten_options(s: Store) -> DataFrame:
-    return ingest.option_rows(_product_records(s)).drop("id")
+    return ingest.option_rows(_product_records(s)).drop("id", "position")
 
 
 @query
@@ -632,6 +632,32 @@ def load_rejects(s: Store) -> DataFrame:
     )
 
 
+def _repeated_products(s: Store) -> tuple[DataFrame, DataFrame]:
+    """Order lines as landing products: some without an id of their seller, some without a link."""
+    own_id = F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))
+    records = s.table("lineitem").select(
+        own_id.alias("id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("title"),
+        F.when(F.col("l_linestatus") != "O", model.product_url()).alias("url"),
+        F.col("l_shipdate").cast("date").cast("string").alias("updated_at"),
+        F.col("l_suppkey").alias("roaster_id"), F.col("l_suppkey").cast("string").alias("source"),
+    )
+    return ingest.one_per_key(ingest.with_source_key(records), "roaster_id", "source_key")
+
+
+@query
+def load_products(s: Store) -> DataFrame:
+    """The record that is loaded for each product."""
+    kept, _ = _repeated_products(s)
+    return kept.select("roaster_id", F.col("id").alias("own_id"), "url", "title", "updated_at")
+
+
+@query
+def load_lost(s: Store) -> DataFrame:
+    """Records that are not loaded, because another of their product is newer or equal."""
+    _, others = _repeated_products(s)
+    return others.select("source", F.get_json_object("record", "$.title").alias("title"), "n")
+
+
 @query
 def schema_union(s: Store) -> DataFrame:
     left = s.table("supplier").select(

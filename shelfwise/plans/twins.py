@@ -712,3 +712,28 @@ SELECT CAST(l_suppkey AS VARCHAR) AS source, 'variants' AS kind,
 FROM lineitem LEFT JOIN roasters r ON r.id = l_suppkey LEFT JOIN part ON p_partkey = l_partkey
 WHERE r.id IS NULL OR origin_region = 'AFRICA' OR p_partkey IS NULL OR p_brand = 'Brand#13'""")
 TWINS["re_enrich_unknown"] = _with("SELECT -1 - product_id AS product_id FROM products")
+
+_REPEATED = """
+records AS (
+  SELECT CASE WHEN l_returnflag <> 'R' THEN l_partkey END AS own_id,
+         l_orderkey || '-' || l_linenumber AS title,
+         CASE WHEN l_linestatus <> 'O' THEN 'https://' || l_suppkey || '/' || l_partkey END AS url,
+         strftime(l_shipdate, '%Y-%m-%d') AS updated_at, l_suppkey AS roaster_id,
+         coalesce('id:' || CASE WHEN l_returnflag <> 'R' THEN l_partkey END,
+                  'url:' || CASE WHEN l_linestatus <> 'O' THEN 'https://' || l_suppkey || '/' || l_partkey END,
+                  'row:' || l_orderkey || '-' || l_linenumber || strftime(l_shipdate, '%Y-%m-%d')) AS source_key
+  FROM lineitem
+),
+counted AS (SELECT *, count(*) AS n FROM records GROUP BY ALL),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY roaster_id, source_key
+           ORDER BY updated_at DESC, title DESC, url DESC NULLS LAST) AS place
+  FROM counted
+)"""
+TWINS["load_products"] = _with(
+    "SELECT roaster_id, own_id, url, title, updated_at FROM marked WHERE place = 1", _REPEATED
+)
+TWINS["load_lost"] = _with("""
+SELECT CAST(roaster_id AS VARCHAR) AS source, title,
+       CASE WHEN place = 1 THEN n - 1 ELSE n END AS n
+FROM marked WHERE place > 1 OR n > 1""", _REPEATED)

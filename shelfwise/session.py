@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Runtime settings only: they can be set on a session that already runs.
 RUNTIME_CONF = {
@@ -52,3 +53,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Add ``number``, the place of each row in the order, from 0 without a gap.
+
+    The rows are range-partitioned and sorted by many tasks and written once; a row's number is its
+    place in its partition and the sizes of those before, a row per partition.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33).alias("_part")  # the upper bits of the number
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
+    starts = sizes.select("_part", before.alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return (
+        placed.withColumn("_part", part)
+        .join(starts, "_part")
+        .withColumn("number", F.col("_before") + inside)
+        .drop("_part", "_at", "_before")
+    )

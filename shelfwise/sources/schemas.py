@@ -43,7 +43,8 @@ TABLES = {
     "products": """
         id BIGINT, roaster_id BIGINT, title STRING, handle STRING, body_html STRING,
         published_at TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP, vendor STRING,
-        product_type STRING, tags STRING, url STRING, parent_title STRING, last_updated TIMESTAMP
+        product_type STRING, tags STRING, url STRING, parent_title STRING, last_updated TIMESTAMP,
+        source_key STRING
     """,
     "product_options": """
         id BIGINT, product_id BIGINT, name STRING, position INT, values STRING,
@@ -72,8 +73,10 @@ TABLES = {
         product_url STRING, option1 STRING, option2 STRING, option3 STRING,
         is_single_origin BOOLEAN, origin_country STRING, origin_region STRING, roast_level STRING,
         processing_method STRING, varietals STRING, altitude STRING, farm STRING, producer STRING,
-        tasting_notes {NOTES}, created_at TIMESTAMP, updated_at TIMESTAMP
+        tasting_notes {NOTES}, created_at TIMESTAMP, updated_at TIMESTAMP, request_id STRING
     """,
+    # The last id each table has given out: ids of rows that are gone are not given again.
+    "id_marks": "name STRING, last_id BIGINT",
 }
 
 # Attributes of a product that are frozen into an order.

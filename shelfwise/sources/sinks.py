@@ -6,36 +6,67 @@ executors, or is run twice, never damages its own input.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_orders(orders: DataFrame, folder: str) -> None:
-    """Append order rows, one folder per month, so that spend queries read few of them.
+COMMITS = "_commits"
 
-    Rows whose id its month already holds are not written again, so a batch can be repeated. Rows
-    are rebalanced by month: few files for a small month, several tasks for a large one.
+
+def append_orders(orders: DataFrame, folder: str, key: tuple[str, ...] = ("id",)) -> bool:
+    """Append order rows as one batch: readers see all of them or none.
+
+    The rows go to a folder of their own, one subfolder per month, so that spend queries read few of
+    them. A commit row names that folder once all its files are there; ``read_orders`` reads only
+    committed folders, so a job that is lost between two months leaves nothing behind, and a batch
+    can be repeated: rows whose ``key`` is held already are not written again. Rows without a full
+    key are compared by what they have. Returns whether anything was written.
+
+    Rows are rebalanced by month: few files for a small month, several tasks for a large one.
     """
+    spark = orders.sparkSession
     dated = orders.withColumn("order_month", F.trunc("order_date", "month"))
+    held = read_orders(spark, folder)
+    if held is not None:
+        dated = not_held(dated, held, *key)
+    batch = f"batch={uuid.uuid4().hex}"
+    dated.hint("rebalance", "order_month").write.partitionBy("order_month").parquet(f"{folder}/{batch}")
+    written = spark.read.schema(dated.schema).parquet(f"{folder}/{batch}")
+    if written.isEmpty():
+        return False
+    commit = spark.createDataFrame([(batch,)], "batch string")
+    commit.coalesce(1).write.mode("append").parquet(f"{folder}/{COMMITS}")
+    return True
+
+
+def read_orders(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The orders of all committed batches with their ``order_month``; None if there is none yet."""
     try:
-        held = orders.sparkSession.read.parquet(folder)
+        commits = spark.read.schema("batch string").parquet(f"{folder}/{COMMITS}").collect()  # a row a batch
     except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    else:
-        months = F.col("order_month").cast("date").alias("order_month")
-        dated = not_held(dated, held.select("id", months))
-    dated.hint("rebalance", "order_month").write.mode("append").partitionBy(
-        "order_month"
-    ).parquet(folder)
-
-
-def not_held(dated: DataFrame, held: DataFrame) -> DataFrame:
-    """Rows whose id its month does not hold yet."""
-    return dated.join(held.select("id", "order_month"), ["id", "order_month"], "left_anti")
+        return None
+    if not commits:
+        return None
+    paths = [f"{folder}/{row['batch']}" for row in commits]
+    return spark.read.option("basePath", folder).option("mergeSchema", "true").parquet(*paths).drop("batch")
+
+
+def not_held(dated: DataFrame, held: DataFrame, *key: str) -> DataFrame:
+    """Rows whose key its month does not hold yet; null keys count as equal."""
+    key = key or ("id",)
+    own = held.select(
+        F.col("order_month").cast("date").alias("_month"), *[F.col(c).alias(f"_{c}") for c in key]
+    ).distinct()
+    same = F.col("order_month").eqNullSafe(F.col("_month"))
+    for column in key:
+        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+    return dated.join(own, same, "left_anti")
 
 
 def write_snapshot(table: DataFrame, folder: str) -> None:

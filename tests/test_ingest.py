@@ -131,11 +131,61 @@ def test_orders_are_appended_by_month(spark, golden, tmp_path):
     # A batch that comes again is not written twice; a new order of a known month is.
     sinks.append_orders(golden.orders.filter("id = 1"), folder)
     sinks.append_orders(golden.orders.filter("id = 1").withColumn("id", F.col("id") + 100), folder)
-    back = spark.read.parquet(folder)
+    back = sinks.read_orders(spark, folder)
     assert back.count() == 6
     assert back.filter("order_month = DATE '2025-01-01'").count() == 2
 
 
+def test_a_lost_batch_is_not_seen_and_can_be_repeated(spark, golden, tmp_path, monkeypatch):
+    folder = str(tmp_path / "orders")
+    assert sinks.read_orders(spark, folder) is None
+    first, rest = golden.orders.filter("id <= 2"), golden.orders.filter("id > 2")
+    assert sinks.append_orders(first, folder)
+
+    # The job dies after all files of one month and before the commit.
+    lost = rest.withColumn("order_month", F.trunc("order_date", "month")).filter("id = 3")
+    lost.write.partitionBy("order_month").parquet(f"{folder}/batch=lost")
+    assert sinks.read_orders(spark, folder).count() == 2
+    assert sinks.append_orders(rest, folder)
+    assert sorted(r.id for r in sinks.read_orders(spark, folder).collect()) == [1, 2, 3, 4, 5]
+    # And once more, with one order that is new.
+    more = golden.orders.filter("id = 1").withColumn("id", F.col("id") + 10)
+    assert not sinks.append_orders(rest, folder)
+    assert sinks.append_orders(rest.unionByName(more), folder)
+    assert sinks.read_orders(spark, folder).count() == 6
+
+
+def test_orders_are_held_by_their_real_key(spark, golden, tmp_path):
+    """Equal ids, as a hash may give, do not make two orders one; nulls in a key are values."""
+    folder, key = str(tmp_path / "orders"), ("created_at", "user_id", "request_id")
+    rows = golden.orders.filter("id <= 2").withColumns(
+        {"request_id": F.when(F.col("id") == 1, "a"), "created_at": F.lit(STAMP), "id": F.lit(7).cast("bigint")}
+    )
+    sinks.append_orders(rows.filter("request_id = 'a'"), folder, key)
+    sinks.append_orders(rows, folder, key)
+    sinks.append_orders(rows, folder, key)
+    assert sinks.read_orders(spark, folder).count() == 2
+
+
+def test_one_record_per_product_and_the_others_counted(spark):
+    rows = [("s", 1, 5, "old", "u1", "2024"), ("s", 1, 5, "new", "u2", "2025"), ("s", 1, 5, "new", "u2", "2025"),
+            ("s", 1, None, "a", None, None), ("s", 1, None, "b", None, None), ("s", 1, None, "b", None, None),
+            ("s", 1, None, "c", "u1", None), ("s", 2, 5, "x", "u1", None), ("s", 1, 6, "y", "u2", "2025")]
+    records = spark.createDataFrame(rows, "source string, roaster_id long, id long, title string, url string, updated_at string")
+    kept, others = ingest.one_per_key(ingest.with_source_key(records), "roaster_id", "source_key")
+    assert sorted(r.title for r in kept.collect()) == ["a", "b", "c", "new", "x", "y"]
+    assert sorted((json.loads(r.record)["title"], r.n) for r in others.collect()) == [("b", 1), ("new", 1), ("old", 1)]
+
+
+def test_ids_are_kept_and_never_given_twice(spark):
+    old = spark.createDataFrame([(3, "a"), (9, "b")], "id long, key string")
+    rows = spark.createDataFrame([("b",), ("d",), ("c",), ("a",)], "key string")
+    for last, first in ((0, 10), (20, 21)):
+        got = {r.key: r.id for r in ingest.kept_ids(rows, old, F.lit(last), "key").collect()}
+        assert got == {"a": 3, "b": 9, "c": first, "d": first + 1}
+    assert {r.id for r in ingest.kept_ids(rows, old.limit(0), F.lit(0), "key").collect()} == {1, 2, 3, 4}
+
+
 def test_snapshot_is_never_overwritten(spark, golden, tmp_path):
     folder = str(tmp_path / "details")
     sinks.write_snapshot(golden.details, folder)

@@ -6,9 +6,11 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfwise.operators import ingest
 from shelfwise.plans import jobs
-from shelfwise.sources import landing
+from shelfwise.sources import landing, sinks
 
 STAMP = datetime(2025, 1, 15)
 REGISTRY = {
@@ -79,6 +81,7 @@ def test_from_landing_to_a_placed_order(spark, zone):
     }
     assert {(r.kind, r.source, r.reason) for r in left_out.collect()} == {
         ("products", "three", "source not registered"), ("variants", "one", "no such product"),
+        ("variants", "one", "equals another variant"),
     }
     sellers = landing.read_table(spark, first, "roasters").collect()
     assert {r.name: r.description for r in sellers} == {"first_cup": "First Cup", "second_cup": "Second_Cup"}
@@ -118,7 +121,7 @@ def test_from_landing_to_a_placed_order(spark, zone):
     assert [(r.user_id, r.reason) for r in rejects.collect()] == [(2, "no such option")]
 
     jobs.place_orders(spark, enriched, requests, orders_folder, STAMP)
-    placed = spark.read.parquet(orders_folder)
+    placed = sinks.read_orders(spark, orders_folder)
     assert placed.count() == 1
     row = placed.first()
     assert (row.user_id, row.price_paid, row.quantity) == (1, 20.0, 1)
@@ -141,7 +144,7 @@ def test_from_landing_to_a_placed_order(spark, zone):
     )
     by_ids = spark.createDataFrame(
         [(3, 2, product_id, variant_id, 2, 200.0, datetime(2024, 11, 5), "gift"),
-         (4, 2, 1, variant_id, 1, 1.0, None, None)],
+         (4, 2, -1, variant_id, 1, 1.0, None, None)],
         "request_id BIGINT, user_id BIGINT, product_id BIGINT, variant_id BIGINT, quantity INT, "
         "price_paid DOUBLE, order_date TIMESTAMP, notes STRING",
     )
@@ -153,7 +156,45 @@ def test_from_landing_to_a_placed_order(spark, zone):
     )
     missing = jobs.add_orders_by_name(spark, enriched, by_name, orders_folder, STAMP)
     assert {r.request_id: r.state for r in missing.collect()} == {6: "ambiguous", 7: "none"}
-    back = spark.read.parquet(orders_folder)
+    back = sinks.read_orders(spark, orders_folder)
     rows = {r.product_title: r for r in back.collect()}
     assert set(rows) == {"Nyeri AA", "Guji", "Huila"} and rows["Guji"].notes == "gift"
     assert (rows["Huila"].price_paid, rows["Huila"].order_date) == (24.5, datetime(2024, 12, 24))
+
+
+def test_no_product_is_lost(spark, tmp_path, monkeypatch):
+    """Products without a link, with one link, and with ids that a hash could have made equal."""
+    monkeypatch.setattr(ingest, "stable_id", lambda *columns: F.lit(42).cast("bigint"))
+    registry = landing.registry_rows(spark, {"one": REGISTRY["one"]})
+    rows = [product(n, f"P{n}", "") for n in range(1, 5)] + [product(4, "P4", "") | {"updated_at": "2023-01-01T00:00:00Z"}]
+    rows[0]["url"] = rows[1]["url"] = None
+    rows[3]["url"] = rows[2]["url"]
+    rows.append({"title": "no id", "url": None})
+    parents = [variant(n, f"P{n}") for n in range(1, 5)]
+    for name, lines in (("products", rows), ("variants", parents)):
+        (tmp_path / f"landing/{name}/source=one").mkdir(parents=True)
+        (tmp_path / f"landing/{name}/source=one/part.json").write_text("\n".join(map(json.dumps, lines)))
+    first, second, third = (str(tmp_path / name) for name in ("s1", "s2", "s3"))
+    _, rejects = jobs.load_catalog(spark, str(tmp_path / "landing"), registry, None, first, STAMP)
+    assert [(r.kind, r.reason, r.n) for r in rejects.collect()] == [("products", "older or equal record of the product", 1)]
+    titles = {r.title: r.id for r in landing.read_table(spark, first, "products").collect()}
+    assert set(titles) == {"P1", "P2", "P3", "P4", "no id"} and len(set(titles.values())) == 5
+    packages = landing.read_table(spark, first, "variants").collect()
+    assert {(r.product_id, r.parent_title) for r in packages} == {(titles[f"P{n}"], f"P{n}") for n in range(1, 5)}
+    assert len({r.id for r in packages}) == 4
+
+    jobs.load_catalog(spark, str(tmp_path / "landing"), registry, first, second, STAMP)
+    for name in jobs.CATALOG_TABLES:
+        assert table(spark, first, name) == table(spark, second, name), name
+    # A product that comes with a new link keeps its id; its children are replaced, no others.
+    (tmp_path / "later/products/source=one").mkdir(parents=True)
+    (tmp_path / "later/variants/source=one").mkdir(parents=True)
+    moved = product(3, "P3", "") | {"url": "https://shop/new"}
+    (tmp_path / "later/products/source=one/part.json").write_text(json.dumps(moved))
+    (tmp_path / "later/variants/source=one/part.json").write_text(json.dumps(variant(3, "P3", price="30")))
+    jobs.load_catalog(spark, str(tmp_path / "later"), registry, second, third, STAMP)
+    after = {r.title: (r.id, r.url) for r in landing.read_table(spark, third, "products").collect()}
+    assert after["P3"] == (titles["P3"], "https://shop/new") and len(after) == 5
+    prices = {r.parent_title: (r.id, r.price) for r in landing.read_table(spark, third, "variants").collect()}
+    assert {t: p for t, (_, p) in prices.items()} == {"P1": 20.0, "P2": 20.0, "P3": 30.0, "P4": 20.0}
+    assert prices["P3"][0] > max(r.id for r in packages)
