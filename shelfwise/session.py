@@ -45,16 +45,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` over all shuffle partitions, before work that multiplies its rows.
-
-    Adaptive execution sizes partitions by their bytes; a few megabytes of names, cut into all
-    their substrings, would otherwise be the work of one task.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
-
-
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Add ``number``, the place of each row in the order, from 0 without a gap.
 

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 
 import pytest
 
-from shelfwise.operators import catalog, resolve
+from shelfwise.operators import catalog, fragments, resolve
 
 CASES = {
     "[2,2] Roaster One - Kilo AA": (2, "ids"),
@@ -89,12 +90,37 @@ def test_fragment_matching_against_brute_force(spark):
     assert counts == {f: sum(1 for g, _ in expected if g == f) for f in fragments}
 
 
-@pytest.mark.parametrize("widths", [(1,), (2, 4), (1, 2, 3, 4, 5)])
-def test_gram_widths_do_not_change_the_result(golden, spark, widths):
-    fragments = spark.createDataFrame([("kilo",), ("an",), ("s%d",)], "fragment STRING")
-    rows = resolve.resolve_names(fragments, golden.beans, widths=widths).collect()
+@pytest.mark.parametrize("group_rows", [1, 7, 10**6])
+def test_ranges_do_not_change_the_result(golden, spark, group_rows):
+    wanted = spark.createDataFrame([("kilo",), ("an",), ("s%d",), (None,)], "fragment STRING")
+    rows = resolve.resolve_names(wanted, golden.beans, group_rows=group_rows).collect()
     counts = {r.fragment: r.n_matches for r in rows}
-    assert counts == {"kilo": 2, "an": 4, "s%d": 3}
+    assert counts == {"kilo": 2, "an": 4, "s%d": 3, None: 0}
+
+
+@pytest.mark.parametrize("group_rows", [20, 10**6])
+def test_random_names_against_brute_force(spark, group_rows):
+    """Names of few letters, so that most hold a fragment several times and share their ends."""
+    draw = random.Random(group_rows)
+    names = sorted({"".join(draw.choices("ab é", k=draw.randrange(9))) + draw.choice(["", " bab"]) for _ in range(150)})
+    texts = sorted({"".join(draw.choices("abé _%", [4, 4, 1, 1, 0.3, 0.3], k=draw.randrange(1, 6))) for _ in range(80)} | {"", "zz"})
+    rows = spark.createDataFrame([(n, n, 1.0, name) for n, name in enumerate(names)], "product_id LONG, variant_id LONG, price DOUBLE, parent_title STRING")
+    wanted = spark.createDataFrame([(t,) for t in texts], "fragment STRING")
+    expected = {t: [n for n, name in enumerate(names) if like(t, name)] for t in texts}
+    for r in resolve.resolve_names(wanted, rows, group_rows=group_rows).collect():
+        assert r.n_matches == len(expected[r.fragment]), r.fragment
+        assert r.product_id == (expected[r.fragment][0] if r.n_matches == 1 else None)
+    pairs = sorted((r.fragment, r.product_id) for r in resolve.match_fragments(wanted, rows, group_rows=group_rows).collect())
+    assert pairs == sorted((t, n) for t, found in expected.items() for n in found)
+
+
+def test_suffixes_count_a_name_once():
+    for name in ("", "a", "aaaa", "abab", "banana", "été"):
+        for longest in (1, 2, 9):
+            rows = fragments.suffixes(name, longest)
+            for size in range(longest + 1):
+                for text in {name[at : at + size] for at in range(len(name) - size + 1)}:
+                    assert sum(s.startswith(text) and shared < len(text) for s, shared in rows) == 1
 
 
 def test_bulk_orders_report_what_was_not_found(golden, spark):
