@@ -1,12 +1,12 @@
 """Dictionary terms in texts, found without a join or a shuffle.
 
-A dictionary is a short fixed list ``[(kind, term, value, role)]``. It becomes literal arrays in the
-plan, so a text table of any size is matched in one narrow projection: the text is cut into word
-groups once and intersected with the terms by hashing.
+A dictionary is a short fixed list ``[(kind, term, value, role)]``. It becomes one pattern and one
+literal map in the plan, so a text table of any size is matched in one narrow projection.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,52 +20,69 @@ class Term(NamedTuple):
     role: str = ""
 
 
-def words(text) -> Column:
-    """Lower-case words; everything but letters and digits separates them."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.split(spaced, " ")
+def spaced_words(text) -> Column:
+    """Lower-case words with one space between; everything but letters and digits separates them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def word_groups(tokens, longest: int) -> Column:
-    """All runs of 1 to ``longest`` words, joined with a space, from an array column of words.
+def trie_pattern(terms: list[str]) -> str:
+    """One pattern for all terms, as a trie of their letters: the longest term at a place wins.
 
-    ``tokens`` should be a plain column: an expression would be computed once per use.
+    A branch is left at its first wrong letter, so the cost of a place does not grow with the number
+    of terms.
     """
-    runs = tokens
-    groups = tokens
-    for size in range(2, longest + 1):
-        # Each run is one word longer; runs that pass the end of the text become null.
-        runs = F.zip_with(
-            runs, F.slice(tokens, size, F.greatest(F.size(tokens), F.lit(1))),
-            lambda run, word: F.concat(run, F.lit(" "), word),
-        )
-        groups = F.concat(groups, runs)
-    return groups
+    trie: dict = {}
+    for term in terms:
+        node = trie
+        for letter in term:
+            node = node.setdefault(letter, {})
+        node[""] = {}
 
+    def pattern(node: dict) -> str:
+        branches = [re.escape(letter) + pattern(node[letter]) for letter in sorted(node) if letter]
+        if not branches:
+            return ""
+        joined = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return joined + "?" if "" in node else joined
 
-def longest_term(dictionary: list[Term]) -> int:
-    return max(len(entry.term.split()) for entry in dictionary)
+    return f"(?<![^ ]){pattern(trie)}(?![^ ])"
 
 
 def with_found_terms(
     texts: DataFrame, text: str, dictionary: list[Term], name: str = "_found"
 ) -> DataFrame:
-    """Add the distinct dictionary terms that occur in each text."""
-    terms = sorted({entry.term for entry in dictionary})
-    groups = word_groups(F.col("_words"), longest_term(dictionary))
-    return (
-        texts.withColumn("_words", words(F.col(text)))
-        .withColumn(name, F.array_intersect(groups, F.lit(terms)))
-        .drop("_words")
+    """Add the distinct dictionary entries that occur in each text, as (kind, role, value).
+
+    The text is read once, from left to right. Of the terms that start at a word the longest counts,
+    and the words it covers are not read again: "red cherry" does not also mean "red".
+    """
+    entries: dict[str, list[Term]] = {}
+    for entry in dictionary:
+        entries.setdefault(entry.term, []).append(entry)
+    known = F.create_map(
+        *[
+            part
+            for term in sorted(entries)
+            for part in (
+                F.lit(term),
+                F.array(*[
+                    F.struct(F.lit(e.kind).alias("kind"), F.lit(e.role).alias("role"), F.lit(e.value).alias("value"))
+                    for e in sorted(set(entries[term]))
+                ]),
+            )
+        ]
+    )
+    hits = F.array_distinct(
+        F.regexp_extract_all(spaced_words(F.col(text)), F.lit(trie_pattern(sorted(entries))), F.lit(0))
     )
+    return texts.withColumn(name, F.flatten(F.transform(hits, lambda term: known[term])))
+
+
+def found_values(found, kind: str, role: str | None = None) -> Column:
+    """Sorted distinct values of one kind (and role) among the entries ``found``."""
 
+    def wanted(entry: Column) -> Column:
+        own = entry["kind"] == kind
+        return own if role is None else own & (entry["role"] == role)
 
-def found_values(found, dictionary: list[Term], kind: str, role: str | None = None) -> Column:
-    """Sorted distinct values of one kind (and role) for the terms in ``found``."""
-    entries = [e for e in dictionary if e.kind == kind and (role is None or e.role == role)]
-    if not entries:
-        return F.array().cast("array<string>")
-    values = {entry.term: entry.value for entry in entries}
-    known = F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
-    hits = F.transform(F.array_intersect(found, F.lit(sorted(values))), lambda term: known[term])
-    return F.sort_array(F.array_distinct(hits))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(found, wanted), lambda e: e["value"])))

@@ -220,7 +220,7 @@ def extract_attributes(
     found = F.col("_found")
 
     def values(kind: str, role: str | None = None) -> Column:
-        return found_values(found, everything, kind, role)
+        return found_values(found, kind, role)
 
     process = F.array_join(
         F.concat(*[values("process", role) for role in ("primary", "secondary", "other")]), "; "
@@ -230,7 +230,7 @@ def extract_attributes(
         {
             "_countries": values("country"),
             "_regions": values("region"),
-            "_blend": F.array_contains(found, "blend"),
+            "_blend": F.size(values("blend")) > 0,
             "roast_level": _one(values("roast")),
             "processing_method": blank_to_null(process),
             "varietals": values("varietal"),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import text as t
 from shelfwise.functions.regions import region_text
+from shelfwise.functions.terms import Term, found_values, with_found_terms
 from shelfwise.operators import enrich
 
 
@@ -85,7 +88,7 @@ def test_attributes_of_a_text(spark):
     assert r[1].varietals == ["Ruiru 11", "SL28"] and r[1].altitude == "1700"
     assert (r[1].farm, r[1].producer, r[1].roast_level) == ("Gatomboya", None, "Light")
     assert r[1].tasting_notes.fruits == ["Lemon"]
-    assert r[1].tasting_notes.sweets == ["Chocolate", "Dark Chocolate"]
+    assert r[1].tasting_notes.sweets == ["Dark Chocolate"]
     assert r[1].tasting_notes.others == ["Black Tea"]
     assert r[1].resting_period_days == 14 and r[1].confidence_score == pytest.approx(0.8889)
     assert r[2].is_single_origin is False and r[3].is_single_origin is False
@@ -179,3 +182,33 @@ def test_display_helpers(spark):
     assert [tuple(r) for r in got] == [
         ("Single Origin", "a, b"), ("Blend", "None"), ("Unknown", "None"),
     ]
+
+
+def test_the_longest_term_at_a_place_wins(spark):
+    """Against a plain reading, word by word, of a dictionary of overlapping terms."""
+    terms = ["red", "red cherry", "cherry", "cherry jam", "jam", "black tea", "tea", "red cherry pie", "a", "ab", "c.d"]
+    dictionary = [Term("others", t, t.title()) for t in terms] + [Term("fruits", "red", "Red Fruit", "r")]
+    draw = random.Random(1)
+    words = ["red", "cherry", "jam", "black", "tea", "pie", "a", "ab", "abc", "Red,", "tea.", "\n"]
+    texts = ["", None, "red cherry", "Red Cherry jam", "red.cherry-pie", "tea red", "credit redcherry"]
+    texts += [" ".join(draw.choices(words, k=draw.randrange(1, 12))) for _ in range(300)]
+
+    def plain(text):
+        left, found = re.sub(r"[^a-z]+", " ", (text or "").lower()).split(), set()
+        while left:
+            size = max((n for n in range(1, 4) if " ".join(left[:n]) in terms), default=0)
+            if size:
+                found.add(" ".join(left[:size]).title())
+            left = left[max(size, 1):]
+        return found
+
+    rows = with_found_terms(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), "text", dictionary)
+    for r in rows.select("n", found_values(F.col("_found"), "others").alias("o"), found_values(F.col("_found"), "fruits", "r").alias("f")).collect():
+        assert set(r.o) == plain(texts[r.n]) and r.o == sorted(r.o), texts[r.n]
+        assert r.f == (["Red Fruit"] if "Red" in r.o else [])
+
+
+def test_a_long_text_is_read_once(spark):
+    text = "red cherry and nothing else " * 200_000
+    rows = with_found_terms(spark.createDataFrame([(text,)], "text string"), "text", [Term("others", "red cherry", "x"), Term("others", "red", "y")])
+    assert [e.value for e in rows.first()._found] == ["x"]
