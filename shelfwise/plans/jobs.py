@@ -87,7 +87,8 @@ def load_catalog(
     Products are known by their seller and their id there, without an id by their link. Those that
     come again keep their id and replace themselves and their children; loading the same files twice
     gives the same tables. Ids are numbers given once, not hashes, so no two rows share one. Variants
-    that differ in any column all stay. Returns the report (records and bad records per source) and
+    that differ in any column all stay. Returns the report (records, bad records, files and files
+    that could not be read whole, per source) and
     the good records that were left out: ``source``, ``kind``, ``reason``, the ``record``, and how
     many equal ones, ``n``.
     """
@@ -189,13 +190,14 @@ def load_catalog(
         ),
     ]
     rejects = reduce(DataFrame.unionByName, left_out)
-    report = landing.load_report(landed["products"].select("source", landing.CORRUPT)).withColumn(
-        "kind", F.lit("products")
-    ).unionByName(
-        landing.load_report(landed["variants"].select("source", landing.CORRUPT)).withColumn(
-            "kind", F.lit("variants")
-        )
-    )
+    reports = []
+    for kind, rows in landed.items():
+        counts = landing.load_report(rows.select("source", landing.CORRUPT))
+        files = landing.source_files(spark, f"{landing_folder}/{kind}")
+        # A source whose files are all unreadable has no record, but a row.
+        both = files.join(counts, "source", "left").fillna(0, ["n_rows", "n_bad"])
+        reports.append(both.withColumn("kind", F.lit(kind)))
+    report = reduce(DataFrame.unionByName, reports)
     return report, rejects
 
 

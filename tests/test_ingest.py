@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gzip
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -217,3 +219,32 @@ def test_registry_is_read_with_its_declared_type(spark, tmp_path):
     assert landing.read_registry(spark, str(path)).first().asDict() == {
         "key": "k", "name": "n", "description": "d", "url": "u",
     }
+
+
+def test_a_broken_file_does_not_stop_the_others(spark, tmp_path):
+    """One archive cut off in the middle, one of noise, one wrong encoding beside whole files."""
+    draw = random.Random(3)
+    rows = [json.dumps({"id": n, "title": "".join(draw.choices("abcdefgh", k=400))}) for n in range(2000)]
+    text = ("\n".join(rows) + "\n").encode()
+    files = {
+        "source=cut/a.json.gz": gzip.compress(text)[:-100_000], "source=cut/b.json": text,
+        "source=noise/a.json.gz": bytes(draw.randrange(256) for _ in range(500)),
+        "source=good/a.json.gz": gzip.compress(text), "source=good/b.json": text.rstrip(),
+        "source=good/c.json": text.replace(b"\n", b"\r\n"), "source=good/d.json": b"",
+        "source=latin/a.json": '{"id": 1, "title": "Café"}\n'.encode("latin-1") + rows[0].encode(),
+    }
+    for name, content in files.items():
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(content)
+    report = {(r.source, r.file): (r.state, r.n_rows) for r in landing.file_report(spark, str(tmp_path)).collect()}
+    cut = report.pop(("cut", "a.json.gz"))
+    assert cut[0] in ("cut off", "unreadable") and cut[1] < 2000
+    assert report.pop(("noise", "a.json.gz"))[0] == "unreadable"
+    assert set(s for s, _ in report.values()) == {"read"}
+    assert report["good", "a.json.gz"][1] == report["good", "c.json"][1] == report["cut", "b.json"][1] == 2000
+    files = {r.source: (r.n_files, r.n_broken) for r in landing.source_files(spark, str(tmp_path)).collect()}
+    assert files == {"cut": (2, 1), "noise": (1, 1), "good": (3, 0), "latin": (1, 0)}
+    landed = landing.read_landing(spark, str(tmp_path), "id BIGINT, title STRING")
+    counts = {r.source: r.n_rows for r in landing.load_report(landed).collect()}
+    assert counts["good"] >= 6000 and counts["cut"] == 2000 + cut[1] and counts["latin"] == 2
