@@ -15,7 +15,7 @@ kind, role and text; an event that repeats exactly counts once, as logs deliver
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
@@ -51,10 +51,10 @@ def messages(events: DataFrame) -> DataFrame:
         "seq", F.coalesce("kind", F.lit("message")).alias("kind"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )))
-    text = F.aggregate(
-        F.col("log"), F.lit(""),
-        lambda whole, e: F.when(e["kind"] == "delta", F.concat(whole, e["text"])).otherwise(e["text"]),
-    )
+    # The deltas after the last event that starts the text anew, joined once.
+    restarts = F.transform("log", lambda e, at: F.when(e["kind"] != "delta", at + 1))
+    last = F.coalesce(F.array_max(restarts), F.lit(1))
+    text = F.array_join(F.transform(F.slice("log", last, F.size("log")), lambda e: e["text"]), "")
     role = F.aggregate(
         F.col("log"), F.lit(""), lambda name, e: F.when(e["role"] != "", e["role"]).otherwise(name)
     )
@@ -65,32 +65,29 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def rendered(turns: DataFrame, learnt: str = "assistant") -> DataFrame:
-    """``conv_id``, ``formatted`` and ``loss_mask``: the [start, end) characters of the learnt role's texts."""
-    turn = F.struct(
-        "seq", escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), "message"
+    """``conv_id``, ``formatted`` and ``loss_mask``: the [start, end) characters of the learnt role's texts.
+
+    Places are running sums over the rows of a conversation, before they become one value.
+    """
+    order = ("seq", "role", "text", "message")
+    rows = turns.select(
+        "conv_id", "seq", escaped(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), "message"
     )
-    parts = F.transform(
-        F.array_sort(F.collect_list(turn)),
-        lambda t: F.struct(
-            F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE)).alias("head"), t["text"].alias("text"),
-            (t["role"] == learnt).alias("learnt"),
-        ),
+    size = F.length("role") + F.length("text") + len(OPEN) + len(MIDDLE) + len(CLOSE)
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)))
+    start = F.col("at") + len(OPEN) + F.length("role") + len(MIDDLE)
+    turn = F.struct(
+        "at", F.concat(F.lit(OPEN), "role", F.lit(MIDDLE), "text", F.lit(CLOSE)).alias("turn"),
+        start.alias("start"), (start + F.length("text")).alias("end"), (F.col("role") == learnt).alias("learnt"),
     )
-    place = F.aggregate(
-        F.col("parts"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("mask")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["head"]) + F.length(p["text"]) + len(CLOSE)).alias("at"),
-            F.when(p["learnt"], F.concat(s["mask"], F.array(F.struct(
-                (s["at"] + F.length(p["head"])).alias("start"),
-                (s["at"] + F.length(p["head"]) + F.length(p["text"])).alias("end"),
-            )))).otherwise(s["mask"]).alias("mask"),
-        ),
+    whole = F.array_join(F.transform("parts", lambda p: p["turn"]), "")
+    mask = F.transform(
+        F.filter("parts", lambda p: p["learnt"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))
     )
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], F.lit(CLOSE))), "")
     return (
-        turns.groupBy("conv_id").agg(parts.alias("parts"))
-        .select("conv_id", whole.alias("formatted"), place["mask"].alias("loss_mask"))
+        placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("parts"))
+        .select("conv_id", whole.alias("formatted"), mask.alias("loss_mask"))
     )
 
 
@@ -109,18 +106,51 @@ def parsed(formatted: Column) -> Column:
 
 
 def learnt_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped."""
+    """All text under a loss mask, unescaped. Each range is counted from the start of the text, so
+    ``digests`` reads the turns instead."""
     return F.array_join(
         F.transform(mask, lambda m: unescaped(F.substring(formatted, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))), ""
     )
 
 
-def digests(chats: DataFrame) -> DataFrame:
-    """Counts and digests of rendered conversations, read back from the rendering."""
+def mask_sum(mask: Column) -> Column:
+    """A checksum of the ranges of a mask, in their order."""
+    return F.aggregate(mask, F.lit(0).cast("long"), lambda s, m: _mixed(s, m["start"], m["end"]))
+
+
+def _mixed(total: Column, start: Column, end: Column) -> Column:
+    prime = (1 << 31) - 1
+    return F.pmod(F.pmod(total * 1000003 + F.pmod(start, F.lit(prime)), F.lit(prime)) * 1000003 + F.pmod(end, F.lit(prime)), F.lit(prime))
+
+
+def read_mask_sum(formatted: Column, learnt: str = "assistant") -> Column:
+    """The checksum of the ranges where the learnt role's texts stand in a rendering."""
+    pieces = F.filter(F.split(formatted, CLOSE, -1), lambda t: t != "")
+
+    def step(state: Column, piece: Column) -> Column:
+        head = F.instr(piece, MIDDLE) - 1 + len(MIDDLE)
+        start, end = state["at"] + head, state["at"] + F.length(piece)
+        own = F.substring(piece, F.lit(len(OPEN) + 1), head - len(OPEN) - len(MIDDLE)) == learnt
+        return F.struct(
+            (end + len(CLOSE)).alias("at"),
+            F.when(own, _mixed(state["sum"], start, end)).otherwise(state["sum"]).alias("sum"),
+        )
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("sum"))
+    return F.aggregate(pieces, zero, step)["sum"]
+
+
+def digests(chats: DataFrame, learnt: str = "assistant") -> DataFrame:
+    """Counts and digests of rendered conversations, read back from the rendering.
+
+    The text under the loss mask is that of the parsed turns whose ranges the mask has; a mask with
+    other ranges is an error.
+    """
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return chats.withColumn("turns", parsed(F.col("formatted"))).withColumn(
-        "learnt", learnt_text(F.col("formatted"), F.col("loss_mask"))
-    ).select(
+    own = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learnt), lambda t: t["text"]), "")
+    same = read_mask_sum(F.col("formatted"), learnt) == mask_sum(F.col("loss_mask"))
+    checked = F.when(same, own).otherwise(F.raise_error(F.lit("the loss mask is not of this rendering")))
+    return chats.withColumn("turns", parsed(F.col("formatted"))).withColumn("learnt", checked).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
