@@ -338,14 +338,17 @@ def place_orders(
 ) -> DataFrame:
     """Append an order for each order string (request_id, user_id, text); returns the rejects.
 
-    The folder holds the orders so far; an option already ordered by its buyer is still accepted,
-    as the buyer asked for it by name.
+    The folder holds the orders so far; an option that its buyer has already is rejected. Orders of
+    the same ``as_of`` do not count for that, so a batch can be repeated.
     """
     now = Snapshot(tune(spark), current)
     options = now.beans(rules).filter(F.col("coffee_type") == "Single Origin")
+    held = sinks.read_orders(spark, orders_folder)
+    if held is not None:
+        held = held.filter(F.col("created_at") != F.lit(as_of))
     placed, rejects = orders.place_order_strings(
         requests, options, now.table("products"), now.table("variants"), now.table("roasters"),
-        now.table("product_extended_details"), as_of,
+        now.table("product_extended_details"), as_of, held,
     )
     _append(placed, orders_folder, as_of)
     return rejects

@@ -129,3 +129,22 @@ def test_report_lines(golden, spark):
     assert report[1].split("\n") == [
         "2025-01-03: Roaster One - Kilo AA ($20.00)", "2024-12-10: Roaster One - Kilo AA ($30.00)",
     ]
+
+
+def test_order_strings_of_what_a_buyer_has(golden, spark):
+    """Requests that share an id keep their own text; what is held already, or gone, is rejected."""
+    requests = spark.createDataFrame(
+        [(1, 1, "[2,2] Kilo AA"), (1, 1, "[20,20] Rwanda & Friends"), (1, 2, "[2,2] Kilo AA"), (3, 3, "nothing")],
+        "request_id INT, user_id BIGINT, text STRING",
+    )
+    options = golden.beans.filter("coffee_type = 'Single Origin'")
+    held = spark.createDataFrame([(1, 2, 2)] * 3, "user_id BIGINT, product_id BIGINT, variant_id BIGINT")
+    rest = golden.products.filter("id <> 20")
+    placed, rejects = orders.place_order_strings(
+        requests, options, rest, golden.variants, golden.roasters, golden.details, datetime(2025, 1, 1), held
+    )
+    assert [(r.user_id, r.variant_id) for r in placed.collect()] == [(2, 2)]
+    assert sorted((r.user_id, r.text, r.reason) for r in rejects.collect()) == [
+        (1, "[2,2] Kilo AA", "already ordered"), (1, "[20,20] Rwanda & Friends", "product not found"),
+        (3, "nothing", "no such option"),
+    ]
