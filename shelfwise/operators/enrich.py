@@ -201,6 +201,29 @@ def _one(values: Column) -> Column:
     return F.when(F.size(values) > 0, values[0])
 
 
+def implied_places(dictionary: list[Term]) -> list[Term]:
+    """What the places of a dictionary lie in: regions of areas, countries of regions and areas.
+
+    The role of an ``area`` is its region, that of a ``region`` its country. A name that stands for
+    places in two regions, or in two countries, leaves that level open: the text must name it.
+    """
+    countries: dict[str, set[str]] = {}
+    for entry in dictionary:
+        if entry.kind == "region":
+            countries.setdefault(entry.value, set()).add(entry.role)
+    inside: dict[str, tuple[set[str], set[str]]] = {}
+    for entry in dictionary:
+        if entry.kind in ("area", "region"):
+            regions, lands = inside.setdefault(entry.term, (set(), set()))
+            region = entry.role if entry.kind == "area" else entry.value
+            regions.add(region)
+            # A region's own entry says where it lies, though others share its name.
+            lands |= {entry.role} if entry.kind == "region" else countries.get(region, set())
+    implied = [Term("region", term, *r) for term, (r, _) in inside.items() if len(r) == 1]
+    implied += [Term("country", term, *c) for term, (_, c) in inside.items() if len(c) == 1]
+    return implied
+
+
 def extract_attributes(
     texts: DataFrame,
     dictionary: list[Term] = DICTIONARY,
@@ -209,14 +232,13 @@ def extract_attributes(
 ) -> DataFrame:
     """Attributes of each text by dictionary and rules; one narrow pass, no shuffle.
 
-    Adds the columns of the attribute payload. A region implies its country. The text is a blend if
-    it says so or names several countries or regions, and of single origin if it names one region, a
-    farm or a producer; a country alone leaves that open.
+    Adds the columns of the attribute payload. A place implies what it lies in (``implied_places``).
+    The text is a blend if it says so or names several countries or regions, and of single origin if
+    it names one region, an area, a farm or a producer; a country alone leaves that open.
     """
     body = F.col(text)
     seller = F.col(roaster_name) if roaster_name else None
-    implied = [Term("country", e.term, e.role) for e in dictionary if e.kind == "region"]
-    everything = [*dictionary, *implied, Term("blend", "blend", "blend")]
+    everything = [*dictionary, *implied_places(dictionary), Term("blend", "blend", "blend")]
     found = F.col("_found")
 
     def values(kind: str, role: str | None = None) -> Column:
@@ -230,6 +252,7 @@ def extract_attributes(
         {
             "_countries": values("country"),
             "_regions": values("region"),
+            "_areas": values("area"),
             "_blend": F.size(values("blend")) > 0,
             "roast_level": _one(values("roast")),
             "processing_method": blank_to_null(process),
@@ -243,6 +266,7 @@ def extract_attributes(
     several = F.col("_blend") | (F.size("_countries") > 1) | (F.size("_regions") > 1)
     one = (
         (F.size("_regions") == 1)
+        | (F.size("_areas") == 1)
         | F.col("farm").isNotNull()
         | F.col("producer").isNotNull()
     )
@@ -260,7 +284,7 @@ def extract_attributes(
         }
     )
     return with_rules.withColumn("confidence_score", confidence()).drop(
-        "_found", "_countries", "_regions", "_blend"
+        "_found", "_countries", "_regions", "_areas", "_blend"
     )
 
 

@@ -805,6 +805,20 @@ def _attributes(s: Store) -> DataFrame:
     )
 
 
+@query
+def place_attributes(s: Store) -> DataFrame:
+    """Where each listing comes from, by a dictionary of areas, regions and countries; parts of even
+    sizes name the seller's country too."""
+    nation = F.lower(F.replace("origin_country", F.lit("_"), F.lit(" ")))
+    text = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, nation))
+    listings = s.listings().join(s.roasters(), F.col("l_suppkey") == F.col("id"))
+    rows = listings.select(model.product_key().alias("product_id"), text.alias("text"))
+    return enrich.extract_attributes(rows, model.PLACES).select(
+        "product_id", "is_single_origin", F.col("origin.country").alias("origin_country"),
+        F.col("origin.region").alias("origin_region"),
+    )
+
+
 @query
 def extract_attributes(s: Store) -> DataFrame:
     return _attributes(s).select(

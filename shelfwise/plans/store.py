@@ -47,6 +47,16 @@ DICTIONARY = [
 ]
 
 
+# Words of titles as places: regions, areas in them, and names that lie in two regions or countries.
+PLACES = [
+    Term("region", "gear", "Gearland", "NATION_1"), Term("region", "red", "Red Valley", "NATION_1"),
+    Term("region", "blue", "Blue Coast", "NATION_4"),
+    Term("region", "gizmo", "Gizmo Hills", "NATION_2"), Term("region", "gizmo", "Gizmo Hills", "NATION_3"),
+    Term("area", "anvil", "Anvil Farm", "Gearland"), Term("area", "ring", "Ring Estate", "Gizmo Hills"),
+    Term("area", "bolt", "Bolt Ridge", "Red Valley"), Term("area", "bolt", "Bolt Ridge", "Blue Coast"),
+    *[Term("country", f"nation {n}", f"NATION_{n}") for n in range(25)],
+]
+
 # Room for seller numbers in a product's number. Nothing shares a number: a larger seller number is
 # an error, and so is a product too large for 64 bits (parts above 4.6 billion).
 SELLERS = 200_000_000

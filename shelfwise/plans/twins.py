@@ -737,3 +737,28 @@ TWINS["load_lost"] = _with("""
 SELECT CAST(roaster_id AS VARCHAR) AS source, title,
        CASE WHEN place = 1 THEN n - 1 ELSE n END AS n
 FROM marked WHERE place > 1 OR n > 1""", _REPEATED)
+
+TWINS["place_attributes"] = _with("""
+SELECT product_id,
+       CASE WHEN len(countries) > 1 OR len(regions) > 1 THEN false
+            WHEN len(regions) = 1 OR n_areas = 1 THEN true END AS is_single_origin,
+       countries[1] AS origin_country, regions[1] AS origin_region
+FROM (
+  SELECT product_id, count(DISTINCT area) AS n_areas,
+         list_sort(coalesce(list(DISTINCT region) FILTER (region IS NOT NULL), [])) AS regions,
+         list_sort(coalesce(list(DISTINCT country) FILTER (country IS NOT NULL), [])) AS countries
+  FROM (
+    SELECT product_id, area, region, country
+    FROM listings JOIN part ON l_partkey = p_partkey
+    JOIN places ON word IN (split_part(p_name, ' ', 1), split_part(p_name, ' ', 2))
+    UNION ALL
+    SELECT product_id, NULL, NULL, CASE WHEN p_size % 2 = 0 THEN origin_country END
+    FROM listings JOIN part ON l_partkey = p_partkey JOIN roasters r ON r.id = l_suppkey
+  ) GROUP BY product_id
+)""", """
+places(word, area, region, country) AS (VALUES
+  ('gear', NULL, 'Gearland', 'NATION_1'), ('red', NULL, 'Red Valley', 'NATION_1'),
+  ('blue', NULL, 'Blue Coast', 'NATION_4'), ('gizmo', NULL, 'Gizmo Hills', NULL),
+  ('anvil', 'Anvil Farm', 'Gearland', 'NATION_1'), ('ring', 'Ring Estate', 'Gizmo Hills', NULL),
+  ('bolt', 'Bolt Ridge', NULL, NULL)
+)""")

@@ -212,3 +212,26 @@ def test_a_long_text_is_read_once(spark):
     text = "red cherry and nothing else " * 200_000
     rows = with_found_terms(spark.createDataFrame([(text,)], "text string"), "text", [Term("others", "red cherry", "x"), Term("others", "red", "y")])
     assert [e.value for e in rows.first()._found] == ["x"]
+
+
+def test_places_imply_what_they_lie_in(spark):
+    places = [
+        Term("country", "kenya", "Kenya"), Term("country", "peru", "Peru"), Term("country", "chile", "Chile"),
+        Term("region", "nyeri", "Nyeri", "Kenya"), Term("region", "kirinyaga", "Kirinyaga", "Kenya"),
+        Term("area", "gichatha", "Gichatha", "Nyeri"), Term("area", "river hill", "River Hill", "Nyeri"),
+        Term("area", "river hill", "River Hill", "Kirinyaga"),
+        # One name in two countries.
+        Term("region", "santa ana", "Santa Ana", "Peru"), Term("region", "santa ana", "Santa Ana", "Chile"),
+        Term("area", "el sol", "El Sol", "Santa Ana"),
+    ]
+    expected = {
+        "gichatha washed": (True, "Kenya", "Nyeri"), "nyeri": (True, "Kenya", "Nyeri"),
+        "river hill": (True, "Kenya", None), "santa ana": (True, None, "Santa Ana"),
+        "santa ana in chile": (True, "Chile", "Santa Ana"), "el sol": (True, None, "Santa Ana"),
+        "kenya": (None, "Kenya", None), "gichatha and kirinyaga": (False, "Kenya", "Kirinyaga"),
+        "gichatha, peru": (False, "Kenya", "Nyeri"), "no place": (None, None, None),
+        "gichatha blend": (False, "Kenya", "Nyeri"),
+    }
+    rows = spark.createDataFrame([(t,) for t in expected], "text string")
+    found = enrich.extract_attributes(rows, places).collect()
+    assert {r.text: (r.is_single_origin, r.origin.country, r.origin.region) for r in found} == expected
