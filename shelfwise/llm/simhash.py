@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, joined by a vantage-point partition.
+"""SimHash near-duplicates, joined by vantage-point trees.
 
 Null and empty texts have the fingerprint zero and are linked like any other. Rows that repeat, or
 share a ``doc_id``, count as rows. A null ``doc_id`` gets a fingerprint and the smallest non-null id
@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import prepare, staged
 from shelfwise.llm.components import connected_components
-from shelfwise.llm.leaves import in_blocks, levels_for, route
+from shelfwise.llm.leaves import in_blocks
 
 SEED = 42
-LEAF_ROWS = 4096
+LEAF_ROWS = 512  # prints compared with each other
+SHARDS, LEAST_SHARD, MOST_SHARD = 4096, 1 << 14, 1 << 20  # about so many shards, of so many prints
+SAMPLE_A_SHARD, MOST_SAMPLE = 64, 1 << 22  # prints of the sample the first tree is made of
+TRIES = 6  # vantage points tried for a node
+SPLITS = 0.9  # a node must save a tenth of the comparisons
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -62,43 +66,103 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
-def linked_prints(prints: DataFrame, bits: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def vantage(fps: np.ndarray, bits: int) -> tuple[np.uint64, int, float]:
+    """A vantage point among the prints, the radius that parts them best, and the share of all pairs
+    that is left to compare then. Prints on either side within ``bits`` of the radius are on both."""
+    best = (np.uint64(0), 0, np.inf)
+    for place in np.linspace(0, len(fps) - 1, TRIES).astype(np.int64).tolist():
+        away = np.bincount(np.bitwise_count(fps ^ fps[place]), minlength=65 + bits)
+        within = np.cumsum(away).astype(float)
+        inner, outer = within[bits : 64 + bits], len(fps) - within[:64]
+        work = inner**2 + outer**2
+        radius = int(work.argmin())
+        if work[radius] < best[2]:
+            best = (fps[place], radius, float(work[radius]))
+    return best[0], best[1], best[2] / len(fps) ** 2
+
+
+class VantageTree:
+    """Vantage points and radii by node; a leaf's number is a shard.
+
+    By the triangle bound two prints within ``bits`` are both within a node's radius, or both beyond
+    it, or the outer one is at most ``bits`` beyond; such a print goes down both branches, so every
+    two close prints meet in a shard.
+    """
+
+    def __init__(self, sample: np.ndarray, rows: int, shard_rows: int, bits: int) -> None:
+        points, radii, children = [], [], []
+        waiting = [(np.sort(sample), -1, 0)]
+        while waiting:
+            own, parent, side = waiting.pop()
+            number = len(points)
+            if parent >= 0:
+                children[parent][side] = number
+            points.append(np.uint64(0))
+            radii.append(0)
+            children.append([-1, -1])
+            if len(own) < 8 or len(own) * rows <= shard_rows * len(sample):
+                continue
+            point, radius, left = vantage(own, bits)
+            if left > SPLITS:
+                continue
+            points[number], radii[number] = point, radius
+            away = np.bitwise_count(own ^ point)
+            waiting += [(own[away <= radius + bits], number, 0), (own[away > radius], number, 1)]
+        self.bits = bits
+        self.points, self.radii = np.array(points, np.uint64), np.array(radii, np.int64)
+        self.children = np.array(children, np.int64)
+
+    def shards(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prints, by place, and the shards they go to; all go down a level at once."""
+        row, node = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+        rows, shards = [], []
+        while len(row):
+            leaf = self.children[node, 0] < 0
+            rows.append(row[leaf])
+            shards.append(node[leaf])
+            row, node = row[~leaf], node[~leaf]
+            away = np.bitwise_count(fps[row] ^ self.points[node]).astype(np.int64)
+            inner, outer = away <= self.radii[node] + self.bits, away > self.radii[node]
+            row, node = (
+                np.concatenate([row[inner], row[outer]]),
+                np.concatenate([self.children[node[inner], 0], self.children[node[outer], 1]]),
+            )
+        return np.concatenate(rows), np.concatenate(shards)
+
+
+def linked_prints(
+    prints: DataFrame, bits: int = 2, leaf_rows: int = LEAF_ROWS, shard_rows: int | None = None
+) -> DataFrame:
     """Links ``(a, b)`` that join every two prints at ``bits`` or fewer differing bits.
 
-    ``prints`` has a distinct ``fp`` and an ``id`` per row. Each level of the partition has one
-    vantage point, a print of the table, and the median distance to it as its radius. By the
-    triangle bound two prints within ``bits`` are on the same side, or the outer one is at most
-    ``bits`` beyond the radius; those are copied inside. A leaf yields a tree per set of prints
-    that its links connect, not all pairs.
+    ``prints`` has a distinct ``fp`` and an ``id`` per row. A vantage-point tree of a sample, so many
+    prints a shard, parts them into shards, and each shard's task parts its own with a tree of its
+    own, down to leaves of ``leaf_rows`` that are compared. A leaf yields a tree per set of prints
+    that its links connect, not all pairs. A shard far larger than meant is cut into block pairs.
     """
     rows = prints.count()
-    points, radii = [], []
-    if levels := levels_for(rows, leaf_rows):
-        order = prints.orderBy(F.xxhash64(F.lit("vantage"), "fp"), "fp").limit(levels)
-        points = [row["fp"] for row in order.collect()]
-        distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p).cast("long"))) for p in points]
-        radii = list(prints.agg(*[F.percentile_approx(d, 0.5) for d in distances]).first())
+    shard_rows = shard_rows or min(max(rows // SHARDS, LEAST_SHARD), MOST_SHARD)
+    wanted = min(-(-rows // shard_rows) * SAMPLE_A_SHARD, MOST_SAMPLE)
+    sample = prints.select("fp").orderBy(F.xxhash64(F.lit("vantage"), "fp"), "fp").limit(wanted).toPandas()
+    tree = VantageTree(sample["fp"].to_numpy(np.int64).view(np.uint64), rows, shard_rows, bits)
+    shared = prints.sparkSession.sparkContext.broadcast(tree)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vantage = np.array(points, np.int64).view(np.uint64)
         for batch in batches:
             ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            away = [np.bitwise_count(fps.view(np.uint64) ^ v).astype(np.int64) for v in vantage]
-            outer = [d > r for d, r in zip(away, radii, strict=True)]
-            near = [(d > r) & (d <= r + bits) for d, r in zip(away, radii, strict=True)]
-            row, leaf = route(outer, near, len(ids))
+            row, shard = shared.value.shards(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf), pa.array(ids[row]), pa.array(fps[row])], names=["leaf", "id", "fp"]
+                [pa.array(shard), pa.array(ids[row]), pa.array(fps[row])], names=["leaf", "id", "fp"]
             )
 
     def link(pdf):
         order = np.argsort(pdf["id"].to_numpy(), kind="stable")
         ids, fps = pdf["id"].to_numpy()[order], pdf["fp"].to_numpy()[order].view(np.uint64)
-        a, b = tree_links(fps, bits)
+        a, b = shard_links(fps, bits, leaf_rows)
         return type(pdf)({"a": ids[a], "b": ids[b]})
 
     routed = prints.select("id", "fp").mapInArrow(leaves, "leaf long, id long, fp long")
-    blocks = in_blocks(routed, ["leaf"], "id", 4 * leaf_rows)
+    blocks = in_blocks(routed, ["leaf"], "id", 4 * shard_rows)
     return (
         blocks.select("leaf", "block_i", "block_j", "id", "fp")
         .groupBy("leaf", "block_i", "block_j")
@@ -106,6 +170,23 @@ def linked_prints(prints: DataFrame, bits: int = 2, leaf_rows: int = LEAF_ROWS)
     )
 
 
+def shard_links(fps: np.ndarray, bits: int, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard's prints, by place: a vantage-point tree down to leaves, which are compared."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    waiting = [np.arange(len(fps))]
+    while waiting:
+        own = waiting.pop()
+        point, radius, left = vantage(fps[own], bits) if len(own) > leaf_rows else (None, 0, np.inf)
+        if left > SPLITS:
+            a, b = tree_links(fps[own], bits)
+            found_a.append(own[a])
+            found_b.append(own[b])
+            continue
+        away = np.bitwise_count(fps[own] ^ point)
+        waiting += [own[away <= radius + bits], own[away > radius]]
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def tree_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """For each set of connected prints, links of its members to the first of them."""
     left = np.arange(len(fps))

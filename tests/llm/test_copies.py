@@ -60,7 +60,7 @@ def test_partition_finds_every_link(spark, leaf_rows):
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     frame = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
-    found = [(r.a, r.b) for r in simhash.linked_prints(frame, 2, leaf_rows).collect()]
+    found = [(r.a, r.b) for r in simhash.linked_prints(frame, 2, leaf_rows, 100 if leaf_rows == 8 else None).collect()]
     every = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
     assert groups(range(len(prints)), found) == groups(range(len(prints)), every)
 
@@ -93,6 +93,59 @@ def brute_vectors(rows, cosine):
     return sorted((rows[i][0], len(links[i]), least[root[i]]) for i in links)
 
 
+def test_every_close_pair_meets_in_a_shard_and_in_a_leaf(monkeypatch):
+    """Against all pairs; prints are random, or near each other, or all within a few bits."""
+    draw = np.random.default_rng(4)
+    near = draw.integers(0, 2**64, 40, dtype=np.uint64)
+    flips = np.uint64(1) << draw.integers(0, 64, (40, 30), dtype=np.uint64)
+    sets = [draw.integers(0, 2**64, 3000, dtype=np.uint64), np.unique(near[:, None] ^ flips), np.arange(1500, dtype=np.uint64)]
+    for fps in sets:
+        fps = np.unique(fps)
+        close = {(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2) + i + 1}
+        tree = simhash.VantageTree(fps[::2], len(fps), 200, 2)
+        row, shard = tree.shards(fps)
+        members = [set(row[shard == s].tolist()) for s in np.unique(shard)]
+        assert set().union(*members) == set(range(len(fps)))
+        assert all(any(i in m and j in m for m in members) for i, j in close)
+        # Links of the inner tree connect what all pairs connect.
+        a, b = simhash.shard_links(fps, 2, 50)
+        assert components(len(fps), zip(a.tolist(), b.tolist(), strict=True)) == components(len(fps), close)
+
+
+def components(size, pairs):
+    head = list(range(size))
+
+    def top(i):
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    for i, j in pairs:
+        i, j = sorted((top(i), top(j)))
+        head[j] = i
+    return [top(i) for i in range(size)]
+
+
+def test_work_grows_slowly_and_leaves_stay_small(monkeypatch):
+    """Comparisons a row for random prints: 16 times the rows cost less than 16 ** 0.45 as much."""
+    work = []
+    monkeypatch.setattr(simhash, "tree_links", lambda fps, bits: (work.append(len(fps)), np.zeros((2, 0), np.int64))[1])
+    spent = []
+    for rows in (1 << 15, 1 << 19):
+        fps = np.random.default_rng(rows).integers(0, 2**64, rows, dtype=np.uint64)
+        tree = simhash.VantageTree(fps[: 64 * (rows >> 14)], rows, 1 << 14, 2)
+        row, shard = tree.shards(fps)
+        work.clear()
+        some = np.unique(shard)[::4]
+        for s in some.tolist():
+            simhash.shard_links(fps[row[shard == s]], 2)
+        assert max(work) <= simhash.LEAF_ROWS
+        read = int(np.isin(shard, some).sum())
+        spent.append(sum(n * n for n in work) / read * len(row) / rows)
+    assert spent[1] <= spent[0] * 16**0.45
+
+
 @pytest.mark.parametrize("leaf_rows", [4, 1024])
 @pytest.mark.parametrize("dimensions", [5, 24])
 def test_vector_links_equal_brute_force(spark, leaf_rows, dimensions):
