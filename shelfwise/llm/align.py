@@ -35,8 +35,8 @@ from shelfwise.llm.tokens import PieceEncoder, WordEncoder, gathered, sums
 
 LANE_BYTES = 256
 CHUNK_LINKS = 1 << 20  # links counted together; a longer document is a chunk of its own
-BATCH_BYTES = 1 << 20  # texts aligned at once
-HELD = 150_000  # words of a generation, in each of the two encoders
+BATCH_BYTES = 2 << 20  # texts aligned at once
+HELD = 300_000  # words of a generation, in each of the two encoders
 BLANK = "▁"
 ALIGNED = (
     "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -68,8 +68,8 @@ class SentenceEncoder(PieceEncoder):
         # Of several blanks in a row the last may merge with the others.
         return pc.replace_substring(super()._cut(texts, mark), f" {mark} ", "  ")
 
-    def _words(self, pieces: pa.Array, mark: str) -> pa.Array:
-        return pc.split_pattern(pieces, mark)  # each is one word
+    def _words(self, pieces: pa.Array, mark: str) -> None:
+        return None
 
 
 def byte_tokens(path: str) -> list[bytes]:

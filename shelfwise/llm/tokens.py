@@ -135,9 +135,12 @@ class PieceEncoder:
             pieces = self._pieces(column, mark)
             piece = pc.dictionary_encode(pieces.flatten())
             words = self._words(piece.dictionary, mark)
-            word = pc.dictionary_encode(words.flatten())
-            runs, sizes = self._now, _sizes(words)
-            numbers = self._numbers(word.dictionary.to_pylist())[word.indices.to_numpy()]
+            if words is None:  # the pieces are words, all different already
+                numbers, sizes = self._numbers(piece.dictionary.to_pylist()), np.ones(len(piece.dictionary), np.int64)
+            else:
+                word, sizes = pc.dictionary_encode(words.flatten()), _sizes(words)
+                numbers = self._numbers(word.dictionary.to_pylist())[word.indices.to_numpy()]
+            runs = self._now
             # Ids of each different piece, then of each piece of each text.
             of_pieces, word_sizes = runs.joined(numbers)
             piece_sizes = sums(word_sizes, sizes)
