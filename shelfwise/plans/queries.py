@@ -988,8 +988,11 @@ def page_region_text(s: Store) -> DataFrame:
 
 @query
 def pages_without_region(s: Store) -> DataFrame:
-    """No page has a description block, so every text is empty: there is no fallback."""
-    return s.table("pages").select("page_id", region_text(F.col("html")).alias("region_text"))
+    """Pages with and without a description block; a page without one gives an empty text, there is
+    no fallback. The blocks of pages below ``.org`` are taken as descriptions."""
+    described = F.replace("html", F.lit('class="ad"'), F.lit('class="Product-DESCription"'))
+    html = F.when(F.col("url").contains(".org/"), described).otherwise(F.col("html"))
+    return s.table("pages").select("page_id", region_text(html).alias("region_text"))
 
 
 @query

@@ -667,7 +667,9 @@ UNION ALL SELECT product_id, 'sweets', sweet FROM beans""")
 _REGION = r"""(?is)<div[^>]*class="[^"]*ad[^"]*"[^>]*>(.*?)</div>"""
 TWINS["page_region_text"] = f"""
 SELECT page_id, regexp_extract(html, '{_REGION}', 1) AS region_text FROM pages"""
-TWINS["pages_without_region"] = "SELECT page_id, '' AS region_text FROM pages"
+TWINS["pages_without_region"] = f"""
+SELECT page_id, CASE WHEN url LIKE '%.org/%' THEN regexp_extract(html, '{_REGION}', 1) ELSE '' END
+       AS region_text FROM pages"""
 
 TWINS["assemble_documents"] = f"""
 SELECT doc_id AS product_id, concat_ws(chr(10) || chr(10),
