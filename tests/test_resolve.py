@@ -131,3 +131,33 @@ def test_bulk_orders_report_what_was_not_found(golden, spark):
         ("sunrise", 1, 1, 20.0)
     ]
     assert {r.fragment: r.state for r in missing.collect()} == {"kilo": "ambiguous", "zzz": "none"}
+
+
+def test_only_suffixes_that_start_with_a_fragment_are_sent(spark):
+    names = spark.createDataFrame([(f"red ring seller#{n:05d}", 1) for n in range(300)], "_name string, _n long")
+    wanted = spark.createDataFrame([("ring",), ("zz",), ("red ring seller#00007",), ("",)], "_fragment string")
+    texts, _ = fragments._dealt(names, wanted, 10**6)
+    # Two places of each name, and what a flag set by chance lets through; 21 letters before.
+    assert texts.count() < 3 * 300
+    counts = {r["_fragment"]: r.n_matches for r in fragments.counts(names, wanted).collect()}
+    assert counts == {"ring": 300, "red ring seller#00007": 1, "": 300}
+
+
+def test_flags_keep_every_place_where_a_fragment_starts(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("ab é😀", k=draw.randrange(12))) for _ in range(60)]
+    found = sorted({t[at : at + draw.randrange(1, 9)] for t in texts for at in range(len(t))})[::3]
+    flags = fragments._flags(spark.createDataFrame([(t,) for t in found], "_fragment string"))
+    for text, starts in zip(texts, flags.starts(texts), strict=True):
+        assert {at for at in range(len(text)) if any(text.startswith(f, at) for f in found)} <= set(starts)
+
+
+def test_a_wanted_pattern_is_compiled_for_likely_names_only(spark):
+    """Names share the longest text of a fragment; the other texts are looked for first."""
+    names = spark.createDataFrame([("red ring shop",), ("hot bolt shop",), ("hot ring shop",)], "_name string")
+    wanted = spark.createDataFrame([("hot%ring%shop",), ("r%shop",), ("shop%",), ("ring%hot",)], "_fragment string")
+    found = resolve._matches(names, wanted, 10**6)
+    assert "Contains(_name" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(
+        (f["_fragment"], n["_name"]) for f in wanted.collect() for n in names.collect() if like(f["_fragment"], n["_name"])
+    )
