@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,19 +56,19 @@ def one_per_key(records: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
     """The record updated last per key, and the others: ``record`` as JSON and how often, ``n``.
 
     Equal records are counted before the shuffle, so a record that comes a million times is one row.
+    The JSON text settles ties; it is made after the shuffle by key and does not travel. A key with
+    a missing part is no key.
     """
-    own = F.struct(*records.columns)
-    counted = records.groupBy(*key, "updated_at", own.alias("_row")).agg(F.count("*").alias("n"))
-    order = F.struct(F.col("updated_at").isNotNull(), "updated_at", F.to_json("_row"))
-    marked = counted.withColumn("_order", order)
-    newest = marked.groupBy(*key).agg(F.max("_order").alias("_newest"))
-    joined = cut_lineage(marked.join(newest, list(key)))
-    is_newest = F.col("_order") == F.col("_newest")
-    left = F.when(is_newest, F.col("n") - 1).otherwise(F.col("n"))
-    others = joined.withColumn("n", left).filter("n > 0")
+    whole = [F.col(name).isNotNull() for name in key]
+    counted = records.filter(reduce(and_, whole)).groupBy(*records.columns).agg(F.count("*").alias("_n"))
+    text = F.to_json(F.struct(*records.columns))
+    newest = Window.partitionBy(*key).orderBy(F.desc_nulls_last("updated_at"), F.desc("_text"))
+    ranked = counted.withColumn("_text", text).withColumn("_first", F.row_number().over(newest) == 1)
+    left = F.when(F.col("_first"), F.col("_n") - 1).otherwise(F.col("_n"))
+    others = ranked.withColumn("n", left).filter("n > 0")
     return (
-        joined.filter(is_newest).select("_row.*"),
-        others.select("_row.*", F.to_json("_row").alias("record"), "n").select("source", "record", "n"),
+        ranked.filter("_first").select(*records.columns),
+        others.select("source", F.col("_text").alias("record"), "n"),
     )
 
 
