@@ -12,6 +12,7 @@ from shelfwise.operators import catalog, orders, spend
 from shelfwise.operators.catalog import whole_beans
 from shelfwise.plans.queries import QUERIES
 from shelfwise.plans.store import RULES, SELLERS, Store, product_key
+from shelfwise.session import cut_lineage
 from shelfwise.sources.schemas import TABLES
 
 
@@ -188,3 +189,40 @@ def test_one_pass_equals_the_joined_tables(spark):
     columns = sorted(own.columns)
     assert columns == sorted(joined.columns)
     assert sorted(map(str, own.select(columns).collect())) == sorted(map(str, joined.select(columns).collect()))
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cut_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    kept = cut_lineage(spark.range(100).mapInPandas(counted, "id long"))
+    assert sorted(r.id for r in kept.collect()) == list(range(100)) and seen.value == 100
+
+
+def test_records_travel_without_their_json(spark):
+    """Equal records are counted, then one shuffle by key; the text is made above it."""
+    plan = plan_of(QUERIES["load_products"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.index("to_json") < plan.index("Exchange hashpartitioning")
+
+
+def test_requests_meet_the_attributes_last(spark, no_broadcast):
+    plan = plan_of(QUERIES["order_snapshot"](spark, "/root/testdata/sf0.001"))
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert "SortMergeJoin [product_id" in joins[0] and "SortMergeJoin [variant_id" in joins[1]
