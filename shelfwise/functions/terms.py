@@ -51,7 +51,7 @@ def trie_pattern(terms: list[str]) -> str:
 def with_found_terms(
     texts: DataFrame, text: str, dictionary: list[Term], name: str = "_found"
 ) -> DataFrame:
-    """Add the distinct dictionary entries that occur in each text, as (kind, role, value).
+    """Add the distinct dictionary entries that occur in each text, as (kind, value, role) in order.
 
     The text is read once, from left to right. Of the terms that start at a word the longest counts,
     and the words it covers are not read again: "red cherry" does not also mean "red".
@@ -66,7 +66,7 @@ def with_found_terms(
             for part in (
                 F.lit(term),
                 F.array(*[
-                    F.struct(F.lit(e.kind).alias("kind"), F.lit(e.role).alias("role"), F.lit(e.value).alias("value"))
+                    F.struct(F.lit(e.kind).alias("kind"), F.lit(e.value).alias("value"), F.lit(e.role).alias("role"))
                     for e in sorted(set(entries[term]))
                 ]),
             )
@@ -75,14 +75,16 @@ def with_found_terms(
     hits = F.array_distinct(
         F.regexp_extract_all(spaced_words(F.col(text)), F.lit(trie_pattern(sorted(entries))), F.lit(0))
     )
-    return texts.withColumn(name, F.flatten(F.transform(hits, lambda term: known[term])))
+    found = F.flatten(F.transform(hits, lambda term: known[term]))
+    return texts.withColumn(name, F.array_distinct(F.sort_array(found)))
 
 
 def found_values(found, kind: str, role: str | None = None) -> Column:
-    """Sorted distinct values of one kind (and role) among the entries ``found``."""
+    """Sorted distinct values of one kind (and role) among the entries ``found``, which are in order."""
 
     def wanted(entry: Column) -> Column:
         own = entry["kind"] == kind
         return own if role is None else own & (entry["role"] == role)
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(found, wanted), lambda e: e["value"])))
+    values = F.transform(F.filter(found, wanted), lambda e: e["value"])
+    return F.array_distinct(values) if role is None else values

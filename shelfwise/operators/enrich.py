@@ -134,23 +134,28 @@ def altitude(text: Column) -> Column:
     # Thousands are marked by a comma, or by a dot before three digits.
     amount = r"(\d{1,3}(?:\.\d{3})+|\d[\d,]*)"
     pattern = (
-        rf"(?i)(?:{amount}\s*(?:masl|m|ft)?\s*(?:-|–|to)\s*)?{amount}\s*"
+        rf"(?i)(?=\d)(?:{amount}\s*(?:masl|m|ft)?\s*(?:-|–|to)\s*)?{amount}\s*"
         r"(masl|metres|meters|m|feet|ft)\b"
     )
 
-    def normalised(span: Column) -> Column:
-        feet = F.lower(span).rlike("f(ee)?t$")
+    def read(span: Column) -> Column:
+        digits = [F.translate(F.regexp_extract(span, pattern, n), ",.", "").try_cast("int") for n in (1, 2)]
+        return F.struct(
+            F.lower(span).rlike("f(ee)?t$").alias("feet"), *[d.alias(n) for d, n in zip(digits, ("low", "high"))]
+        )
 
-        def metres(group: int) -> Column:
-            digits = F.translate(F.regexp_extract(span, pattern, group), ",.", "")
-            number = digits.try_cast("int")
-            return F.when(feet, F.round(number * FEET_TO_METRES).cast("int")).otherwise(number)
+    def written(amounts: Column) -> Column:
+        def metres(number: Column) -> Column:
+            return F.when(amounts["feet"], F.round(number * FEET_TO_METRES).cast("int")).otherwise(number)
 
-        return blank_to_null(F.concat_ws("-", metres(1), metres(2)))
+        return F.concat_ws("-", metres(amounts["low"]), metres(amounts["high"]))
 
-    # The array of one element makes the search through the whole text run once per row.
+    # Arrays of one element make the search through the whole text, and each reading of what it
+    # found, run once per row.
     span = F.array(F.regexp_substr(text, F.lit(pattern)))
-    return F.transform(span, lambda s: F.when(s.isNotNull(), normalised(s)))[0]
+    amounts = F.transform(span, lambda s: F.when(s.isNotNull(), read(s)))
+    texts = F.transform(amounts, lambda a: F.when(a.isNotNull(), written(a)))
+    return F.transform(texts, blank_to_null)[0]
 
 
 def highest_metres(altitude_text: Column) -> Column:
