@@ -225,3 +225,46 @@ def test_requests_meet_the_attributes_last(spark, no_broadcast):
     plan = plan_of(QUERIES["order_snapshot"](spark, "/root/testdata/sf0.001"))
     joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert "SortMergeJoin [product_id" in joins[0] and "SortMergeJoin [variant_id" in joins[1]
+
+
+@pytest.mark.parametrize("name", ["order_status", "orders_by_status", "order_rejects", "cascade_orphans"])
+def test_packages_are_shuffled_without_the_columns_of_their_part(spark, name):
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not [line for line in exchanges if "p_name" in line]
+
+
+@pytest.fixture()
+def odd_lines(spark, tmp_path):
+    """Part 1 has two names and comes twice; keys, sizes and flags are null or repeat."""
+    spark.createDataFrame(
+        [(1, "red bolt", "B", "M", 1, 10.0), (1, "red bolt", "B", "M", 1, 10.0), (1, "old bolt", "B", None, 1, 10.0),
+         (2, "new rod", None, "M", None, None), (3, "unsold", "B", "M", 1, 1.0)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    ).write.parquet(str(tmp_path / "part.parquet"))
+    lines = [
+        (1, 5, 3, 7.0, "N", "O"), (1, 5, 3, 6.0, "R", "F"), (1, 5, 4, 5.0, "R", "O"), (1, 5, 5, None, "A", "F"),
+        (1, 5, 7, 4.0, "N", "O"), (2, 5, 1, 3.0, None, None), (2, 5, None, 2.0, "N", None), (2, None, 2, 1.0, "N", "O"),
+        (None, 5, 3, 1.0, "N", "O"), (9, 5, 3, 1.0, "N", "O"), (2, 6, 1, 3.0, "N", "F"), (2, 6, 1, 3.0, "N", "F"),
+    ]
+    spark.createDataFrame(
+        [(n, *line) for n, line in enumerate(lines)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+        "l_extendedprice double, l_returnflag string, l_linestatus string",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return Store(spark, str(tmp_path))
+
+
+def texts(df) -> list[str]:
+    return sorted(map(str, df.collect()))
+
+
+def test_packages_of_odd_lines(odd_lines):
+    names = {1: ("old bolt", "red bolt"), 2: ("new rod",)}
+    sizes = {
+        (1, 5, 1): (10.0, 1), (1, 5, 3): (6.0, 1), (1, 5, 4): (5.0, 1), (1, 5, 5): (50.0, 0), (1, 5, 6): (60.0, 1),
+        (1, 5, 7): (4.0, 1), (2, 5, 1): (3.0, 1), (2, 5, 2): (None, 1), (2, 5, None): (2.0, 1), (2, None, 2): (1.0, 1),
+        (2, None, 3): (None, 1), (2, 6, 1): (3.0, 0), (2, 6, 2): (None, 1),
+    }
+    expected = sorted(str((*key, name, *value)) for key, value in sizes.items() for name in names[key[0]])
+    rows = odd_lines.packages().select("l_partkey", "l_suppkey", "l_linenumber", "p_name", "price", "available")
+    assert sorted(str(tuple(r)) for r in rows.collect()) == expected
