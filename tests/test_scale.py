@@ -268,3 +268,18 @@ def test_packages_of_odd_lines(odd_lines):
     expected = sorted(str((*key, name, *value)) for key, value in sizes.items() for name in names[key[0]])
     rows = odd_lines.packages().select("l_partkey", "l_suppkey", "l_linenumber", "p_name", "price", "available")
     assert sorted(str(tuple(r)) for r in rows.collect()) == expected
+
+
+def test_carried_variants_are_the_kept_packages(odd_lines):
+    # A line without a seller has no number.
+    kept, carried = odd_lines.packages().filter("kept"), odd_lines.carried_packages()
+    assert texts(carried.select(kept.columns)) == texts(kept)
+    sold = odd_lines.carried_packages().select("l_partkey", "l_suppkey", "l_linenumber").distinct().collect()
+    assert sorted(map(str, map(tuple, sold))) == sorted(
+        map(str, [(1, 5, 3), (1, 5, 5), (1, 5, 7), (2, 5, None), (2, None, 2), (2, 6, 1)])
+    )
+
+
+def test_the_lines_of_carried_packages_are_not_doubled(spark):
+    plan = plan_of(QUERIES["order_status"](spark, "/root/testdata/sf0.001"))
+    assert "Generate explode" not in plan
