@@ -394,10 +394,22 @@ def re_enrich(
     fresh = detail_rows(
         extract_attributes(chosen, dictionary, roaster_name=roaster_name), load_ts
     )
-    unknown = wanted.join(documents.select("product_id"), "product_id", "left_anti")
+    unknown = _without(ids, documents, "product_id")
     return replace_by_key(details, fresh.select(*details.columns), "product_id"), unknown
 
 
+def _without(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of ``asked`` that ``held`` lacks; a null key is never held.
+
+    One grouping of both: a join would sort both sides, next to the hash table of the distinct keys.
+    """
+    both = asked.select(key, F.lit(True).alias("_lacks")).union(
+        held.filter(F.col(key).isNotNull()).select(key, F.lit(False))
+    )
+    lacking = both.groupBy(key).agg(F.min("_lacks").alias("_lacks")).filter("_lacks")
+    return lacking.select(F.col(key).cast(asked.schema[key].dataType).alias(key))
+
+
 def notes_long(rows: DataFrame, key: str = "product_id") -> DataFrame:
     """One row per note with its category."""
     lists = F.array(

@@ -158,6 +158,14 @@ def test_re_enriching_replaces_and_reports_unknown_ids(golden, spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, details.collect()))
 
 
+def test_unknown_ids_with_nulls_and_repeats(spark):
+    ids = spark.createDataFrame([(1,), (1,), (5,), (5,), (None,), (None,)], "product_id int")
+    held = spark.createDataFrame([(1,), (1,), (None,), (7,)], "product_id bigint")
+    unknown = enrich._without(ids, held, "product_id")
+    assert dict(unknown.dtypes) == {"product_id": "int"}
+    assert sorted(map(str, (r.product_id for r in unknown.collect()))) == ["5", "None"]
+
+
 def test_text_helpers(spark):
     assert column(spark, ["blue_kettle", "o'neil co", "ÉTÉ 7th"], t.title_case) == [
         "Blue_Kettle", "O'Neil Co", "Été 7Th",

@@ -283,3 +283,13 @@ def test_carried_variants_are_the_kept_packages(odd_lines):
 def test_the_lines_of_carried_packages_are_not_doubled(spark):
     plan = plan_of(QUERIES["order_status"](spark, "/root/testdata/sf0.001"))
     assert "Generate explode" not in plan
+
+
+def test_tasks_get_few_megabytes_of_a_shuffle(spark):
+    QUERIES["catalog_count"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def test_unknown_ids_are_found_without_sorting_both_sides(spark, no_broadcast):
+    plan = plan_of(QUERIES["re_enrich_unknown"](spark, "/root/testdata/sf0.001"))
+    assert "LeftAnti" not in plan
