@@ -266,8 +266,9 @@ def test_packages_of_odd_lines(odd_lines):
         (2, None, 3): (None, 1), (2, 6, 1): (3.0, 0), (2, 6, 2): (None, 1),
     }
     expected = sorted(str((*key, name, *value)) for key, value in sizes.items() for name in names[key[0]])
-    rows = odd_lines.packages().select("l_partkey", "l_suppkey", "l_linenumber", "p_name", "price", "available")
-    assert sorted(str(tuple(r)) for r in rows.collect()) == expected
+    for packages in (odd_lines.packages(), odd_lines.packages(few_parts=True)):
+        rows = packages.select("l_partkey", "l_suppkey", "l_linenumber", "p_name", "price", "available")
+        assert sorted(str(tuple(r)) for r in rows.collect()) == expected
 
 
 def test_carried_variants_are_the_kept_packages(odd_lines):
@@ -285,9 +286,15 @@ def test_the_lines_of_carried_packages_are_not_doubled(spark):
     assert "Generate explode" not in plan
 
 
-def test_tasks_get_few_megabytes_of_a_shuffle(spark):
-    QUERIES["catalog_count"](spark, "/root/testdata/sf0.001")
-    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+def test_orders_asked_about_are_looked_up_before_they_are_marked(spark, no_broadcast):
+    plan = plan_of(QUERIES["orders_by_id_status"](spark, "/root/testdata/sf0.001"))
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert "SortMergeJoin [variant_id" in joins[0] and "SortMergeJoin [id" in joins[1]
+
+
+def test_small_rows_are_not_merged_into_large_tasks(spark):
+    plan = plan_of(QUERIES["re_enrich_unknown"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("REPARTITION_BY_NUM") >= 3
 
 
 def test_unknown_ids_are_found_without_sorting_both_sides(spark, no_broadcast):
