@@ -120,6 +120,14 @@ def test_hot_buyer_is_counted_before_the_shuffle(hot):
     assert "WindowGroupLimit" in plan
 
 
+def test_sums_of_all_buyers_are_not_broadcast(hot, spark):
+    """Whatever the size of the files that the lines come from."""
+    lines = hot["orders"].withColumn("price", F.col("price_paid"))
+    summary = spend.spending_summary(lines, lines.select("user_id").distinct(), datetime(2023, 11, 20))
+    assert "BroadcastHashJoin" not in executed(summary)
+    assert summary.count() == 50
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_no_plan_pairs_everything_or_leaves_the_cluster(spark, name):
     """No cross or nested-loop join, no window over a whole relation, no Python but for pages."""
