@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from shelfwise import session
 from shelfwise.operators import catalog, fragments, resolve
 
 CASES = {
@@ -37,6 +38,19 @@ def test_order_strings(golden, spark):
     assert {r.quantity for r in resolved.collect()} == {1}
 
 
+@pytest.mark.parametrize("few", [session.FEW_ROWS, 0])
+def test_many_options_are_not_broadcast_to_order_strings(golden, spark, monkeypatch, few):
+    monkeypatch.setattr(session, "FEW_ROWS", few)
+    options = catalog.available_options(golden.beans, golden.no_orders)
+    texts = [*CASES, *UNRESOLVED]
+    requests = spark.createDataFrame(list(enumerate(texts)), "request_id INT, text STRING")
+    resolved, rejects = resolve.resolve_order_strings(requests, options)
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == (3 if few else 0)
+    assert {texts[r.request_id]: (r.variant_id, r.matched_by) for r in resolved.collect()} == CASES
+    assert {r.text: r.reason for r in rejects.collect()} == UNRESOLVED
+
+
 def test_title_needs_the_default_form(golden, spark):
     options = catalog.available_options(golden.beans, golden.no_orders).replace(
         "Whole Bean", "Beans", ["option2"]
